@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import DenseMatrix, Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -175,9 +177,6 @@ class LsaModel:
 
     def transform(self, df: DataFrame, column: str = "features", output: str = "lsa") -> DataFrame:
         """Blocked matrix product inside Arrow batches: sparse entries in, dense arrays out."""
-        import numpy as np
-        import pandas as pd
-
         matrix = df.sparkSession.sparkContext.broadcast(self.components.toArray())
 
         def project(indices: pd.Series, values: pd.Series) -> pd.DataFrame:

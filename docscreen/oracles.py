@@ -685,3 +685,8 @@ FROM (SELECT *, CASE WHEN len(m) < 2 AND len(list_filter(m, lambda x: contains(l
    FROM (SELECT *, """ + case("label", Q.ROLE_TITLES) + " AS role, "
        + case("label", _CAT) + """ AS category FROM screened) JOIN entries USING (category))))""",
        LANG, SCORED, FOUND, MISSING, COMPONENTS, SCREENED, _ENTRIES)
+
+# -- streams: the batch result over the same table -------------------------------------------
+oracle("stream_screening", "SELECT doc_id, final, array_to_string(missing, '|') AS missing "
+       "FROM screened", LANG, SCORED, FOUND, MISSING, COMPONENTS, SCREENED)
+oracle("stream_repeats", "SELECT DISTINCT user_id, event_type FROM events")

@@ -100,9 +100,11 @@ def language_scores(text: Column) -> Column:
         for lang, words in LANGUAGE_WORDS.items()]))
 
 
-def predicted(spark, sf) -> DataFrame:
+def predicted(spark, sf, docs: DataFrame | None = None) -> DataFrame:
     """Corpus by language plus scores and the predicted language."""
-    return (by_lang(spark, sf).withColumn("scores", language_scores(T()))
+    docs = by_lang(spark, sf) if docs is None else docs.select(
+        D, "text", F.col("lang").alias("label"))
+    return (docs.withColumn("scores", language_scores(T()))
             .withColumn("prediction", F.get(evaluate.top_k(F.col("scores"), 1), F.lit(0))))
 
 
@@ -791,11 +793,11 @@ def missing_skills(spark, sf):
         required, find_skills(T(), vocabulary_words()))).alias("missing"))
 
 
-def screened(spark, sf) -> DataFrame:
+def screened(spark, sf, docs: DataFrame | None = None) -> DataFrame:
     """Confidence = share of stop-word hits of the best language, null without hits."""
     best = F.array_max(F.transform("scores", lambda s: s["score"]))
     total = F.aggregate("scores", F.lit(0), lambda acc, s: acc + s["score"])
-    docs = predicted(spark, sf).withColumn("confidence", F.when(total > 0, best / total / 3))
+    docs = predicted(spark, sf, docs).withColumn("confidence", F.when(total > 0, best / total / 3))
     return screening.screen(docs, "text", "label", "confidence", vocabulary_words(), REQUIREMENTS)
 
 
