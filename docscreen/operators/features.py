@@ -14,11 +14,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import DenseMatrix, Vectors, VectorUDT
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docscreen import constants as C
 from docscreen.functions import text as X
+from docscreen.operators.grouping import with_group_stats
 from docscreen.session import cut_lineage
 
 
@@ -39,24 +41,32 @@ class TfidfParams:
         return X.ngrams(found, self.low, self.high) if self.high > 1 else found
 
 
-def term_statistics(df: DataFrame, terms) -> DataFrame:
-    """Document and corpus frequency per term; counts combine map-side."""
-    return (df.select(F.explode(X.term_counts(terms)).alias("t"))
-            .groupBy(F.col("t.term").alias("term"))
+def _statistics(counted: DataFrame) -> DataFrame:
+    """Frequencies from a column ``t`` of term counts; they combine map-side."""
+    return (counted.select(F.explode("t").alias("t")).groupBy(F.col("t.term").alias("term"))
             .agg(F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("cf")))
 
 
-def vocabulary(df: DataFrame, text: str, params: TfidfParams = TfidfParams()) -> DataFrame:
-    """``(term, df, cf, idf)`` of the most frequent terms; ties are broken by the term (F1)."""
+def term_statistics(df: DataFrame, terms) -> DataFrame:
+    """Document and corpus frequency per term."""
+    return _statistics(df.select(X.term_counts(terms).alias("t")))
+
+
+def _most_frequent(stats: DataFrame, df: DataFrame, params: TfidfParams) -> DataFrame:
     n = df.agg(F.count(F.lit(1))).scalar()
-    stats = term_statistics(df, params.terms(F.col(text))).withColumn("_n", n)
-    return (stats.filter((F.col("df") >= params.min_df)
-                         & (F.col("df") <= F.lit(params.max_df) * F.col("_n")))
+    return (stats.withColumn("_n", n)
+            .filter((F.col("df") >= params.min_df)
+                    & (F.col("df") <= F.lit(params.max_df) * F.col("_n")))
             .orderBy(F.desc("cf"), "term").limit(params.max_features)
             .select("term", "df", "cf",
                     (F.log((F.col("_n") + 1) / (F.col("df") + 1)) + 1).alias("idf")))
 
 
+def vocabulary(df: DataFrame, text: str, params: TfidfParams = TfidfParams()) -> DataFrame:
+    """``(term, df, cf, idf)`` of the most frequent terms; ties are broken by the term (F1)."""
+    return _most_frequent(term_statistics(df, params.terms(F.col(text))), df, params)
+
+
 class TfidfModel:
     """A fitted vocabulary; ``transform`` adds an L2-normalised sparse vector column."""
 
@@ -72,15 +82,21 @@ class TfidfModel:
         return cls([r.term for r in rows], [r.idf for r in rows], params)
 
     def transform(self, df: DataFrame, text: str, output: str = "features") -> DataFrame:
-        counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms",
-                                                       outputCol="_counts")
-        out = counter.transform(df.withColumn("_terms", self.params.terms(F.col(text))))
-        if self.params.sublinear:
-            out = out.withColumn("_counts", _log_scaled(F.col("_counts")))
-        out = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_counts",
+        terms = df.withColumn("_terms", self.params.terms(F.col(text)))
+        return self.weigh(terms, "_terms", output).drop("_terms")
+
+    def weigh(self, df: DataFrame, terms: str, output: str,
+              counts: str | None = None) -> DataFrame:
+        """Vectors of an array column of terms; ``counts`` keeps the plain counts as well."""
+        kept = counts or "_counts"
+        out = CountVectorizerModel.from_vocabulary(self.terms, inputCol=terms,
+                                                   outputCol=kept).transform(df)
+        scaled = _log_scaled(F.col(kept)) if self.params.sublinear else F.col(kept)
+        out = out.withColumn("_scaled", scaled)
+        out = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_scaled",
                                  outputCol="_weighted").transform(out)
         out = Normalizer(p=2.0, inputCol="_weighted", outputCol=output).transform(out)
-        return out.drop("_terms", "_counts", "_weighted")
+        return out.drop("_scaled", "_weighted", *([] if counts else [kept]))
 
     def weights(self, df: DataFrame, text: str, row_id: str = "doc_id") -> DataFrame:
         """Long form ``(row_id, term, weight)``."""
@@ -201,56 +217,58 @@ class LsaModel:
 
 # -- near duplicates (D6, J10) --------------------------------------------------
 
+# Posting lists longer than this are cut into blocks that are joined by separate tasks.
+BLOCK = 5_000
+# Number of buckets of the norm sketch that rejects candidates before they are verified.
+SKETCH = 32
+NEAR_DUP_TERMS = TfidfParams(C.NEAR_DUP_FEATURES, 1, 1, sublinear=False, strip_accents=False)
+
+
 def near_duplicates(df: DataFrame, text: str, row_id: str = "doc_id",
-                    params: TfidfParams = TfidfParams(3000, 1, 1, sublinear=False,
-                                                      strip_accents=False),
-                    threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
+                    params: TfidfParams = NEAR_DUP_TERMS,
+                    threshold: float = C.NEAR_DUP_COSINE) -> tuple[DataFrame, DataFrame]:
     """All pairs of different vectors with cosine >= ``threshold``, exactly.
 
     Returns ``(copies, pairs)``.  ``copies`` maps every row to the lowest id with the same vector
     (cosine 1), so groups of equal rows are never expanded into pairs.  ``pairs`` holds the
     distinct vectors that are near each other, with the number of rows each stands for.
 
-    Prefix filtering keeps the join exact without comparing everything: with terms ordered from
-    rare to frequent, two unit vectors can only reach the threshold if they share a term in
-    their leading parts, where the rest of the vector has a norm of at least the threshold.
+    Two bounds keep the join small without losing a pair:
+
+    * terms are ordered from rare to frequent; two unit vectors can only reach the threshold if
+      they share a term in their leading parts, where the rest of the vector still has a norm of
+      at least the threshold, and the product of both rests at their first shared term reaches it;
+    * the terms fall into buckets, and the sum of products of the buckets' norms is never below
+      the cosine (Cauchy-Schwarz per bucket).
     """
-    vocab = vocabulary(df, text, params)
-    ranked = (vocab.withColumn("position", F.row_number().over(
-        Window.orderBy("df", "term"))))  # at most max_features rows
-    entries = (df.select(row_id, F.explode(X.term_counts(params.terms(F.col(text)))).alias("t"))
-               .select(row_id, "t.term", "t.tf")
-               .join(F.broadcast(ranked.select("term", "position", "idf")), "term"))
-    # One row per document; its entries are collected map-side, before the shuffle.
-    vectors = (entries.groupBy(row_id)
-               .agg(F.sort_array(F.collect_list(F.struct("position", "tf", "idf"))).alias("v"))
-               .withColumn("_key", F.unhex(F.md5(F.array_join(F.transform(
-                   "v", lambda e: F.concat_ws(":", e["position"], e["tf"])), ",")))))
-    vectors = cut_lineage(vectors)  # read several times below
-    groups = vectors.groupBy("_key").agg(F.min(row_id).alias("rep_id"),
+    rows = cut_lineage(df.select(row_id, params.terms(F.col(text)).alias("_terms")))
+    # At most ``max_features`` rows; rare terms first, so that vector entries are in that order.
+    vocab = (_most_frequent(_statistics(rows.select(X.term_counts(F.col("_terms")).alias("t"))),
+                            rows, params).orderBy("df", "term").collect())
+    model = TfidfModel([v.term for v in vocab], [v.idf for v in vocab], params)
+    vectors = model.weigh(rows, "_terms", "_v", counts="_c")
+    raw, counts = F.unwrap_udt("_v"), F.unwrap_udt("_c")
+    vectors = cut_lineage(
+        vectors.select(row_id, raw["indices"].alias("at"), raw["values"].alias("w"),
+                       counts["values"].alias("tf"))
+        .filter(F.size("at") > 0)
+        .select(row_id, "at", "w",
+                F.unhex(F.md5(F.concat_ws("|", F.array_join("at", ","), F.array_join(
+                    F.transform("tf", lambda x: x.cast("int")), ",")))).alias("_key")))
+    groups = vectors.groupBy("_key").agg(F.min(row_id).alias(row_id),
                                          F.count(F.lit(1)).alias("copies"))
-    copies = _attach_representative(vectors.select(row_id, "_key"), groups, row_id)
-
-    def weighted(e):
-        tf = F.lit(1.0) + F.log(e["tf"]) if params.sublinear else e["tf"].cast("double")
-        return F.struct(e["position"].alias("position"), (tf * e["idf"]).alias("w"))
-
-    reps = (vectors.join(groups.select(F.col("rep_id").alias(row_id), "copies"), row_id)
-            .select(row_id, "copies", _unit(F.transform("v", weighted)).alias("v"))
-            .withColumn("prefix", _leading_part(F.col("v"), threshold)))
-    return copies, _near_pairs(cut_lineage(reps), row_id, threshold)
+    copies = with_group_stats(vectors.select(row_id, "_key"), ["_key"], row_id,
+                              rep_id=F.min(row_id), copies=F.count(F.lit(1))).drop("_key")
+    reps = (vectors.select(row_id, "at", "w").join(groups.select(row_id, "copies"), row_id)
+            .withColumn("prefix", _leading_part(F.arrays_zip("at", "w"), threshold))
+            .withColumn("sketch", _sketch(F.arrays_zip("at", "w"))))
+    return copies, _near_pairs(cut_lineage(reps), row_id, threshold, len(vocab))
 
 
 def _squares(entries):
     return F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"])
 
 
-def _unit(entries):
-    # The norm is bound outside the lambda; inside it would be computed for every entry.
-    return X.let(entries, lambda v: X.let(F.sqrt(_squares(v)), lambda norm: F.transform(
-        v, lambda e: F.struct(e["position"].alias("position"), (e["w"] / norm).alias("w")))))
-
-
 def _limit(threshold: float) -> float:
     # Rounding in the sixth place must not lose a pair at the limit.
     return (threshold - 1e-6) ** 2
@@ -269,48 +287,58 @@ def _leading_part(entries, threshold: float):
     def cut(v):
         return X.let(F.slice(v, F.lit(1), F.aggregate(v, start, grow)["n"]),
                      lambda head: F.transform(head, lambda e, i: F.struct(
-                         e["position"].alias("position"),
+                         e["at"].alias("position"),
                          (1.0 - _squares(F.slice(head, F.lit(1), i))).alias("rest"))))
 
     return X.let(entries, cut)
 
 
-def _attach_representative(rows, groups, row_id):
-    from docscreen.operators.grouping import with_group_stats
+def _sketch(entries):
+    """Norm of the entries of each bucket."""
+    return X.let(entries, lambda v: F.transform(
+        F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda k: F.sqrt(_squares(
+            F.filter(v, lambda e: e["at"] % SKETCH == k))).cast("float")))
 
-    return with_group_stats(rows, ["_key"], row_id, rep_id=F.min(row_id),
-                            copies=F.count(F.lit(1))).drop("_key")
 
+def _cosine(size: int):
+    """Products of pairs of unit vectors in Arrow batches, through one dense buffer per batch."""
+    def products(at_a: pd.Series, w_a: pd.Series, at_b: pd.Series, w_b: pd.Series) -> pd.Series:
+        dense, out = np.zeros(size), np.empty(len(at_a))
+        for i, (ia, va, ib, vb) in enumerate(zip(at_a, w_a, at_b, w_b)):
+            dense[ia] = va
+            out[i] = dense[ib] @ vb
+            dense[ia] = 0.0
+        return pd.Series(out)
 
-# Posting lists longer than this are cut into blocks that are joined by separate tasks.
-BLOCK = 5_000
+    return F.pandas_udf(products, "double")
 
 
-def _near_pairs(reps: DataFrame, row_id: str, threshold: float) -> DataFrame:
+def _near_pairs(reps: DataFrame, row_id: str, threshold: float, size: int) -> DataFrame:
     limit = _limit(threshold)
-    prefix = reps.select(row_id, F.inline("prefix"))
+    prefix = reps.select(row_id, "sketch", F.inline("prefix"))
     blocks = (prefix.groupBy("position").agg(F.count(F.lit(1)).alias("_n"))
               .select("position", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))
     # One row per vocabulary entry.
     postings = prefix.join(F.broadcast(blocks), "position")
     left = postings.select(
         "position", F.col(row_id).alias("id_a"), F.col("rest").alias("rest_a"),
+        F.col("sketch").alias("sa"),
         F.pmod(F.xxhash64(row_id), F.col("_blocks")).cast("int").alias("_block"))
     right = postings.select(
         "position", F.col(row_id).alias("id_b"), F.col("rest").alias("rest_b"),
+        F.col("sketch").alias("sb"),
         F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
-    # At the first shared term the remaining norms bound the whole product.
+    bound = F.lit(0.0)
+    for k in range(SKETCH):
+        bound = bound + F.get("sa", F.lit(k)) * F.get("sb", F.lit(k))
     candidates = (left.join(right, ["position", "_block"])
                   .filter((F.col("id_a") < F.col("id_b"))
-                          & (F.col("rest_a") * F.col("rest_b") >= limit))
+                          & (F.col("rest_a") * F.col("rest_b") >= limit)
+                          & (bound >= threshold - 1e-4))  # the sketch is in single precision
                   .select("id_a", "id_b").distinct())
-    maps = reps.select(row_id, "copies", F.map_from_entries("v").alias("m"))
-    a = maps.select(F.col(row_id).alias("id_a"), F.col("copies").alias("copies_a"),
-                    F.col("m").alias("_ma"))
-    b = maps.select(F.col(row_id).alias("id_b"), F.col("copies").alias("copies_b"),
-                    F.col("m").alias("_mb"))
-    products = F.map_values(F.map_zip_with("_ma", "_mb", lambda k, x, y: x * y))
-    cosine = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    a, b = (reps.select(F.col(row_id).alias(f"id_{x}"), F.col("copies").alias(f"copies_{x}"),
+                        F.col("at").alias(f"_at_{x}"), F.col("w").alias(f"_w_{x}")) for x in "ab")
+    cosine = _cosine(size)("_at_a", "_w_a", "_at_b", "_w_b")
     return (candidates.join(a, "id_a").join(b, "id_b")
             .select("id_a", "id_b", "copies_a", "copies_b", F.round(cosine, 6).alias("cosine"))
             .filter(F.col("cosine") >= threshold))
