@@ -195,7 +195,9 @@ def strip_accents(text: Column, full_unicode: bool = False) -> Column:
         from docscreen.functions.unicode import nfkd_without_marks
 
         return nfkd_without_marks(text)
-    return F.translate(text, ACCENTED, UNACCENTED)
+    # Most texts have nothing to translate, and the test is far cheaper than the translation.
+    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(
+        t, ACCENTED, UNACCENTED)).otherwise(t))
 
 
 # -- structure inside a text (T4-T8) -----------------------------------------

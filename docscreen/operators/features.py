@@ -82,7 +82,8 @@ class TfidfModel:
         return cls([r.term for r in rows], [r.idf for r in rows], params)
 
     def transform(self, df: DataFrame, text: str, output: str = "features") -> DataFrame:
-        terms = df.withColumn("_terms", self.params.terms(F.col(text)))
+        # A missing text has no terms.
+        terms = df.withColumn("_terms", self.params.terms(F.coalesce(text, F.lit(""))))
         return self.weigh(terms, "_terms", output).drop("_terms")
 
     def weigh(self, df: DataFrame, terms: str, output: str,

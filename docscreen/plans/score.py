@@ -13,12 +13,10 @@ from docscreen.operators.screening import screen
 from docscreen.plans.train import ScreeningModel
 
 
-def input_status(text: Column, min_tokens: int = C.MIN_TOKENS) -> Column:
+def input_status(text: Column, cleaned: Column, min_tokens: int = C.MIN_TOKENS) -> Column:
     """``ok``, or why a text cannot be scored."""
-    return (F.when(X.is_blank(text), "insufficient text")
-            .otherwise(X.let(X.clean_text(text), lambda cleaned: F.when(
-                cleaned == "", "no usable text").when(
-                X.word_count(cleaned) < min_tokens, "too short").otherwise("ok"))))
+    return (F.when(X.is_blank(text), "insufficient text").when(cleaned == "", "no usable text")
+            .when(X.word_count(cleaned) < min_tokens, "too short").otherwise("ok"))
 
 
 def score_documents(df: DataFrame, model: ScreeningModel, text: str = "text",
@@ -27,7 +25,9 @@ def score_documents(df: DataFrame, model: ScreeningModel, text: str = "text",
 
     All rows go through one row-local plan, so nothing is split, joined or shuffled.
     """
-    scored = model.predict(df.withColumn("status", input_status(F.col(text), min_tokens)), text)
+    cleaned = df.withColumn("_clean", X.clean_text(F.col(text)))
+    status = input_status(F.col(text), F.col("_clean"), min_tokens)
+    scored = model.predict_cleaned(cleaned.withColumn("status", status), "_clean").drop("_clean")
     added = ("prediction", "confidence", "top_predictions", "top_labels")
     ok = F.col("status") == "ok"
     return scored.withColumns({c: F.when(ok, F.col(c)) for c in added})

@@ -36,6 +36,10 @@ class ScreeningModel:
     def predict(self, df: DataFrame, text: str = "text") -> DataFrame:
         return self.classifier.predict(self.vectors(df, text)).drop("features")
 
+    def predict_cleaned(self, df: DataFrame, cleaned: str) -> DataFrame:
+        """Same for a column that has been through the cleaning chain already."""
+        return self.classifier.predict(project(self.tfidf, df, cleaned, self.lsa)).drop("features")
+
     def save(self, spark: SparkSession, path: str) -> None:
         self.tfidf.save(spark, f"{path}/vocabulary")
         if self.lsa is not None:
@@ -82,7 +86,11 @@ def load_first(spark: SparkSession, paths: Sequence[str]) -> ScreeningModel:
 def vectorise(tfidf: TfidfModel, df: DataFrame, text: str, lsa: LsaModel | None = None):
     """Add ``features`` from the cleaned text."""
     cleaned = df.withColumn("_clean", X.clean_text(F.col(text)))
-    out = tfidf.transform(cleaned, "_clean").drop("_clean")
+    return project(tfidf, cleaned, "_clean", lsa).drop("_clean")
+
+
+def project(tfidf: TfidfModel, df: DataFrame, cleaned: str, lsa: LsaModel | None = None):
+    out = tfidf.transform(df, cleaned)
     return lsa.transform(out, "features", "features") if lsa else out
 
 

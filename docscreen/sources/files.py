@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,10 +48,18 @@ def intake(spark: SparkSession, path: str, extensions: Sequence[str] = (".txt",)
     Files are refused by name and length before their content is decoded.
     """
     files = spark.read.format("binaryFile").load(path)
+    # The scan leaves out files without content; the file index of the driver still names them.
+    names = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string")
+    key = F.regexp_replace("path", "^([A-Za-z0-9+.-]+):/+", "$1:/")  # file:/x and file:///x
+    empty = (names.withColumn("_key", key)
+             .join(files.select(key.alias("_key")), "_key", "left_anti")
+             .select("path", F.lit(0).cast("long").alias("length"),
+                     intake_status(F.col("path"), F.lit(0), None, extensions).alias("status"),
+                     F.lit(None).cast("string").alias("text")))
     early = intake_status(F.col("path"), F.col("length"), None, extensions, max_bytes)
     text = F.when(F.col("early") == 200,
                   F.make_valid_utf8(F.col("content").cast("string")))
     return (files.withColumn("early", early).withColumn("text", text)
             .select("path", "length",
                     F.when((F.col("early") == 200) & X.is_blank(F.col("text")), 422)
-                    .otherwise(F.col("early")).alias("status"), "text"))
+                    .otherwise(F.col("early")).alias("status"), "text").unionByName(empty))

@@ -23,7 +23,7 @@ def read_arrivals(spark: SparkSession, path: str, schema, file_format: str = "pa
 
 def read_text_arrivals(spark: SparkSession, path: str) -> DataFrame:
     """One document per text file with its name."""
-    return (spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    return (spark.readStream.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
             .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")))
 
 
