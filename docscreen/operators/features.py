@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import DenseMatrix, Vectors, VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,10 +53,22 @@ def term_statistics(df: DataFrame, terms) -> DataFrame:
 
 
 def _most_frequent(stats: DataFrame, df: DataFrame, params: TfidfParams) -> DataFrame:
+    """Top terms by corpus frequency.
+
+    A top-k over millions of terms would send k rows of every partition to one task.  The powers
+    of two of the frequency are counted first, and only levels that can hold a top term go on.
+    """
     n = df.agg(F.count(F.lit(1))).scalar()
-    return (stats.withColumn("_n", n)
-            .filter((F.col("df") >= params.min_df)
-                    & (F.col("df") <= F.lit(params.max_df) * F.col("_n")))
+    level = F.floor(F.log2("cf"))
+    usable = (cut_lineage(stats).withColumn("_n", n)
+              .filter((F.col("df") >= params.min_df)
+                      & (F.col("df") <= F.lit(params.max_df) * F.col("_n")))
+              .withColumn("_level", level))
+    downwards = Window.orderBy(F.desc("_level"))  # at most 63 levels
+    lowest = (usable.groupBy("_level").agg(F.count(F.lit(1)).alias("_terms"))
+              .select("_level", F.sum("_terms").over(downwards).alias("_above"))
+              .filter(F.col("_above") >= params.max_features).agg(F.max("_level"))).scalar()
+    return (usable.filter(F.col("_level") >= F.coalesce(lowest, F.lit(0)))
             .orderBy(F.desc("cf"), "term").limit(params.max_features)
             .select("term", "df", "cf",
                     (F.log((F.col("_n") + 1) / (F.col("df") + 1)) + 1).alias("idf")))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docscreen import constants as C
+from docscreen.functions.text import let
+from docscreen.session import cut_lineage
 
 # A key with at least this many rows is hot.  There are at most N / HOT_ROWS hot keys, which
 # bounds the broadcast: 10^12 rows give at most one million keys.
@@ -47,6 +49,8 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], row_id: str,
     stats = (df.select(*keys, *_inputs(df, aggregates, keys)).groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("_rows"), *[a.alias(n) for n, a in aggregates.items()]))
     names = list(aggregates)
+    if few_keys:
+        stats = cut_lineage(stats)  # measured and then used
     if few_keys and is_small(stats):
         table = F.broadcast(stats.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *names))
         match = F.lit(True)
@@ -124,10 +128,12 @@ def rank_cutoffs(df: DataFrame, group: str, row_id: str, wanted: DataFrame,
     """
     rows = _hashed(df, group, row_id, seed)
     offsets = _bucket_offsets(rows, group)
-    targets = (offsets.join(wanted, group)
-               .filter((F.col("wanted") > F.col("_before"))
-                       & (F.col("wanted") <= F.col("_before") + F.col("_in_bucket"))))
-    buckets = targets.select(group, "_bucket", "_before").distinct()
+    targets = cut_lineage(
+        offsets.join(wanted, group)
+        .filter((F.col("wanted") > F.col("_before"))
+                & (F.col("wanted") <= F.col("_before") + F.col("_in_bucket"))))
+    # One row per group and wanted rank: measured, then rows of other buckets are not shuffled.
+    buckets = broadcast_if_small(targets.select(group, "_bucket", "_before").distinct())
     ranked = _rank_in_bucket(rows, buckets, group, row_id)
     return (ranked.join(targets.select(group, "name", F.col("wanted").alias("rank")),
                         [group, "rank"])
@@ -139,12 +145,13 @@ def ordered_ids(df: DataFrame, order_by: str, slices: int = 512) -> DataFrame:
     """``df`` plus ``position``: the 0-based place in the order of a numeric key.
 
     Slice limits come from an approximate percentile of the key (one narrow pass), exact slice
-    counts give the offsets; one slice is sorted per task.
+    counts give the offsets; one slice is sorted per task.  ``slices`` is a power of two.
     """
     limits = df.agg(F.percentile_approx(order_by, [i / slices for i in range(1, slices)],
                                         slices * 20).alias("limits")).scalar()
-    sliced = df.withColumn("_limits", F.array_distinct(limits)).withColumn(
-        "_slice", F.size(F.filter("_limits", lambda x: x < F.col(order_by)))).drop("_limits")
+    sliced = (df.withColumn("_limits", limits)
+              .withColumn("_slice", _count_below(F.col("_limits"), F.col(order_by), slices))
+              .drop("_limits"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
                .select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
@@ -153,3 +160,16 @@ def ordered_ids(df: DataFrame, order_by: str, slices: int = 512) -> DataFrame:
     return (sliced.join(F.broadcast(offsets), "_slice")
             .withColumn("position", F.col("_before") + F.row_number().over(within) - 1)
             .drop("_slice", "_before"))
+
+
+def _count_below(limits: Column, key: Column, slices: int) -> Column:
+    """How many of the ``slices - 1`` ascending limits are below the key, by bisection."""
+    def step(place: Column, width: int) -> Column:
+        return let(place, lambda p: p + F.when(F.get(limits, p + (width - 1)) < key, width)
+                   .otherwise(0))
+
+    place, width = F.lit(0), slices // 2
+    while width:
+        place = step(place, width)
+        width //= 2
+    return place

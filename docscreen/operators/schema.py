@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from docscreen import constants as C
 from docscreen.functions import text as X
-from docscreen.operators.grouping import ordered_ids, with_group_stats
+from docscreen.operators.grouping import broadcast_if_small, ordered_ids, with_group_stats
 
 
 # -- columns -----------------------------------------------------------------
@@ -167,12 +167,12 @@ def _or_unknown(text: Column, found: Column) -> Column:
 
 
 def label_by_dictionary(df: DataFrame, text: str, dictionary: DataFrame) -> DataFrame:
-    """Same for a dictionary table ``(phrase, label)`` of any size; Spark picks the join."""
+    """Same for a dictionary table ``(phrase, label)`` of any size, broadcast if measured small."""
     entries = (dictionary.select(F.lower(X.strip(F.col("phrase"))).alias("_key"),
                                  F.col("label").alias("_label"))
                .groupBy("_key").agg(F.max("_label").alias("_label")))
     return (df.withColumn("_key", X.first_line(F.col(text)))
-            .join(entries, "_key", "left")
+            .join(broadcast_if_small(entries), "_key", "left")
             .withColumn("mapped_label", _or_unknown(F.col(text), F.col("_label")))
             .drop("_key", "_label"))
 

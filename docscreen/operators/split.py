@@ -16,6 +16,7 @@ from docscreen import constants as C
 from docscreen.functions import text as X
 from docscreen.operators.grouping import broadcast_if_small, exact_rank, hash_order, rank_cutoffs
 from docscreen.operators.profile import class_counts
+from docscreen.session import cut_lineage
 
 Holdouts = Sequence[tuple[str, float]]
 
@@ -63,7 +64,7 @@ def stratified_split(df: DataFrame, label: str = "label", row_id: str = "doc_id"
     for name in names[:-1]:
         choice = F.coalesce(choice, F.when(at <= F.col(f"_{name}"), F.lit(name)))
     choice = F.coalesce(choice, F.when(F.col(label).isNotNull(), F.lit(names[-1])))
-    return (df.join(broadcast_if_small(cuts), label, "left")
+    return (df.join(broadcast_if_small(cut_lineage(cuts)), label, "left")
             .withColumn("split", choice).select(*df.columns, "split"))
 
 

@@ -11,6 +11,7 @@ from docscreen.operators import dedup, leakage, profile
 from docscreen.operators.grouping import with_group_stats
 from docscreen.operators.schema import missing_counts, valid_rows
 from docscreen.operators.split import stratified_split
+from docscreen.session import cut_lineage
 
 
 def classify_rows(df: DataFrame, text: str = "text", label: str = "label",
@@ -72,9 +73,11 @@ def audited_splits(df: DataFrame, text: str = "text", label: str = "label",
 
 def audit_report(df: DataFrame, splits: DataFrame, text: str = "text", label: str = "label",
                  row_id: str = "doc_id", full_unicode: bool = False) -> DataFrame:
-    """The whole audit as one nested row (A17); every part is a scalar subquery."""
-    spark = df.sparkSession
+    """The whole audit as one nested row.
 
+    Four passes over the corpus (counters, classes, duplicates, ledger) and the flagged examples;
+    the split corpus is reduced once to ids, labels, key hashes and flags, without texts.
+    """
     def packed(part: DataFrame) -> DataFrame:
         return part.select(F.struct(*part.columns))
 
@@ -84,28 +87,32 @@ def audit_report(df: DataFrame, splits: DataFrame, text: str = "text", label: st
     def counts(part: DataFrame, key: str) -> DataFrame:
         return as_map(part.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "n")
 
-    kept = splits.select(row_id, text, label, "split")
-    overlap = split_overlaps(kept, text, full_unicode)
+    kept = cut_lineage(splits.select(
+        F.col(label).alias("label"), "split", (F.length(text) < C.SHORT_CHARS).alias("short"),
+        X.key_hash(X.dedup_key(F.col(text), full_unicode)).alias("key")))
     return profile.one_row(
-        spark,
+        df.sparkSession,
         total_rows=df.agg(F.count(F.lit(1))),
-        classes=df.agg(F.count_distinct(label)),
         class_distribution=counts(df.filter(F.col(label).isNotNull()), label),
         missing=packed(missing_counts(df, text, label)),
         duplicates=packed(dedup.duplicate_audit(df, text, label, row_id, full_unicode)),
-        label_in_text=packed(leakage.label_suffix_report(valid_rows(df, text, label), text, label, row_id)),
-        short_rows=kept.agg(F.count_if(F.length(text) < C.SHORT_CHARS)),
-        filtering=as_map(filter_ledger(df, text=text, label=label, row_id=row_id,
-                                       full_unicode=full_unicode), "reason", "rows"),
-        rows_after_filtering=kept.agg(F.count(F.lit(1))),
-        class_distribution_after=counts(kept, label),
+        label_in_text=packed(leakage.label_suffix_report(valid_rows(df, text, label), text, label,
+                                                         row_id)),
+        filtering=as_map(filter_ledger(df, text, label, row_id, full_unicode), "reason", "rows"),
+        kept=packed(kept.agg(F.count(F.lit(1)).alias("rows"), F.count_if("short").alias("short"))),
+        class_distribution_after=counts(kept, "label"),
         split_counts=counts(kept, "split"),
-        overlap=overlap,
-    ).withColumn("status", F.when(F.col("overlap") > 0, "FAILED").otherwise("CLEAN"))
+        overlap=_shared_keys(kept),
+    ).select(
+        "total_rows", F.size("class_distribution").cast("long").alias("classes"),
+        "class_distribution", "missing", "duplicates", "label_in_text",
+        F.col("kept.short").alias("short_rows"), "filtering",
+        F.col("kept.rows").alias("rows_after_filtering"), "class_distribution_after",
+        "split_counts", "overlap",
+        F.when(F.col("overlap") > 0, "FAILED").otherwise("CLEAN").alias("status"))
 
 
-def split_overlaps(splits: DataFrame, text: str, full_unicode: bool) -> DataFrame:
+def _shared_keys(kept: DataFrame) -> DataFrame:
     """Number of normalised texts present in more than one split."""
-    return (splits.select(X.key_hash(X.dedup_key(F.col(text), full_unicode)).alias("k"), "split")
-            .groupBy("k").agg(F.min("split").alias("a"), F.max("split").alias("b"))
+    return (kept.groupBy("key").agg(F.min("split").alias("a"), F.max("split").alias("b"))
             .agg(F.count_if(F.col("a") != F.col("b"))))
