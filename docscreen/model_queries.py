@@ -12,7 +12,7 @@ from docscreen.operators.features import LsaModel, TfidfParams
 from docscreen.plans import audit, score, train
 from docscreen.queries import (D, REQUIREMENTS, by_lang, lines, query, screened, table,
                                vocabulary_words)
-from docscreen.session import cut_lineage, shared_folder
+from docscreen.session import cut_lineage, shared_folder, spread
 from docscreen.streaming import arrivals
 
 FEATURES = 300
@@ -21,7 +21,7 @@ FEATURES = 300
 @lru_cache(maxsize=4)
 def _splits(spark: SparkSession, sf: str) -> DataFrame:
     """Audited, split corpus; written once per session and table folder."""
-    return cut_lineage(audit.audited_splits(by_lang(spark, sf)))
+    return spread(cut_lineage(audit.audited_splits(by_lang(spark, sf))), D)
 
 
 @lru_cache(maxsize=4)

@@ -76,18 +76,23 @@ def drop_conflicts(df: DataFrame, key: Column, label: str = "label",
     return mark_conflicts(df, key, label, row_id).filter(~F.col("in_conflict")).drop("in_conflict")
 
 
-def resolve_groups(df: DataFrame, key: Column, label: str = "label",
-                   row_id: str = "doc_id") -> DataFrame:
-    """Conflicting groups removed and the first row of every other group kept (J3 + D3).
+def survivors(df: DataFrame, key: Column, label: str = "label",
+              row_id: str = "doc_id") -> DataFrame:
+    """``(row_id, label)`` of the first row of every group without a conflict (J3 + D3).
 
-    Needs a single aggregation: the survivors are known per group, and the rows meet them by id.
+    A single aggregation: a group without a conflict has one label, so no row is looked up.
     """
-    survivors = (df.select(row_id, X.key_hash(key).alias("_key"), F.col(label).alias("_label"))
-                 .groupBy("_key")
-                 .agg(F.min(row_id).alias(row_id), F.min("_label").alias("_low"),
-                      F.max("_label").alias("_high"))
-                 .filter(F.col("_low") == F.col("_high")).select(row_id))
-    return df.join(survivors, row_id, "left_semi")
+    return (df.select(row_id, X.key_hash(key).alias("_key"), F.col(label).alias("_label"))
+            .groupBy("_key")
+            .agg(F.min(row_id).alias(row_id), F.min("_label").alias("_low"),
+                 F.max("_label").alias("_high"))
+            .filter(F.col("_low") == F.col("_high")).select(row_id, F.col("_low").alias(label)))
+
+
+def resolve_groups(df: DataFrame, key: Column, label: str = "label",
+                   row_id: str = "doc_id") -> DataFrame:
+    """Conflicting groups removed and the first row of every other group kept."""
+    return df.join(survivors(df, key, label, row_id).select(row_id), row_id, "left_semi")
 
 
 def duplicate_audit(df: DataFrame, text: str = "text", label: str = "label",

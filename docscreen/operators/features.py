@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from docscreen import constants as C
 from docscreen.functions import text as X
-from docscreen.operators.grouping import with_group_stats
+from docscreen.operators.grouping import unnest, with_group_stats
 from docscreen.session import cut_lineage
 
 
@@ -43,7 +43,7 @@ class TfidfParams:
 
 def _statistics(counted: DataFrame) -> DataFrame:
     """Frequencies from a column ``t`` of term counts; they combine map-side."""
-    return (counted.select(F.explode("t").alias("t")).groupBy(F.col("t.term").alias("term"))
+    return (unnest(counted, F.col("t"), "t").groupBy(F.col("t.term").alias("term"))
             .agg(F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("cf")))
 
 
@@ -114,7 +114,7 @@ class TfidfModel:
     def weights(self, df: DataFrame, text: str, row_id: str = "doc_id") -> DataFrame:
         """Long form ``(row_id, term, weight)``."""
         vectors = self.transform(df.select(row_id, text), text, "_v")
-        entries = vectors.select(row_id, F.explode(vector_entries(F.col("_v"))).alias("e"))
+        entries = unnest(vectors, vector_entries(F.col("_v")), "e", row_id)
         terms = df.sparkSession.createDataFrame(
             list(enumerate(self.terms)), "index int, term string")
         return (entries.join(F.broadcast(terms), F.col("e.index") == F.col("index"))
@@ -165,8 +165,7 @@ def naive_bayes_parameters(df: DataFrame, text: str, label: str, model: TfidfMod
     n = df.agg(F.count(F.lit(1))).scalar()
     priors = counts.select(label, F.log(F.col("rows") / n).alias("log_prior"))
     terms = df.sparkSession.createDataFrame([(t,) for t in model.terms], "term string")
-    per_term = (df.select(label, F.explode(X.term_counts(model.params.terms(F.col(text))))
-                          .alias("t"))
+    per_term = (unnest(df, X.term_counts(model.params.terms(F.col(text))), "t", label)
                 .select(label, "t.term", "t.tf").join(F.broadcast(terms), "term")
                 .groupBy(label, "term").agg(F.sum("tf").alias("tf")))
     per_class = per_term.groupBy(label).agg(F.sum("tf").alias("total"))

@@ -88,6 +88,16 @@ def _inputs(df: DataFrame, aggregates, keys):
     return [c for c in df.columns if c not in keys]
 
 
+def unnest(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """One row per array element.
+
+    A plain ``explode`` makes the optimiser add ``size(array) > 0`` below it, which computes a
+    costly array twice; the outer form does not, and its null rows are dropped afterwards.
+    """
+    return (df.select(*keep, F.explode_outer(array).alias(name))
+            .filter(F.col(name).isNotNull()))
+
+
 def hash_order(row_id: str, seed: int = C.SEED) -> Column:
     """Reproducible pseudo-random order of rows: md5 of the id and the seed."""
     return F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f"|{seed}")))

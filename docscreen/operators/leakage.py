@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docscreen import constants as C
 from docscreen.functions import text as X
 from docscreen.operators import dedup, profile
-from docscreen.operators.grouping import broadcast_if_small, with_group_stats
+from docscreen.operators.grouping import broadcast_if_small, unnest, with_group_stats
 
 # Dictionaries up to this size are tested as literals in one pass over the texts.
 LITERAL_PHRASES = 300
@@ -58,7 +58,7 @@ def _literal_matches(df, text, phrases, row_id, keep):
             F.when(F.contains(lowered, F.lit(p.lower())), F.lit(p)) for p in phrases]))
 
     hits = X.let(F.lower(text), search)
-    return df.select(F.explode(hits).alias("phrase"), row_id, *keep)
+    return unnest(df, hits, "phrase", row_id, *keep)
 
 
 def _anchored_matches(df, text, phrases, row_id, keep):
@@ -69,7 +69,7 @@ def _anchored_matches(df, text, phrases, row_id, keep):
     words = F.regexp_extract_all(F.lower(text), F.lit(f"[{C.WORD}]+"), F.lit(0))
     grams = X.let(words, lambda w: F.concat(*[X.ngrams(w, n, n) for n in sorted(sizes)]))
     # Only (id, anchor) travels; the text is met again by id for the few candidates.
-    candidates = (df.select(row_id, F.explode(F.array_distinct(grams)).alias("_anchor"))
+    candidates = (unnest(df, F.array_distinct(grams), "_anchor", row_id)
                   .join(anchors, "_anchor").select(row_id, "phrase"))
     return (df.select(row_id, text, *keep).join(candidates, row_id)
             .filter(X.contains_ci(F.col(text), F.col("phrase")))
@@ -219,7 +219,7 @@ def boilerplate(df: DataFrame, text: str = "text", label: str = "label", row_id:
     found = X.let(F.lower(text), lambda low: F.transform("_cuts", lambda c: F.struct(
         c["no"].alias("no"), c["text"].alias("text"),
         F.contains(low, F.lower(c["text"])).alias("hit"))))
-    return (members.select(F.col(label).alias("label"), F.explode(found).alias("w"))
+    return (unnest(members.withColumn("label", F.col(label)), found, "w", "label")
             .groupBy("label", F.col("w.no").alias("window"),
                      F.left("w.text", F.lit(50)).alias("block"))
             .agg(F.count_if("w.hit").alias("rows"),

@@ -6,6 +6,7 @@ import json
 import math
 import random
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression,
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from docscreen import constants as C
 from docscreen.functions.text import let
 from docscreen.operators import evaluate
-from docscreen.operators.profile import with_class_weight
+from docscreen.operators.profile import class_weights
 from docscreen.operators.split import stratified_folds
 from docscreen.session import cut_lineage
 
@@ -200,38 +201,59 @@ def load_classifier(spark: SparkSession, path: str) -> Classifier:
 # ``train`` has the columns features, label, doc_id.  ``c`` is the inverse regularisation of the
 # summed loss; Spark averages the loss, hence 1 / (c * rows).
 
-def _regularisation(train: DataFrame, c: float) -> float:
-    return 1.0 / (c * max(train.count(), 1))
+# Iterative fits run one small job per step: few, well-filled tasks for small inputs.
+ROWS_PER_TASK = 5_000
+
+
+@contextmanager
+def _training(train: DataFrame, labels: Sequence[str], balanced: bool):
+    """Prepared rows, held in memory and on disk during a fit, and their number."""
+    rows = train.filter(F.col("label").isNotNull())
+    count = max(rows.count(), 1)
+    prepared = _prepared(rows, labels, balanced).select(FEATURES, TARGET, WEIGHT)
+    tasks = math.ceil(count / ROWS_PER_TASK)
+    if tasks < prepared.rdd.getNumPartitions():
+        prepared = prepared.coalesce(tasks)
+    prepared = prepared.persist()
+    try:
+        yield prepared, count
+    finally:
+        prepared.unpersist()
 
 
 def _prepared(train: DataFrame, labels: Sequence[str], balanced: bool) -> DataFrame:
     out = with_target(train.filter(F.col("label").isNotNull()), labels)
-    if balanced:
-        return with_class_weight(out, "label", "doc_id")
-    return out.withColumn(WEIGHT, F.lit(1.0))
+    if not balanced:
+        return out.withColumn(WEIGHT, F.lit(1.0))
+    # One row per class of the model, so the weights become a literal map.
+    weights = {r.label: r.weight for r in class_weights(train).collect()}
+    pairs = [F.lit(x) for kv in weights.items() for x in kv]
+    return out.withColumn(WEIGHT, F.element_at(F.create_map(*pairs), F.col("label")))
 
 
 def fit_naive_bayes(train: DataFrame, labels: Sequence[str], alpha: float = 1.0) -> Classifier:
-    model = NaiveBayes(featuresCol=FEATURES, labelCol=TARGET, modelType="multinomial",
-                       smoothing=alpha).fit(_prepared(train, labels, False))
+    with _training(train, labels, False) as (rows, _):
+        model = NaiveBayes(featuresCol=FEATURES, labelCol=TARGET, modelType="multinomial",
+                           smoothing=alpha).fit(rows)
     return ProbabilityClassifier(labels, model)
 
 
 def fit_logistic(train: DataFrame, labels: Sequence[str], c: float = 1.0, balanced: bool = False,
                  max_iter: int = 100) -> Classifier:
-    model = LogisticRegression(
-        featuresCol=FEATURES, labelCol=TARGET, weightCol=WEIGHT, family="multinomial",
-        regParam=_regularisation(train, c), maxIter=max_iter, standardization=False,
-    ).fit(_prepared(train, labels, balanced))
+    with _training(train, labels, balanced) as (rows, n):
+        model = LogisticRegression(
+            featuresCol=FEATURES, labelCol=TARGET, weightCol=WEIGHT, family="multinomial",
+            regParam=1.0 / (c * n), maxIter=max_iter, standardization=False).fit(rows)
     return ProbabilityClassifier(labels, model)
 
 
 def fit_svc(train: DataFrame, labels: Sequence[str], c: float = 1.0, balanced: bool = False,
             max_iter: int = 50, parallelism: int = 4) -> MarginClassifier:
     """One-vs-rest; with ``balanced`` a row carries the weight of its own class."""
-    svc = LinearSVC(regParam=_regularisation(train, c), maxIter=max_iter, standardization=False)
-    model = OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=TARGET, weightCol=WEIGHT,
-                      parallelism=parallelism).fit(_prepared(train, labels, balanced))
+    with _training(train, labels, balanced) as (rows, n):
+        svc = LinearSVC(regParam=1.0 / (c * n), maxIter=max_iter, standardization=False)
+        model = OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=TARGET, weightCol=WEIGHT,
+                          parallelism=parallelism).fit(rows)
     return MarginClassifier(labels, model.models)
 
 
@@ -306,9 +328,10 @@ def fit_sigmoids(table: DataFrame, iterations: int = 30, tolerance: float = 1e-6
 
 def fit_forest(train: DataFrame, labels: Sequence[str], trees: int = 100, depth: int = 10,
                min_leaf: int = 1, balanced: bool = False, seed: int = C.SEED) -> Classifier:
-    model = RandomForestClassifier(
-        featuresCol=FEATURES, labelCol=TARGET, weightCol=WEIGHT, numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=min_leaf, seed=seed).fit(_prepared(train, labels, balanced))
+    with _training(train, labels, balanced) as (rows, _):
+        model = RandomForestClassifier(
+            featuresCol=FEATURES, labelCol=TARGET, weightCol=WEIGHT, numTrees=trees,
+            maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed).fit(rows)
     return ProbabilityClassifier(labels, model)
 
 
@@ -372,7 +395,10 @@ def grid_search(train: DataFrame, labels: Sequence[str], kind: str, folds: int =
     """
     assigned = train.join(stratified_folds(train, folds).select("doc_id", "fold"), "doc_id")
     prepared = cut_lineage(_prepared(assigned, labels, balanced))
-    estimator, default = estimator_for(kind, prepared.count())
+    rows = prepared.count()
+    if math.ceil(rows / ROWS_PER_TASK) < prepared.rdd.getNumPartitions():
+        prepared = prepared.coalesce(math.ceil(rows / ROWS_PER_TASK))
+    estimator, default = estimator_for(kind, rows)
     holder = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
     chosen = default if grid is None else {holder.getParam(n): v for n, v in grid.items()}
     builder = ParamGridBuilder()

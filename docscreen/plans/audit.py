@@ -66,9 +66,16 @@ def clean_corpus(df: DataFrame, text: str = "text", label: str = "label", row_id
 def audited_splits(df: DataFrame, text: str = "text", label: str = "label",
                    row_id: str = "doc_id", holdouts=C.HOLDOUTS_70_15_15,
                    full_unicode: bool = False) -> DataFrame:
-    """Filter, resolve conflicts, keep first, split: the corpus ready for training."""
-    return stratified_split(clean_corpus(df, text, label, row_id, full_unicode), label, row_id,
-                            holdouts)
+    """Filter, resolve conflicts, keep first, split: the corpus ready for training.
+
+    The texts are normalised in one pass.  Everything up to the split runs on the written table
+    of surviving ids and labels; the texts are met once, by id.
+    """
+    valid = valid_rows(df, text, label)
+    kept = cut_lineage(dedup.survivors(valid, X.dedup_key(F.col(text), full_unicode), label,
+                                       row_id))
+    parts = stratified_split(kept, label, row_id, holdouts).select(row_id, "split")
+    return valid.join(parts, row_id)
 
 
 def audit_report(df: DataFrame, splits: DataFrame, text: str = "text", label: str = "label",

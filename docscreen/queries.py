@@ -16,6 +16,7 @@ from docscreen.functions import text as X
 from docscreen.functions.skills import find_skill_matches, find_skills, skill_vocabulary
 from docscreen.operators import (dedup, evaluate, features, leakage, profile, schema, screening,
                                  split)
+from docscreen.operators.grouping import unnest
 from docscreen.operators.features import TfidfModel, TfidfParams
 from docscreen.plans import audit
 from docscreen.session import spread
@@ -496,7 +497,7 @@ def keyword_flags(spark, sf):
 def ngrams(spark, sf):
     """Occurrences of every uni- and bigram over the whole corpus."""
     grams = X.ngrams(X.tokens(T()), 1, 2)
-    return (by_lang(spark, sf).select(F.explode(X.term_counts(grams)).alias("t"))
+    return (unnest(by_lang(spark, sf), X.term_counts(grams), "t")
             .groupBy(F.col("t.term").alias("term")).agg(F.sum("t.tf").alias("n")))
 
 
