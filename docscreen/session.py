@@ -7,6 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark drops the shuffle files of a finished execution where this is on.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_written: list[str] = []
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   memory: str = "12g") -> SparkSession:
@@ -24,25 +29,55 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` if the cluster names one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="docscreen-")
-        spark.conf.set("spark.checkpoint.dir", named)
+    """Folder that every executor can reach.
+
+    ``docscreen.work.dir`` (settable at any time) wins over ``spark.checkpoint.dir``. Only a
+    single-machine session may go without either and gets a temporary folder; a cluster is asked
+    to name one.
+    """
+    named = (spark.conf.get("docscreen.work.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+             or spark.sparkContext.getCheckpointDir())
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir or docscreen.work.dir to a folder that the "
+                           "driver and all executors share")
+    named = tempfile.mkdtemp(prefix="docscreen-")
+    spark.conf.set("docscreen.work.dir", named)
     return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
-    Computed once, columnar, and still there when an executor is lost.
+    Computed once, columnar, and still there when an executor is lost. The shuffle files of the
+    write are dropped as soon as it is done; ``release`` drops the tables themselves.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete every table that ``cut_lineage`` wrote for this process; returns how many.
+
+    Call it once the results that were built on them are written.
+    """
+    jvm, count = spark.sparkContext._jvm, len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def spread(df: DataFrame, row_id: str) -> DataFrame:
     """Give every core a share when the input has fewer splits than the cluster has cores.
 
