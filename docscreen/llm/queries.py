@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from docscreen.llm import simhash
+from docscreen.llm import chat, language, packing, sharding, simhash, substrings, vectors, winnowing
 
 QUERIES = {
+    "op1_embedding_codes": vectors.query,
+    "op3_best_fit_packing": packing.query,
+    "op4_hash_ring": sharding.query,
     "op5_simhash": simhash.query,
+    "op7_winnowing": winnowing.query,
+    "op8_language": language.query,
+    "op9_substring_dedup": substrings.query,
+    "op10_chat": chat.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_embedding_codes": vectors.ORACLE,
+    "op10_chat": chat.ORACLE,
+}
