@@ -4,17 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docscreen.llm import simhash
+from docscreen.llm import language, packing, privacy, simhash, winnowing
 from docscreen.llm.common import cut_lineage, read
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no text or no letter) go."""
+    return language.known_only(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
     return simhash.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a span of ten words (or a whole short item) with the benchmark go."""
+    return winnowing.clean_only(docs, read(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes the name of its kind."""
+    return privacy.mask(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequence and their place in it."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("language_id", language_id),
     ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: The stages use fitted models, 64-bit hashes and a tokenizer, which SQL does not have.

@@ -198,15 +198,16 @@ def identify(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def with_language(docs: DataFrame, column: str = "lang_pred") -> DataFrame:
-    """All columns of ``docs`` and the predicted language, in one pass over the texts."""
+def known_only(docs: DataFrame) -> DataFrame:
+    """The documents that have a language, all columns as they were, in one pass over the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
     at = docs.columns.index("text")
 
     def work(batch: pa.RecordBatch) -> list:
-        return [*batch.columns, [n for n, _ in parser(shared.value).predict(batch.column(at).to_pylist())]]
+        made = parser(shared.value).predict(batch.column(at).to_pylist())
+        return batch.filter(pa.array([n != UNKNOWN for n, _ in made])).columns
 
-    return map_batches(docs, work, T.StructType([*docs.schema.fields, T.StructField(column, T.StringType())]))
+    return map_batches(docs, work, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from docscreen.llm import chat, language, packing, sharding, simhash, substrings, vectors, winnowing
+from docscreen.llm import (chat, language, packing, privacy, quality, sharding, simhash, substrings, vectors,
+                           winnowing)
 
 QUERIES = {
     "op1_embedding_codes": vectors.query,
+    "op2_quality": quality.query,
     "op3_best_fit_packing": packing.query,
     "op4_hash_ring": sharding.query,
     "op5_simhash": simhash.query,
+    "op6_privacy": privacy.query,
     "op7_winnowing": winnowing.query,
     "op8_language": language.query,
     "op9_substring_dedup": substrings.query,
