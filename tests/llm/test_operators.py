@@ -1,0 +1,585 @@
+"""The training-data operators against brute force, on odd rows and on the smallest tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from docscreen.llm import (chat, components, language, packing, privacy, quality, sharding, simhash, substrings,
+                           vectors, winnowing, words)
+from docscreen.llm.common import local_forest, pairs_in_runs, runs, salted_cells
+from docscreen.llm.queries import QUERIES
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, bits string, node string, label string"
+
+
+def made_texts():
+    random.seed(3)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu", "Ré", "x1") for b in ("", "ra", "so", "tß", "vu")]
+    prose = lambda n: " ".join(random.choice(vocabulary) for _ in range(n))
+    shared, hot = prose(60), prose(25)
+    texts = [None, "", " \n\t", "one", "one two", "a b c", "...", "42 + 17", shared, shared, shared.upper()]
+    texts += [prose(5) + " " + hot + " " + prose(7) for _ in range(40)]
+    texts += [shared + " tail" + str(i) for i in range(12)]
+    texts += ["same same " * 200, prose(9000), " weird space " + hot, prose(30) + "\n\n" + hot.replace(" ", "  ")]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i * 7 % 67 if i else None, t, ["en", "fr", None][i % 3], "s", 1, "x", "y", "z")
+            for i, t in enumerate(made_texts())]
+    rows.append(rows[20])
+    return spark.createDataFrame(rows, DOCS).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def unique(docs):
+    return docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def by_id(frame):
+    return {r.doc_id: r for r in frame.collect()}
+
+
+def raw(frame):
+    return {r.doc_id: None if r.text is None else r.text.encode() for r in frame.collect()}
+
+
+# helpers
+
+def test_words_and_runs_match_python():
+    values = [None, b"", b" a  bb\tc ", b"x", "Ärger über x".encode()]
+    cut = words.split_words(values, words.SPACED)
+    assert [cut.words(cut.first[i], cut.first[i + 1]) for i in range(len(values))] == [
+        (v or b"").split() for v in values]
+    assert len(set(words.split_words([b"a b a b"], words.SPACED).hashes().tolist())) == 2
+    h = np.arange(50, dtype=np.uint64) % np.uint64(7)
+    ours = words.run_hashes(h, 4)
+    assert len(set(ours.tolist())) == 7 and len(ours) == 47
+    values = np.random.default_rng(0).integers(0, 99, 40).astype(np.uint64)
+    for width in (1, 2, 5, 11, 40):
+        assert words.sliding_min(values, width).tolist() == [
+            values[i:i + width].min() for i in range(41 - width)]
+
+
+def test_pairs_and_forest():
+    first, length = runs(np.array([1, 1, 1, 2, 3, 3]))
+    pairs = [p for i, j in pairs_in_runs(first, length, 2) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert sorted(pairs) == [(0, 1), (0, 2), (1, 2), (4, 5)]
+    a, b = local_forest(np.array([5, 9, 3]), np.array([9, 7, 4]))
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {7: 5, 9: 5, 4: 3}
+
+
+def test_cells_meet_every_pair_once(spark):
+    rows = spark.range(300).select(F.col("id"), F.when(F.col("id") < 250, 1).otherwise(F.col("id")).alias("key"))
+    cells = salted_cells(rows, ["key"], "id", 40).collect()
+    assert {r.key for r in cells} == {1}
+    by_cell = {}
+    for r in cells:
+        by_cell.setdefault(r.cell, []).append((r.id, r.part))
+    met = {}
+    for own in by_cell.values():
+        diagonal = len({p for _, p in own}) == 1
+        for i, (x, p) in enumerate(own):
+            for y, q in own[i + 1:]:
+                if p != q or diagonal:
+                    met[frozenset((x, y))] = met.get(frozenset((x, y)), 0) + 1
+    assert len(met) == 250 * 249 // 2 and set(met.values()) == {1}
+    assert max(map(len, by_cell.values())) < 250
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1002, 1001), (7, 7)]
+    found = {r.node: r.component for r in components.connected_components(
+        spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(1, 201)} | {1001: 1000, 1002: 1000}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# op1
+
+def vector_rows():
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((12, 32))
+    rows = [(i, (base[i % 12] + 0.1 * (i >= 12) * rng.standard_normal(32)).tolist(), i % 12 % 3) for i in range(90)]
+    rows += [(90 + i, base[0].tolist(), 0) for i in range(30)]
+    rows += [(200, None, 0), (201, [], 0), (202, [0.0] * 32, 0), (203, [float("nan")] * 32, 0),
+             (204, [None] + [1.0] * 31, 0), (205, base[0].tolist(), None), (206, [1.0, 2.0], 0), (207, [2.0, 4.0], 0),
+             (208, [float("inf")] * 32, 0), (209, (1e-20 * base[1]).tolist(), 1)]
+    return rows
+
+
+def test_vectors(spark):
+    rows = vector_rows()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit("x"))
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(frame).collect()}
+    ok = {v: np.array(e) for v, e, lab in rows if lab is not None and e and None not in e
+          and np.isfinite(e).all() and np.any(e)}
+    label = {v: lab for v, _, lab in rows}
+    near = {v: set() for v, _, _ in rows}
+    for v, x in ok.items():
+        for u, y in ok.items():
+            if u != v and label[u] == label[v] and len(x) == len(y):
+                c = x / np.linalg.norm(x) @ (y / np.linalg.norm(y))
+                if c >= 0.93:
+                    near[v].add(u)
+    least = {v: v for v in near}
+    for _ in range(len(near)):
+        least = {v: min([least[v], *(least[u] for u in near[v])]) for v in near}
+    assert found == {v: (len(near[v]), least[v], least[v] == v) for v in near}
+    assert vectors.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_bounds_hold_and_estimates_are_unbiased():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turned = x @ vectors.rotations(64, 1)[0].T
+    code = np.where(turned >= 0, 1, -1) / 8.0
+    factor = (turned * code).sum(axis=1)
+    dot, true = turned @ code.T, x @ x.T
+    off = ~np.eye(400, dtype=bool)
+    assert abs((dot / factor - true)[off].mean()) < 1e-3
+    bound = vectors.upper_bound(dot, np.broadcast_to(factor, dot.shape), 64)
+    assert (bound[off] >= true[off]).mean() > 0.9999
+    sure = vectors.upper_bound(dot, np.broadcast_to(factor, dot.shape), 64, sigmas=1e9)
+    assert (sure >= true - 1e-6).all()
+
+
+def test_links_survive_small_cells(spark):
+    frame = spark.createDataFrame(vector_rows(), "vec_id long, embedding array<double>, label int")
+    whole = {r.node: r.found for r in vectors.links(frame)[1].collect()}
+    assert whole == {r.node: r.found for r in vectors.links(frame, cell_rows=3)[1].collect()}
+
+
+# op2
+
+def test_quality_learns_and_handles_odd_rows(spark, docs, empty):
+    random.seed(5)
+    good = lambda: " ".join(random.choice(["river", "stone", "light", "walks", "under", "quiet"]) for _ in range(120))
+    bad = lambda: good()[:300] + " " + "buy!!! $$$ now### " * 12 + good()[:200]
+    rows = [(i, good() if i % 2 else bad()) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)] + [(1, 1, 1), (None, 0, 0), (5000, 1, 0), (3, None, 0)],
+                                   "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [r for r in quality.score(frame, quality.fit(frame, labels)).collect()]
+    held = [r for r in out if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
+    assert len(held) > 60 and np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
+    odd = quality.score(docs, quality.fit(docs, labels.limit(0))).collect()
+    assert len(odd) == docs.count() and {round(r.score, 6) for r in odd} == {0.5}
+    assert quality.score(empty, quality.fit(empty, labels)).count() == 0
+    again = quality.fit(frame.repartition(7), labels)
+    assert [r.score for r in quality.score(frame, again).collect()] == [r.score for r in out]
+
+
+# op3
+
+def check_packing(rows, ids, room):
+    bins = {}
+    for doc_id, own in rows.items():
+        own.sort(key=lambda r: r.piece)
+        at = 0
+        for k, r in enumerate(own):
+            part = ids[doc_id][r.start:r.start + r.length]
+            assert (r.piece, r.start, len(part)) == (k, at, r.length)
+            assert r.ids_crc32 == zlib.crc32(np.array(part, dtype="<u4").tobytes())
+            assert k == 0 or r.length == room.tokens
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            at += r.length
+        assert at == len(ids[doc_id])
+    for own in bins.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+        assert sum(n for _, n in own) <= room.tokens and len(own) <= room.documents
+        assert sum(n * n for _, n in own) <= room.attention
+    return len(bins)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_packing(unique, rule):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    frame = unique.withColumn("text", F.when(F.col("doc_id") == 14, "<|endoftext|> a <|endoftext|>").otherwise(F.col("text")))
+    ids = {r.doc_id: tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0] for r in frame.collect()}
+    for room in (packing.Capacities(256, 256, 256 * 256), packing.Capacities(256, 3, 40_000)):
+        if room.attention < 256 * 256:
+            frame = frame.filter(F.length("text") < 300)
+            ids = {r.doc_id: ids[r.doc_id] for r in frame.collect()}
+        rows = {}
+        for r in packing.pack(frame, room, rule).collect():
+            rows.setdefault(r.doc_id, []).append(r)
+        assert set(rows) == set(ids)
+        used = check_packing(rows, ids, room)
+        total = sum(map(len, ids.values()))
+        assert used >= -(-total // room.tokens)
+        if room.documents == 256:
+            assert used <= -(-total // room.tokens) + 3
+    packed = packing.pack(frame, room)
+    joined = {r.sequence_id: r.ids for r in packing.sequences(frame, packed, room).collect()}
+    assert sorted(x for s in joined.values() for x in s) == sorted(x for s in ids.values() for x in s)
+
+
+def test_packing_plan_is_best_fit():
+    # 6 + 4 and 7 + 3 fill ten; first fit by length alone would waste room.
+    steps = packing.plan({7: 1, 6: 1, 4: 1, 3: 1}, packing.Capacities(10, 10, 100))
+    bin_of = {s[0]: s[3] for s in steps}
+    assert bin_of[7] == bin_of[3] and bin_of[6] == bin_of[4]
+    with pytest.raises(ValueError):
+        packing.plan({11: 1}, packing.Capacities(10, 10, 100))
+    with pytest.raises(ValueError):
+        packing.plan({1: 1}, rule="first")
+
+
+def test_packing_repeats_and_empty(docs, empty):
+    rows = packing.pack(docs).collect()
+    places = [(r.sequence_id, r.offset) for r in rows]
+    assert len(set(places)) == len(places) and len({r.doc_id for r in rows}) == docs.select("doc_id").distinct().count()
+    assert packing.pack(empty).count() == 0
+
+
+def test_ids_equal_the_tokenizer(spark, sf):
+    from tokenizers import Tokenizer
+
+    ours, plain = packing.TokenIds(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(80).collect()]
+    random.seed(7)
+    odd = ["a", "Z", " ", "  ", "\n", "\t", "\r", "\u00a0", "\u2003", "\u3000", "é", "ß", "中", "😀", "\u0301", "\u200d", "1", "½",
+           "²", "٣", "Ⅷ", "'s", "'S", "'ll", "_", "-", "<|endoftext|>", "\x00", "\x1c", "\x85", "\ufeff", "ª"]
+    texts += ["".join(random.choice(odd) for _ in range(random.randint(0, 14))) for _ in range(4000)]
+    texts += ["a" * 50_000, " " * 1_500_000, "\n" * 20_000, "ab1 " * 20_000]
+    for text in texts:
+        want = plain.encode(text, add_special_tokens=False).ids + [0]
+        assert np.frombuffer(ours.ids(text), dtype="<u4").tolist() == want
+
+
+# op4
+
+def test_sharding(docs, empty):
+    rows = sharding.assign(docs, 8).collect()
+    assert len(rows) == docs.count()
+    loads = {}
+    for r in rows:
+        loads.setdefault(r.shard, []).append(r.slot)
+    assert max(map(len, loads.values())) - min(map(len, loads.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in loads.values())
+    texts = raw(docs)
+    for r in rows:
+        if r.doc_id is not None:
+            assert (r.size, r.text_crc32) == (len(texts[r.doc_id] or b"") + 1, zlib.crc32(texts[r.doc_id] or b""))
+    assert {(r.doc_id, r.shard, r.slot) for r in sharding.assign(docs.repartition(3), 8).collect()} == {
+        (r.doc_id, r.shard, r.slot) for r in rows}
+    assert sharding.assign(empty, 8).count() == 0
+
+
+def test_ring_moves_few_documents():
+    counts = {i: 10 for i in range(len(sharding.stretch_bounds(8)))}
+    for shards in (8, 9):
+        bounds = sharding.stretch_bounds(shards)
+        own = {i: 10 for i in range(len(bounds))}
+        seats = sharding.seat(own, shards, sharding.capacities(sum(own.values()), shards, 0.0))
+        loads = [0] * shards
+        for i, s in seats.items():
+            for a, b, shard, slot in zip(s.first, [*s.first[1:], own[i]], s.shard, s.slot, strict=True):
+                assert slot == loads[shard]
+                loads[shard] += b - a
+        assert max(loads) - min(loads) <= 1
+    # With slack, a new shard takes most of what moves.
+    bounds = sorted(set(sharding.stretch_bounds(8)) | set(sharding.stretch_bounds(9)))
+    home = {}
+    for shards in (8, 9):
+        nodes = sharding.ring(shards)
+        home[shards] = [next((s for p, s in nodes if p >= b), nodes[0][1]) for b in bounds]
+    moved = [(a, b) for a, b in zip(home[8], home[9], strict=True) if a != b]
+    assert moved and all(b == 8 for _, b in moved) and len(moved) < len(bounds) / 4
+    with pytest.raises(ValueError):
+        sharding.seat(counts, 8, [1] * 8)
+
+
+# op5
+
+def fingerprint_by_force(text):
+    cut = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), text or b""))
+    if not cut:
+        return 0
+    n = min(3, len(cut))
+    hashes = [xxhash.xxh64_intdigest(b" ".join(cut[i:i + n]), seed=42) for i in range(len(cut) - n + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(unique, docs, empty):
+    texts = raw(unique)
+    prints = {d: fingerprint_by_force(t) for d, t in texts.items()}
+    least = {d: d for d in prints}
+    for _ in prints:
+        least = {d: min(least[e] for e in prints if (prints[d] ^ prints[e]).bit_count() <= 3) for d in prints}
+    found = by_id(simhash.near_duplicates(unique))
+    assert {d: (r.bits % (1 << 64), r.component_id) for d, r in found.items()} == {
+        d: (prints[d], least[d]) for d in prints}
+    kept = {r.doc_id for r in simhash.keep_one(unique).collect()}
+    assert kept == {d for d in prints if least[d] == d}
+    odd = simhash.near_duplicates(docs).collect()
+    assert len(odd) == docs.count()
+    assert simhash.keep_one(docs).columns == docs.columns and simhash.near_duplicates(empty).count() == 0
+
+
+def test_block_join_loses_no_pair(spark):
+    random.seed(8)
+    base = random.getrandbits(64)
+    bits = {base}
+    while len(bits) < 400:
+        b = random.choice(sorted(bits))
+        for _ in range(random.randint(1, 5)):
+            b ^= 1 << random.randrange(64)
+        bits.add(b)
+    signed = [(b - (1 << 64) if b >> 63 else b,) for b in bits]
+    least = {b[0]: b[0] for b in signed}
+    for _ in range(30):
+        least = {b: min(least[c] for c in least if ((b ^ c) % (1 << 64)).bit_count() <= 3) for b in least}
+    nodes = spark.createDataFrame(signed, "bits long")
+    for cell in (2048, 7):
+        found = {r.node: r.component for r in components.connected_components(
+            simhash.close_pairs_forest(nodes, cell_rows=cell)).collect()}
+        assert {b: found.get(b, b) for b in least} == least
+
+
+# op6
+
+PRIVATE = [
+    "mail a.b+c@d-e.example.org, or x@y@z.com; a@b c@d.e a@b.c_d@e.f end@x.", "ip 10.0.0.255 and 10.0.0.256 1.2.3.4.5.6.7.8 0001.02.3.000 1.2.3",
+    "card 4111 1111 1111 1111, 4111-1111-1111-1112 and 5500005555555559x 12  34 5", "phone +1 (389) 555-5010. +44 20 7946 0958, +12, +1 2 3 ++49 (30) 1234567",
+    "é😀 me@ü.de ü me@mail.example.com 😀 +4915112345678", "9" * 3000 + " " + "a" * 3000 + "@", "1.2." * 500, "1 " * 3000, None, "",
+    "call (724) 555-7058 or write joe [at] site [dot] org; ssn 123-45-6789; password = \"a81b9c2d3e4f5a6b\"",
+]
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_by_force(text):
+    def passes(kind, said):
+        digits = re.sub("[^0-9]", "", said)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in said.split("."))
+        if kind == "card":
+            twice = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+            return 12 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in twice) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    found = [(m.start(), k, m.end()) for k, p in enumerate(PLAIN.values()) for m in re.finditer(p, text or "")
+             if passes(list(PLAIN)[k], m.group())]
+    return [f"{list(PLAIN)[k]}:{s}:{e}" for s, k, e in sorted(found)]
+
+
+def test_privacy_base_spans(spark, sf):
+    odd = spark.createDataFrame([(i, t, "x") for i, t in enumerate(PRIVATE)], "doc_id long, text string, proposed string")
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    for frame in (odd, table):
+        texts = {r.doc_id: r.text for r in frame.collect()}
+        kinds = F.array(*[F.lit(k) for k in privacy.KINDS])
+        for r in privacy.find(frame).select("doc_id", F.transform("spans", lambda s: F.struct(
+                F.get(kinds, s["rank"]).alias("kind"), s["start"], s["end"], s["base"])).alias("spans")).collect():
+            base = [f"{s[0]}:{s[1]}:{s[2]}" for s in r.spans if s[3]]
+            assert base == base_by_force(texts[r.doc_id]), texts[r.doc_id]
+            assert [s[1] for s in r.spans] == sorted(s[1] for s in r.spans)
+
+
+def test_privacy_query_digests(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in QUERIES["op6_privacy"](spark, sf).collect():
+        base = base_by_force(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b.startswith(k) for b in base) for k in PLAIN]
+        assert set(base) <= set(r.spans.split(",")) | {""}
+
+
+def test_privacy_masks(spark):
+    frame = spark.createDataFrame([(i, t, "x", 5) for i, t in enumerate(PRIVATE)],
+                                  "doc_id long, text string, row string, n_chars int")
+    out = privacy.mask(frame)
+    assert out.schema == frame.schema or out.columns == frame.columns
+    said = {r.doc_id: r for r in out.collect()}
+    assert said[4].text.startswith("é😀 me@ü.de ü <EMAIL> 😀 <PHONE>") and said[4].n_chars == len(said[4].text)
+    assert said[8].text is None and said[9].text == ""
+    assert "10.0.0.256" in said[1].text and "10.0.0.255" not in said[1].text
+    assert privacy.mask(frame.limit(0)).count() == 0
+
+
+def test_em_finds_the_unreliable_labeler():
+    random.seed(4)
+    counts = {}
+    for _ in range(5000):
+        y = random.random() < 0.3
+        vote = "".join("1" if (y if random.random() < r else not y) else "0" for r in (0.95, 0.9, 0.6, 0.9, 0.85))
+        counts[vote] = counts.get(vote, 0) + 1
+    prior, rates, posterior = privacy.expectation_maximisation(counts)
+    assert abs(prior - 0.3) < 0.05
+    assert max(range(5), key=lambda i: -rates[i][0]) == 2
+    assert posterior["11111"] > 0.99 and posterior["00000"] < 0.01
+
+
+# op7
+
+def test_winnowing(spark, unique, docs, empty):
+    texts = raw(unique)
+    long_one = max((t for t in texts.values() if t), key=len).decode().split()
+    items = [(1, " ".join(long_one[100:130])), (2, " ".join(long_one[500:512]).upper()), (3, "one"), (4, "a b c"), (5, ""),
+             (6, None), (7, "one two"), (2, " ".join(long_one[500:512])), (10, made_texts()[8]), (11, "never seen words " * 5), (None, "one")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
+    named = {}
+    for k, (item, t) in enumerate(items):
+        if item is not None:
+            named[(item, k)] = None if t is None else t.encode()
+    force = winnowing.hits_by_force(texts, named)
+    found = by_id(winnowing.decontaminate(unique, benchmark))
+    for d, (n, hit, met) in force.items():
+        want = sorted({str(i) for i, _ in met})
+        assert (found[d].n_words, found[d].n_hit, found[d].item_ids) == (n, hit, want)
+        assert sum(c.last - c.first for c in found[d].covered) == hit
+    clean = winnowing.clean_only(docs, benchmark)
+    assert clean.columns == docs.columns
+    assert {r.doc_id for r in clean.collect() if r.doc_id is not None} == {d for d, f in force.items() if not f[1]}
+    assert winnowing.decontaminate(empty, benchmark).count() == 0
+    assert {r.n_hit for r in winnowing.decontaminate(docs, benchmark.limit(0)).collect()} == {0}
+
+
+def test_winnowing_query(spark, sf):
+    read = lambda t, c: {r[0]: r[1].encode() for r in spark.read.parquet(f"{sf}/{t}.parquet").select(c, "text").collect()}
+    force = winnowing.hits_by_force(read("documents", "doc_id"), read("benchmark", "item_id"))
+    for r in QUERIES["op7_winnowing"](spark, sf).collect():
+        n, hit, met = force[r.doc_id]
+        digest = hashlib.sha256(",".join(sorted(map(str, met))).encode()).hexdigest()
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(met), digest, hit > 0)
+
+
+# op8
+
+def phrases_by_force(text, known):
+    n, at = 0, 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at:end + 1] in known:
+            end += 1
+        n, at = n + 1, end
+    return n
+
+
+def test_cross_parsing_counts_longest_matches():
+    random.seed(6)
+    texts = {k: "".join(random.choice(a) for _ in range(300)) for k, a in (("x", "ab c"), ("y", "bcd "), ("z", "é a"))}
+    made = language.Parser(texts)
+    asked = ["", "abcabc", "bdbd bd", "éé aqa", "qqq", "".join(random.choice("abcdé q") for _ in range(language.BLOCK))]
+    found = made.phrases(asked)
+    for i, t in enumerate(asked):
+        assert found[i].tolist() == [phrases_by_force(t, texts[k]) for k in sorted(texts)], t
+
+
+def test_language_query(spark, sf, docs, empty):
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op8_language"](spark, sf).collect()
+    held = [r for r in rows if r.held_out]
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95
+    assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    odd = language.identify(docs).collect()
+    texts = raw(docs)
+    for r in odd:
+        if r.doc_id is not None:
+            letter = any(c.isalpha() for c in (texts[r.doc_id] or b"").decode())
+            assert (r.lang_pred in ("en", "fr")) == letter and (r.lang_pred == "und") != letter
+    kept = language.known_only(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r.lang_pred != "und" for r in odd)
+    assert language.identify(empty).count() == 0
+    assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# op9
+
+def test_substrings(spark, unique, docs, empty):
+    texts = raw(unique)
+    force = substrings.removed_by_force(texts)
+    found = by_id(substrings.remove_repeats(unique))
+    for d, (n, gone, digest) in force.items():
+        assert (found[d].n_words, found[d].n_removed) == (n, gone), d
+        assert hashlib.sha256(found[d].text.encode()).hexdigest() == digest
+    assert sum(f[1] > 0 for f in force.values()) > 20
+    assert substrings.remove_repeats(docs).count() == docs.count()
+    assert substrings.remove_repeats(empty).count() == 0
+    short = substrings.removed_by_force(texts, 12)
+    assert {d: r.n_removed for d, r in by_id(substrings.remove_repeats(unique, 12, 6)).items()} == {
+        d: f[1] for d, f in short.items()}
+
+
+def test_substrings_query(spark, sf):
+    texts = raw(spark.read.parquet(f"{sf}/documents.parquet"))
+    force = substrings.removed_by_force(texts)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256)
+            for r in QUERIES["op9_substring_dedup"](spark, sf).collect()} == force
+
+
+# op10
+
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "\\b ### </turn>\n\\\\h"), (1, 2, "assistant", "### user: x</turn>\n"),
+            (1, 3, "user", None), (1, 4, "assistant", "é😀\\"), (1, 5, "user", "bye"), (2, 0, "user", "only"),
+            (3, None, None, ""), (3, 0, "a: b\n", "t"), (3, 0, "a: b\n", "t"), (None, 1, "assistant", "x"), (4, 0, "assistant", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("example", F.lit(1))
+    made = chat.examples(frame)
+    said = {}
+    for r in rows:
+        said.setdefault(r[0], []).append(r)
+    for r in made.collect():
+        if r.loss_length:
+            assert r.formatted[r.loss_start + r.loss_length:] == "</turn>\n"
+        assert r.formatted.endswith("</turn>\n")
+    for r in chat.read_back(made).collect():
+        own = sorted(said[r.conv_id], key=lambda x: (-1 if x[1] is None else x[1], x[2] or "", x[3] or ""))
+        assert [(t.role, t.text) for t in r.turns] == [(x[2] or "", x[3] or "") for x in own]
+        assert "".join(r.losses) == "".join(x[3] or "" for x in own if x[2] == "assistant")
+    count = {r.conv_id: r.n for r in made.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert count == {1: 3, 2: 1, 3: 1, None: 1, 4: 1}
+    assert chat.examples(frame.limit(0)).count() == 0
+
+
+# pipeline
+
+def test_pipeline(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    at = {"documents": table}
+    now = table
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = now
+        stage(spark, before, sf).write.parquet(str(tmp_path / str(i)))
+        now = at[name] = spark.read.parquet(str(tmp_path / str(i)))
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert now.columns == table.columns
+    ids = lambda f: {r.doc_id for r in f.select("doc_id").collect()}
+    texts = raw(table)
+    assert ids(at["language_id"]) == {d for d, t in texts.items() if any(c.isalpha() for c in (t or b"").decode())}
+    first = raw(at["language_id"])
+    prints = {d: fingerprint_by_force(t) for d, t in first.items()}
+    least = {d: d for d in prints}
+    for _ in range(8):
+        least = {d: min(least[e] for e in prints if (prints[d] ^ prints[e]).bit_count() <= 3) for d in prints}
+    assert ids(at["simhash_near_dedup"]) == {d for d in prints if least[d] == d}
+    items = {r.item_id: r.text.encode() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    hit = winnowing.hits_by_force(raw(at["simhash_near_dedup"]), items)
+    assert ids(at["benchmark_decontamination"]) == {d for d, f in hit.items() if not f[1]}
+    masked = {r.doc_id: r.text for r in at["personal_data"].collect()}
+    assert set(masked) == ids(at["benchmark_decontamination"])
+    assert not any(base_by_force(t) for t in masked.values())
+    assert ids(at["best_fit_packing"]) == set(masked)
+    assert {tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "piece", "length", "ids_crc32").collect()} == {
+        tuple(r) for r in at["best_fit_packing"].select("doc_id", "piece", "length", "ids_crc32").collect()}
