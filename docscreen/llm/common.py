@@ -52,8 +52,9 @@ def salted_cells(rows: DataFrame, keys: list[str], salt_by: str, limit: int) ->
 
     A key with n rows gets p = ceil(n / limit) parts; a row of part i goes to the cells (i, j) of
     every other part, so that any two rows of a key meet in exactly one cell, or, if they are of
-    the same part, in all of its cells but compare only in the diagonal one. No cell holds more
-    than two parts, whatever the size of the key. Adds ``cell`` (long) and ``part`` (int).
+    the same part, in all of its cells but compare only in the one that is theirs alone. No cell
+    holds more than two parts, whatever the size of the key. Adds ``cell`` (long), ``part`` (int)
+    and ``alone`` (boolean).
     """
     sizes = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
     parts = F.ceil(F.col("_n") / F.lit(limit)).cast("int")
@@ -63,7 +64,7 @@ def salted_cells(rows: DataFrame, keys: list[str], salt_by: str, limit: int) ->
              .withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_p") - 1))))
     return (dealt.withColumn("cell", F.least("part", "_q").cast("long") * F.col("_p")
                              + F.greatest("part", "_q"))
-            .drop("_n", "_p", "_q"))
+            .withColumn("alone", F.col("part") == F.col("_q")).drop("_n", "_p", "_q"))
 
 
 def runs(*arrays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -85,11 +85,10 @@ def close_pairs_forest(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int =
         for part in whole_runs(batches, ("choice", "key", "cell")):
             bits = part["bits"]
             first, length = runs(part["choice"], part["key"], part["cell"])
-            diagonal = np.repeat(np.logical_and.reduceat(part["part"] == part["part"][first].repeat(length), first), length)
             found = []
             for i, j in pairs_in_runs(first, length, _PAIRS_AT_ONCE):
                 # Rows of the same part meet only in the cell of that part.
-                meet = (part["part"][i] != part["part"][j]) | diagonal[i]
+                meet = (part["part"][i] != part["part"][j]) | part["alone"][i]
                 i, j = i[meet], j[meet]
                 near = np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)) <= max_bits
                 if near.any():

@@ -121,7 +121,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES
     full = (cells.join(distinct.select("node", "copies", "embedding"), "node")
             .repartition("label", "dim", "choice", "key", "cell")
             .sortWithinPartitions("label", "dim", "choice", "key", "cell")
-            .select("label", "dim", "choice", "key", "cell", "part", "node", "copies", "embedding"))
+            .select("label", "dim", "choice", "key", "cell", "part", "alone", "node", "copies", "embedding"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("found", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +153,10 @@ def _cell_links(own: dict[str, np.ndarray], dim: int, threshold: float, tables:
     factor = (turned * signs).sum(axis=1)
     node, copies, choice, part = own["node"], own["copies"], own["choice"], own["part"]
     first, length = runs(own["label"], choice, own["key"], own["cell"])
-    diagonal = np.repeat(np.logical_and.reduceat(part == part[first].repeat(length), first), length)
     got = np.zeros(len(node), dtype=np.int64)
     edges = []
     for i, j in pairs_in_runs(first, length, _PAIRS_AT_ONCE):
-        meet = (part[i] != part[j]) | diagonal[i]
+        meet = (part[i] != part[j]) | own["alone"][i]
         i, j = i[meet], j[meet]
         # Estimates in both directions; either may rule the pair out.
         near = upper_bound(np.einsum("ij,ij->i", turned[i], signs[j]), factor[j], dim) >= threshold

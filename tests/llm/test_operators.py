@@ -87,13 +87,12 @@ def test_cells_meet_every_pair_once(spark):
     assert {r.key for r in cells} == {1}
     by_cell = {}
     for r in cells:
-        by_cell.setdefault(r.cell, []).append((r.id, r.part))
+        by_cell.setdefault(r.cell, []).append((r.id, r.part, r.alone))
     met = {}
     for own in by_cell.values():
-        diagonal = len({p for _, p in own}) == 1
-        for i, (x, p) in enumerate(own):
-            for y, q in own[i + 1:]:
-                if p != q or diagonal:
+        for i, (x, p, alone) in enumerate(own):
+            for y, q, _ in own[i + 1:]:
+                if p != q or alone:
                     met[frozenset((x, y))] = met.get(frozenset((x, y)), 0) + 1
     assert len(met) == 250 * 249 // 2 and set(met.values()) == {1}
     assert max(map(len, by_cell.values())) < 250
