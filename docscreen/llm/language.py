@@ -5,7 +5,7 @@ greedily: each phrase is the longest match that occurs in the language's text, a
 that cannot extend it starts the next one. ``phrases * log2(size of the language's text) /
 characters`` estimates the cross entropy in bits; the language with the smallest wins.
 
-The automata are dense tables of next states in which a phrase break is a flag, so a block of
+The automata are dense tables of next states that also count the phrases ending, so a block of
 ``BLOCK`` characters is one lane and thousands of lanes advance together by array operations.
 Phrases end at block borders, alike for all languages. Every character of every text is parsed.
 
@@ -77,7 +77,8 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return go
 
 
-_BREAK = np.int32(1 << 30)
+#: Added to a next state for each phrase that ends on the way there.
+_PHRASE = np.int32(1 << 29)
 
 
 class Parser:
@@ -98,13 +99,12 @@ class Parser:
             for state, edges in enumerate(go):
                 for c, to in edges.items():
                     table[state, self.symbol[ord(c)]] = base + to
-            # No way on: the phrase ends and the character starts the next one at the root.
-            fresh = np.where(table[0] >= 0, table[0], base)
-            table = np.where(table >= 0, table, fresh[None, :] | _BREAK)
+            # No way on: the phrase ends and the character starts the next one at the root. One
+            # that the language does not have is a phrase of its own.
+            fresh = np.where(table[0] >= 0, table[0], base + _PHRASE)
+            table = np.where(table >= 0, table, fresh[None, :] + _PHRASE)
             table[0] = fresh
-            table[0, 0] = base | _BREAK
-            table[:, -1] = base  # padding: the last phrase of a block ends
-            table[1:, -1] |= _BREAK
+            table[0, -1], table[1:, -1] = base, base + _PHRASE  # padding ends the last phrase
             tables.append(table)
             self.roots.append(base)
             base += len(go)
@@ -127,8 +127,8 @@ class Parser:
         width = np.int32(self.width)
         for now in steps:
             state = self.next[state * width + now]
-            count += state >> 30
-            state &= _BREAK - 1
+            count += state >> 29
+            state &= _PHRASE - 1
         return np.add.reduceat(count, first[:-1], axis=1).T
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
