@@ -151,7 +151,7 @@ def _described(text: Column, spans: Column, kind: str, fixed: bool) -> Column:
         return F.struct(
             s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"),
             (passed & F.lit(fixed)).alias("base"), vote.alias("votes"),
-            F.array(F.lit(kind), size, grouped.cast("string"), left, right, cue.cast("string")).alias("features"))
+            F.array(F.when(passed, kind).otherwise(f"{kind}, not strict"), size, grouped.cast("string"), left, right, cue.cast("string")).alias("features"))
 
     return F.transform(spans, one)
 
@@ -299,7 +299,9 @@ def _said(spans: Column) -> Column:
 def query(spark, sf_dir: str) -> DataFrame:
     found = find(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["rank"] == k))).cast("long").alias(f"n_{kind}")
-              for k, kind in enumerate(BASE_KINDS)]
+    def number(rank: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["rank"] == rank))).cast("long")
+
+    counts = [number(k).alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)]
     return found.select("doc_id", *counts, F.sha2(_said(base), 256).alias("base_sha256"),
                         _said(F.col("spans")).alias("spans"))
