@@ -75,12 +75,12 @@ def casefold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-def dedup_key(text: Column, full_unicode: bool = False) -> Column:
-    """Case-folded text with every run of non-word characters as one space.
+def dedup_key(text: Column, full_unicode: bool = True) -> Column:
+    """Case-folded NFKC text with every run of non-word characters as one space.
 
-    ``full_unicode`` adds NFKC and full case folding through one vectorised UDF that only
-    receives the rows which need it; without it the key is a pure JVM expression and equal
-    for all text in composed Latin, Greek, Cyrillic and CJK letters.
+    Compatibility forms and full case folding come from one vectorised UDF that only receives the
+    rows which need it.  ``full_unicode=False`` leaves it out: the key is then a pure JVM
+    expression, and wrong for decomposed letters, ligatures and full-width forms.
     """
     if full_unicode:
         from docscreen.functions.unicode import nfkc_casefold
@@ -109,7 +109,7 @@ _PROTECT = (
     (r"\.net", " zqdotnet "),
     (r"([a-z0-9]+)\.(js|py|go|rb|ts)", " $1zqdot$2 "),
     (r"scikit-learn", " scikitzqdashlearn "),
-    (r"power +(bi|query)", " power_$1 "),
+    (rf"power[{C.SPACE}]*(bi|query)", " power_$1 "),
 )
 
 
@@ -190,11 +190,17 @@ ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçè
 UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
 
-def strip_accents(text: Column, full_unicode: bool = False) -> Column:
+def strip_accents(text: Column, full_unicode: bool = True) -> Column:
+    """Text without combining marks (NFKD); rows beyond Latin-1 letters go through one UDF."""
     if full_unicode:
         from docscreen.functions.unicode import nfkd_without_marks
 
         return nfkd_without_marks(text)
+    return translate_accents(text)
+
+
+def translate_accents(text: Column) -> Column:
+    """The accented Latin-1 letters only, in the JVM."""
     # Most texts have nothing to translate, and the test is far cheaper than the translation.
     return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(
         t, ACCENTED, UNACCENTED)).otherwise(t))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docscreen.functions.text import translate_accents
+
 # Letters for which NFKC is the identity (alone and next to each other) and for which
 # lower-casing equals case folding, apart from the sharp s: ASCII, Latin-1 letters, basic
 # Cyrillic, kana without marks, unified CJK.  Verified character by character in the tests.
@@ -44,4 +46,6 @@ def nfkc_casefold(text: Column) -> Column:
 
 
 def nfkd_without_marks(text: Column) -> Column:
-    return F.coalesce(_udf(_without_marks)(_needs(text, r"[^\x00-\x7F]")), text)
+    # Latin-1 letters have a native form; anything else, combining marks included, does not.
+    return F.coalesce(_udf(_without_marks)(_needs(text, r"[^\x00-\x7F\u00C0-\u00FF]")),
+                      translate_accents(text))

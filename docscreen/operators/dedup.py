@@ -96,7 +96,7 @@ def resolve_groups(df: DataFrame, key: Column, label: str = "label",
 
 
 def duplicate_audit(df: DataFrame, text: str = "text", label: str = "label",
-                    row_id: str = "doc_id", full_unicode: bool = False) -> DataFrame:
+                    row_id: str = "doc_id", full_unicode: bool = True) -> DataFrame:
     """The six duplicate and conflict numbers of a corpus.
 
     Both keys are computed in one pass; the exact key is finer than the normalised one, so the

@@ -97,12 +97,15 @@ def error_rate(df: DataFrame, label: str = "label", prediction: str = "predictio
                   F.count_if(F.col(label) != F.col(prediction)).alias("errors"))
 
 
-def error_words(errors: DataFrame, snippet: str = "snippet",
+def error_words(df: DataFrame, text: str = "text", label: str = "label",
+                prediction: str = "prediction", row_id: str = "doc_id",
                 words: Sequence[str] = C.ERROR_WATCH_WORDS) -> DataFrame:
-    """Watched words inside each snippet."""
-    low = F.lower(snippet)
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words]))
-    return errors.withColumn("words", found)
+    """Wrong rows with a snippet and the watched words of the whole text."""
+    found = X.let(F.lower(text), lambda low: F.array_compact(F.array(*[
+        F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words])))
+    return (df.filter(F.col(label) != F.col(prediction))
+            .select(row_id, label, prediction, X.snippet(F.col(text)).alias("snippet"),
+                    found.alias("words")))
 
 
 # -- tables of models (E8, J11, M9, M11) ---------------------------------------

@@ -12,11 +12,10 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import DenseMatrix, Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import DenseMatrix, VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docscreen import constants as C
 from docscreen.functions import text as X
@@ -104,12 +103,9 @@ class TfidfModel:
         kept = counts or "_counts"
         out = CountVectorizerModel.from_vocabulary(self.terms, inputCol=terms,
                                                    outputCol=kept).transform(df)
-        scaled = _log_scaled(F.col(kept)) if self.params.sublinear else F.col(kept)
-        out = out.withColumn("_scaled", scaled)
-        out = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_scaled",
-                                 outputCol="_weighted").transform(out)
-        out = Normalizer(p=2.0, inputCol="_weighted", outputCol=output).transform(out)
-        return out.drop("_scaled", "_weighted", *([] if counts else [kept]))
+        raw = F.unwrap_udt(F.col(kept))
+        weighed = _weighing(self.idf, self.params.sublinear)(raw["indices"], raw["values"])
+        return out.withColumn(output, weighed).drop(*([] if counts else [kept]))
 
     def weights(self, df: DataFrame, text: str, row_id: str = "doc_id") -> DataFrame:
         """Long form ``(row_id, term, weight)``."""
@@ -134,9 +130,6 @@ class TfidfModel:
         return cls([r.term for r in rows], [r.idf for r in rows], TfidfParams(**params))
 
 
-_SPARSE = T.StructType([T.StructField("v", VectorUDT())])
-
-
 def vector_entries(vector):
     """``array<struct<index, value>>`` of a sparse vector column."""
     raw = F.unwrap_udt(vector)
@@ -144,23 +137,29 @@ def vector_entries(vector):
         i.alias("index"), v.alias("value"))))
 
 
-def _log_scaled(vector):
-    """``1 + ln(count)`` for the stored entries of a sparse vector."""
-    def rebuild(raw):
-        return F.to_json(F.struct(F.struct(
-            raw["type"].alias("type"), raw["size"].alias("size"), raw["indices"].alias("indices"),
-            F.transform(raw["values"], lambda x: F.lit(1.0) + F.log(x)).alias("values")
-        ).alias("v")))
+def _weighing(idf: list[float], sublinear: bool):
+    """Counts to L2-normalised weights: whole Arrow batches as flat arrays."""
+    factors = np.asarray(idf)
+
+    def weigh(indices: pd.Series, values: pd.Series) -> pd.DataFrame:
+        ends = np.cumsum([len(i) for i in indices])
+        at = np.concatenate([np.asarray(i, dtype=np.int64) for i in indices])
+        tf = np.concatenate([np.asarray(v, dtype=np.float64) for v in values])
+        w = (1.0 + np.log(tf) if sublinear else tf) * factors[at]
+        row = np.repeat(np.arange(len(indices)), np.diff(ends, prepend=0))
+        norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(indices)))
+        w = w / norm[row]
+        return pd.DataFrame({"type": 0, "size": len(factors), "indices": indices,
+                             "values": np.split(w, ends[:-1])})
 
-    # There is no cast from struct to the vector type; its JSON form is read back as one.
-    return F.from_json(X.let(F.unwrap_udt(vector), rebuild), _SPARSE)["v"]
+    return F.pandas_udf(weigh, VectorUDT())
 
 
 # -- naive Bayes parameters in plain aggregates (M1) ---------------------------
 
 def naive_bayes_parameters(df: DataFrame, text: str, label: str, model: TfidfModel,
                            alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Log priors per class, and log probabilities per (class, term) seen in that class."""
+    """Log priors per class, and log probabilities of every (class, term), seen or not."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
     n = df.agg(F.count(F.lit(1))).scalar()
     priors = counts.select(label, F.log(F.col("rows") / n).alias("log_prior"))
@@ -170,9 +169,11 @@ def naive_bayes_parameters(df: DataFrame, text: str, label: str, model: TfidfMod
                 .groupBy(label, "term").agg(F.sum("tf").alias("tf")))
     per_class = per_term.groupBy(label).agg(F.sum("tf").alias("total"))
     size = len(model.terms)
-    # One row per class: far below any broadcast limit only if classes are few, so Spark decides.
-    probabilities = per_term.join(per_class, label).select(
-        label, "term", F.log((F.col("tf") + alpha) / (F.col("total") + alpha * size))
+    grid = (counts.filter(F.col(label).isNotNull()).join(per_class, label, "left")
+            .withColumn("_terms", terms.agg(F.collect_list("term")).scalar())
+            .select(label, F.coalesce("total", F.lit(0)).alias("total"), F.explode("_terms").alias("term")))
+    probabilities = grid.join(per_term, [label, "term"], "left").select(
+        label, "term", F.log((F.coalesce("tf", F.lit(0)) + alpha) / (F.col("total") + alpha * size))
         .alias("log_probability"))
     return priors, probabilities
 
@@ -191,12 +192,11 @@ class LsaModel:
     def fit(cls, vectors: DataFrame, column: str = "features", dimensions: int = 256,
             ) -> "LsaModel":
         """Distributed Lanczos iterations; the driver holds ``terms x dimensions`` only."""
-        from pyspark.mllib.linalg import Vectors as OldVectors
         from pyspark.mllib.linalg.distributed import RowMatrix
+        from pyspark.mllib.util import MLUtils
 
         size = vectors.select(column).first()[0].size
-        rows = vectors.select(column).rdd.map(lambda r: OldVectors.fromML(r[0]))
-        found = RowMatrix(rows).computeSVD(min(dimensions, size - 1), computeU=False)
+        found = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select(column), column)).computeSVD(min(dimensions, size - 1), computeU=False)
         v = found.V
         model = cls(DenseMatrix(v.numRows, v.numCols, v.toArray().ravel(order="F")),
                     list(found.s))
@@ -263,15 +263,16 @@ def near_duplicates(df: DataFrame, text: str, row_id: str = "doc_id",
     vectors = cut_lineage(
         vectors.select(row_id, raw["indices"].alias("at"), raw["values"].alias("w"),
                        counts["values"].alias("tf"))
-        .filter(F.size("at") > 0)
+        # A row without a term equals no other row.
         .select(row_id, "at", "w",
-                F.unhex(F.md5(F.concat_ws("|", F.array_join("at", ","), F.array_join(
-                    F.transform("tf", lambda x: x.cast("int")), ",")))).alias("_key")))
+                F.unhex(F.md5(F.when(F.size("at") == 0, F.concat(F.lit("row "), F.col(row_id).cast("string")))
+                              .otherwise(F.concat_ws("|", F.array_join("at", ","), F.array_join(
+                                  F.transform("tf", lambda x: x.cast("int")), ","))))).alias("_key")))
     groups = vectors.groupBy("_key").agg(F.min(row_id).alias(row_id),
                                          F.count(F.lit(1)).alias("copies"))
     copies = with_group_stats(vectors.select(row_id, "_key"), ["_key"], row_id,
                               rep_id=F.min(row_id), copies=F.count(F.lit(1))).drop("_key")
-    reps = (vectors.select(row_id, "at", "w").join(groups.select(row_id, "copies"), row_id)
+    reps = (vectors.filter(F.size("at") > 0).select(row_id, "at", "w").join(groups.select(row_id, "copies"), row_id)
             .withColumn("prefix", _leading_part(F.arrays_zip("at", "w"), threshold))
             .withColumn("sketch", _sketch(F.arrays_zip("at", "w"))))
     return copies, _near_pairs(cut_lineage(reps), row_id, threshold, len(vocab))
@@ -322,7 +323,8 @@ def _cosine(size: int):
             dense[ia] = 0.0
         return pd.Series(out)
 
-    return F.pandas_udf(products, "double")
+    # Otherwise the filter on the result is pushed below the projection and computes it again.
+    return F.pandas_udf(products, "double").asNondeterministic()
 
 
 def _near_pairs(reps: DataFrame, row_id: str, threshold: float, size: int) -> DataFrame:

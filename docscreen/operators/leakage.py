@@ -131,7 +131,7 @@ def label_marker(text: Column, label: Column) -> Column:
     return F.coalesce(ends & head.rlike(C.MARKER_HEAD), F.lit(False))
 
 
-def label_suffix(text: Column, label: Column, full_unicode: bool = False) -> Column:
+def label_suffix(text: Column, label: Column, full_unicode: bool = True) -> Column:
     """Normalised text ends with the normalised label as whole words."""
     key, own = X.dedup_key(text, full_unicode), X.dedup_key(label, full_unicode)
     return F.coalesce(F.endswith(F.concat(F.lit(" "), key), F.concat(F.lit(" "), own)),
@@ -227,6 +227,28 @@ def boilerplate(df: DataFrame, text: str = "text", label: str = "label", row_id:
             .withColumn("suspicious", F.col("share") > share))
 
 
+def boilerplate_windows(df: DataFrame, text: str = "text", label: str = "label",
+                        row_id: str = "doc_id", share: float = C.BOILERPLATE_SHARE,
+                        window: int = C.BOILERPLATE_WINDOW,
+                        min_rows: int = C.TINY_CLASS_ROWS) -> DataFrame:
+    """Windows that more than ``share`` of a class's texts have, from all windows of all texts.
+
+    Windows start at multiples of their length and count once per text; they are aggregated by
+    class and window, so no text is picked as the model of its class.
+    """
+    known = df.filter(F.col(label).isNotNull())
+    sizes = known.groupBy(label).agg(F.count(F.lit(1)).alias("_class_rows"))
+    cuts = X.let(F.lower(text), lambda low: F.array_distinct(F.transform(
+        F.filter(F.sequence(F.lit(0), F.floor(F.length(low) / window).cast("int")),
+                 lambda i: (i + 1) * window <= F.length(low)),
+        lambda i: F.substring(low, i * window + 1, F.lit(window)))))
+    counted = (unnest(known, cuts, "block", label).groupBy(label, "block")
+               .agg(F.count(F.lit(1)).alias("rows")))
+    return (counted.join(sizes, label)
+            .filter((F.col("_class_rows") >= min_rows) & (F.col("rows") > F.col("_class_rows") * share))
+            .select(label, "block", "rows", F.round(F.col("rows") / F.col("_class_rows"), 6).alias("share")))
+
+
 # -- verdicts (L12, L13) --------------------------------------------------------
 
 def leak_verdict(df: DataFrame, text: str = "text", label: str = "label",

@@ -73,7 +73,7 @@ class Classifier:
 
     def predict(self, df: DataFrame, k: int = 3) -> DataFrame:
         """Add ``prediction``, ``confidence`` (null without probabilities), ``top_predictions``."""
-        ordered = F.array_sort(F.transform(self.named_scores("_scores"), lambda s: F.struct(
+        ordered = F.sort_array(F.transform(self.named_scores("_scores"), lambda s: F.struct(
             (-s["score"]).alias("neg"), s["name"].alias("role"))))
         top = F.transform(F.slice(ordered, 1, k), lambda s: F.struct(
             s["role"].alias("role"), (-s["neg"]).alias("confidence")))

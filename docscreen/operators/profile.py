@@ -70,16 +70,29 @@ def length_stats(df: DataFrame, column: str, approximate: bool = False) -> DataF
 
 
 def length_histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
-    """Equal-width bins between the shortest and the longest text (A4)."""
-    sizes = df.select(F.length(F.coalesce(F.col(column), F.lit(""))).alias("n"))
-    limits = sizes.agg(F.struct(F.min("n").alias("low"), F.max("n").alias("high"))).scalar()
+    """Equal-width bins of characters and tokens with their edges and the median (A4).
+
+    Every bin between the shortest and the longest text is there, empty ones included.
+    """
+    text = F.coalesce(F.col(column), F.lit(""))
     # Rows with the same length share everything that follows.
-    counted = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).withColumn("_limits", limits)
-    low, high = F.col("_limits.low"), F.col("_limits.high")
-    bin_no = F.least(F.floor((F.col("n") - low) * bins / F.greatest(high - low, F.lit(1))),
-                     F.lit(bins - 1))
-    return (counted.groupBy(_as_long(bin_no).alias("bin"))
-            .agg(F.sum("rows").alias("rows")))
+    counted = (df.select(F.inline(F.array(
+        F.struct(F.lit("chars").alias("measure"), F.length(text).alias("n")),
+        F.struct(F.lit("tokens").alias("measure"), X.word_count(text).alias("n")))))
+        .groupBy("measure", "n").agg(F.count(F.lit(1)).alias("rows")))
+    limits = counted.groupBy("measure").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.expr("percentile(n, 0.5, rows)").alias("median"))
+    width = F.greatest(F.col("high") - F.col("low"), F.lit(1)) / bins
+    grid = limits.select("measure", "median", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
+                         (F.col("low") + F.col("bin") * width).alias("from_length"),
+                         (F.col("low") + (F.col("bin") + 1) * width).alias("to_length"))
+    bin_no = F.least(F.floor((F.col("n") - F.col("low")) * bins / F.greatest(
+        F.col("high") - F.col("low"), F.lit(1))), F.lit(bins - 1))
+    filled = (counted.join(limits.select("measure", "low", "high"), "measure")
+              .groupBy("measure", bin_no.alias("bin")).agg(F.sum("rows").alias("rows")))
+    return (grid.join(filled, ["measure", "bin"], "left")
+            .select("measure", _as_long(F.col("bin")).alias("bin"), "from_length", "to_length",
+                    F.coalesce("rows", F.lit(0)).alias("rows"), "median"))
 
 
 # -- classes -----------------------------------------------------------------

@@ -147,17 +147,17 @@ def flag_short(df: DataFrame, text: str = "text", chars: int = C.SHORT_CHARS) ->
 
 # -- labels by dictionary (J1) ------------------------------------------------
 
-# Dictionaries up to this size become a literal map inside the expression.
-LITERAL_DICTIONARY = 512
-
-
 def label_from_first_line(text: Column, mapping: Mapping[str, str]) -> Column:
-    """Label of the first line; blank gives null, no entry gives ``Unknown: <40 chars>``."""
+    """Label of the first line; blank gives null, no entry gives ``Unknown: <40 chars>``.
+
+    The mapping is one literal map; dictionaries that grow with the data are tables and go through
+    :func:`label_by_dictionary`.
+    """
     entries = {k.strip().lower(): v for k, v in mapping.items()}
-    if len(entries) > LITERAL_DICTIONARY:
-        raise ValueError("use label_by_dictionary with a DataFrame for large dictionaries")
-    found = F.coalesce(*[F.when(X.first_line(text) == k, F.lit(v)) for k, v in entries.items()])
-    return _or_unknown(text, found)
+    if not entries:
+        return _or_unknown(text, F.lit(None).cast("string"))
+    table = F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+    return _or_unknown(text, F.try_element_at(table, X.first_line(text)))
 
 
 def _or_unknown(text: Column, found: Column) -> Column:
@@ -181,5 +181,4 @@ def label_by_dictionary(df: DataFrame, text: str, dictionary: DataFrame) -> Data
 
 def before_after(df: DataFrame, row_id: str, text: str, steps=X.CLEANING_STEPS) -> DataFrame:
     cleaned = reduce(lambda column, step: step(column), steps, F.col(text))
-    return df.select(row_id, F.left(text, F.lit(200)).alias("before"),
-                     F.left(cleaned, F.lit(200)).alias("after"))
+    return df.select(row_id, F.col(text).alias("before"), cleaned.alias("after"))

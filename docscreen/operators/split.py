@@ -70,9 +70,14 @@ def stratified_split(df: DataFrame, label: str = "label", row_id: str = "doc_id"
 
 def stratified_folds(df: DataFrame, k: int = 5, label: str = "label", row_id: str = "doc_id",
                      seed: int = C.SEED) -> DataFrame:
-    """``(label, row_id, fold)`` with fold sizes per class within one row."""
-    ranked = exact_rank(df.filter(F.col(label).isNotNull()), label, row_id, seed)
-    return ranked.select(label, row_id, ((F.col("rank") - 1) % k).cast("int").alias("fold"))
+    """``(label, row_id, fold)`` with fold sizes per class within one row.
+
+    Rows without a label keep a null fold, as they keep a null split in ``stratified_split``.
+    """
+    known = F.col(label).isNotNull()
+    ranked = exact_rank(df.filter(known), label, row_id, seed)
+    folds = ranked.select(label, row_id, ((F.col("rank") - 1) % k).cast("int").alias("fold"))
+    return folds.unionByName(df.filter(~known).select(label, row_id, F.lit(None).cast("int").alias("fold")))
 
 
 def members(df: DataFrame, ids: DataFrame, row_id: str = "doc_id") -> DataFrame:
@@ -81,12 +86,23 @@ def members(df: DataFrame, ids: DataFrame, row_id: str = "doc_id") -> DataFrame:
 
 
 def split_overlap(df: DataFrame, key, split: str = "split") -> DataFrame:
-    """Keys shared by each pair of splits (J4), all pairs from one aggregation."""
-    sets = (df.select(X.key_hash(key).alias("_key"), split).groupBy("_key")
-            .agg(F.sort_array(F.collect_set(split)).alias("s")).filter(F.size("s") > 1))
-    pairs = sets.select(F.explode("s").alias("split_a"), "s").select(
-        "split_a", F.explode(F.filter("s", lambda x: x > F.col("split_a"))).alias("split_b"))
-    return pairs.groupBy("split_a", "split_b").agg(F.count(F.lit(1)).alias("shared"))
+    """Keys shared by each pair of splits, pairs that share none included.
+
+    One aggregation over the keys; what follows are the few sets of splits that occur.
+    """
+    sets = (df.filter(F.col(split).isNotNull()).select(X.key_hash(key).alias("_key"), split)
+            .groupBy("_key").agg(F.sort_array(F.collect_set(split)).alias("s")).groupBy("s")
+            .agg(F.count(F.lit(1)).alias("n")))
+    all_sets = sets.agg(F.collect_list(F.struct("s", "n")).alias("sets")).withColumn(
+        "names", F.array_sort(F.array_distinct(F.flatten(F.transform("sets", lambda x: x["s"])))))
+    pairs = all_sets.select("sets", "names", F.explode("names").alias("split_a")).select(
+        "sets", "split_a", F.explode(F.filter("names", lambda x: x > F.col("split_a"))).alias("split_b"))
+
+    def both(x):
+        return F.array_contains(x["s"], F.col("split_a")) & F.array_contains(x["s"], F.col("split_b"))
+
+    return pairs.select("split_a", "split_b", F.aggregate(
+        F.filter("sets", both), F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("shared"))
 
 
 def split_partition(full: DataFrame, parts: DataFrame, row_id: str = "doc_id") -> DataFrame:
@@ -114,7 +130,7 @@ def require_clean_splits(full: DataFrame, parts: DataFrame, text: str = "text",
     faults = split_partition(full, parts, row_id).first()
     if faults.missing or faults.foreign or faults.repeated:
         raise LeakageError(f"splits do not partition the corpus: {faults.asDict()}")
-    shared = split_overlap(parts, X.dedup_key(F.col(text), full_unicode=True)).collect()
+    shared = split_overlap(parts, X.dedup_key(F.col(text))).filter("shared > 0").collect()
     if shared:  # at most one row per pair of splits
         raise LeakageError(f"texts shared between splits: {[r.asDict() for r in shared]}")
     return parts

@@ -125,8 +125,8 @@ oracle("min_tokens", f"SELECT doc_id, CAST(len({words('c')}) AS INTEGER) AS n FR
        f"(SELECT doc_id, {clean('text')} AS c FROM documents) WHERE len({words('c')}) >= 20")
 oracle("viable_classes", """
 SELECT doc_id, label FROM (
- SELECT doc_id, left(lower(text), 2) AS label,
-        count(*) OVER (PARTITION BY left(lower(text), 2)) AS n FROM documents) WHERE n >= 3""")
+ SELECT doc_id, lang || '/' || source AS label,
+        count(*) OVER (PARTITION BY lang, source) AS n FROM documents) WHERE n >= 3""")
 oracle("short_flags", "SELECT doc_id, length(text) < 100 AS is_short FROM documents")
 oracle("snippets", "SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' "
        "ELSE text END AS snippet FROM documents")
@@ -137,8 +137,7 @@ oracle("label_lookup", f"SELECT conv_id, turn, {LOOKUP} AS mapped_label FROM con
 oracle("label_lookup_table", """
 SELECT c_custkey, r_name AS mapped_label FROM customer
 JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
-oracle("before_after", f"SELECT doc_id, left(text, 200) AS before, left({clean('text')}, 200) "
-       "AS after FROM documents")
+oracle("before_after", f"SELECT doc_id, text AS before, {clean('text')} AS after FROM documents")
 
 # -- aggregations ----------------------------------------------------------------
 _QP = """SELECT count(*) AS total, count(*) FILTER ({t} IS NULL) AS missing,
@@ -160,11 +159,13 @@ _LS = """SELECT '{m}' AS measure, round(avg(n), 6) AS mean, CAST(median(n) AS DO
  FROM (SELECT {e} AS n FROM documents)"""
 oracle("length_stats", _LS.format(m="chars", e="length(text)") + " UNION ALL "
        + _LS.format(m="tokens", e=f"len({words('text')})"))
-oracle("length_hist", """
-SELECT least(CAST(floor((n - lo) * 40.0 / greatest(hi - lo, 1)) AS BIGINT), 39) AS bin,
- count(*) AS rows
-FROM (SELECT length(text) AS n FROM documents),
-     (SELECT min(length(text)) AS lo, max(length(text)) AS hi FROM documents) GROUP BY 1""")
+_HIST = """SELECT '{m}' AS measure, bin, round(lo + bin * greatest(hi - lo, 1) / 40.0, 6) AS from_length,
+ round(lo + (bin + 1) * greatest(hi - lo, 1) / 40.0, 6) AS to_length,
+ (SELECT count(*) FROM {m} WHERE least(floor((n - lo) * 40.0 / greatest(hi - lo, 1)), 39) = bin) AS rows, mid AS median
+FROM (SELECT min(n) AS lo, max(n) AS hi, CAST(median(n) AS DOUBLE) AS mid FROM {m}), range(40) r(bin)"""
+oracle("length_hist", _HIST.format(m="chars") + " UNION ALL " + _HIST.format(m="tokens"),
+       "chars AS (SELECT length(text) AS n FROM documents)",
+       f"tokens AS (SELECT len({words('text')}) AS n FROM documents)")
 oracle("class_dist", "SELECT lang AS label, count(*) AS rows, "
        "round(count(*) * 100.0 / (SELECT count(*) FROM documents), 2) AS percent "
        "FROM documents GROUP BY 1")
@@ -173,7 +174,7 @@ SELECT count(*) AS classes, min(n) AS min_rows,
  (SELECT label FROM c ORDER BY n, label LIMIT 1) AS min_label, max(n) AS max_rows,
  (SELECT label FROM c ORDER BY n DESC, label LIMIT 1) AS max_label, round(avg(n), 6) AS mean_rows
 FROM c""", "c AS (SELECT lang AS label, count(*) AS n FROM documents GROUP BY 1)")
-oracle("tiny_classes", "SELECT left(lower(text), 2) AS label, count(*) AS rows FROM documents "
+oracle("tiny_classes", "SELECT lang || '/' || source AS label, count(*) AS rows FROM documents "
        "GROUP BY 1 HAVING count(*) < 5")
 oracle("label_validation", f"""
 SELECT count(*) AS total,
@@ -243,15 +244,12 @@ oracle("kfold", "SELECT label, doc_id, CAST((row_number() OVER (PARTITION BY lab
 oracle("split_semi", "SELECT doc_id, label FROM docs WHERE doc_id IN "
        "(SELECT doc_id FROM labels WHERE quality = 1)", LANG)
 oracle("split_overlap", f"""
-SELECT a.split AS split_a, b.split AS split_b, count(DISTINCT a.k) AS shared
-FROM (SELECT split, {key('text')} AS k FROM parts) a
-JOIN (SELECT split, {key('text')} AS k FROM parts) b ON a.k = b.k AND a.split < b.split
-GROUP BY 1, 2""", *split_ctes(LANG))
-oracle("split_partition", """
-SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels))
- AS missing,
- (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS "foreign",
- (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)) AS repeated""")
+SELECT x.split AS split_a, y.split AS split_b, (SELECT count(DISTINCT a.k)
+ FROM (SELECT split, {key('text')} AS k FROM parts) a
+ JOIN (SELECT split, {key('text')} AS k FROM parts) b ON a.k = b.k
+ WHERE a.split = x.split AND b.split = y.split) AS shared
+FROM (SELECT DISTINCT split FROM parts) x JOIN (SELECT DISTINCT split FROM parts) y ON x.split < y.split""",
+       *split_ctes(LANG))
 
 # -- repeats and conflicts -----------------------------------------------------------
 KEYED = f"keyed AS (SELECT doc_id, text, label, {key('text')} AS k FROM docs)"
@@ -291,6 +289,11 @@ _AUDITED = [LANG.replace("docs AS", "raw AS"),
             f"keyed AS (SELECT doc_id, text, label, {key('text')} AS k FROM raw)", GROUPS, CORPUS]
 _SPLIT_CORPUS = split_ctes("docs AS (SELECT * FROM corpus)")
 oracle("audited_splits", "SELECT doc_id, label, split FROM parts", *_AUDITED, *_SPLIT_CORPUS)
+oracle("split_partition", """
+SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p)) AS missing,
+ (SELECT count(*) FROM p WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS "foreign",
+ (SELECT count(*) FROM (SELECT doc_id FROM p GROUP BY 1 HAVING count(*) > 1)) AS repeated""",
+       f"p AS ({ORACLES['audited_splits']})")
 
 
 def suffix(text: str, label: str) -> str:
@@ -338,7 +341,7 @@ oracle("step_addresses", "SELECT doc_id, "
 per_doc("step_special", out=special("text"))
 per_doc("step_spaces", out=collapse("text"))
 per_doc("norm_key", key=key("text"))
-per_doc("norm_key_unicode", key=key("text"))
+per_doc("norm_key_unicode", key=key("('café fi abc ' || text)"))
 
 
 def bounded(pattern: str) -> str:
@@ -356,7 +359,7 @@ def clean_tech(text: str) -> str:
     for _ in range(2):
         out = rep(out, f"(^|[^{W}])([a-z0-9]+)\\.(js|py|go|rb|ts)($|[^{W}])", r"\1 \2zqdot\3 \4")
     for _ in range(2):
-        out = rep(out, f"(^|[^{W}])power +(bi|query)($|[^{W}])", r"\1 power_\2 \3")
+        out = rep(out, f"(^|[^{W}])power[{S}]*(bi|query)($|[^{W}])", r"\1 power_\2 \3")
     for pattern in (C.URL, C.TECH_EMAIL, C.TECH_PHONE, C.TECH_OTHER):
         out = rep(out, pattern, " ")
     for a, b in (("zqplus", "+"), ("zqhash", "#"), ("zqdot", "."), ("zqdash", "-")):
@@ -367,7 +370,7 @@ def clean_tech(text: str) -> str:
 
 
 per_doc("clean_tech", clean=clean_tech(
-    "'C++, C# (.NET/ASP.NET) node.js main.py Power BI scikit-learn; ' || text"))
+    "'C++, C# (.NET/ASP.NET) node.js main.py Power' || chr(10) || 'BI PowerQuery scikit-learn; ' || text"))
 per_doc("first_line", line=LINE)
 per_page("quoted_items", items="array_to_string(list_concat("
          f"regexp_extract_all(html, {s("'([^']{2,80})'")}, 1), "
@@ -406,7 +409,7 @@ SELECT term, count(*) AS n FROM (
  SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM tok)
 GROUP BY term""", f"tok AS (SELECT {tokens('text')} AS t FROM documents)")
 per_doc("strip_accents", out="strip_accents(text)")
-per_doc("strip_accents_unicode", out="strip_accents(text)")
+per_doc("strip_accents_unicode", out="'salek caj fin ' || strip_accents(text)")
 per_doc("stopwords", out=f"array_to_string(list_filter({words('lower(text)')}, "
         f"lambda x: NOT list_contains({listing(Q.STOP_WORDS)}, x)), ' ')")
 
@@ -475,6 +478,16 @@ FROM head d JOIN w USING (label) GROUP BY d.label, w.no, w.block""", LANG,
        "w AS (SELECT label, no, substring(text, no * 60 + 1, 60) AS block FROM (SELECT label, "
        "left(arg_min(text, doc_id), 300) AS text FROM head GROUP BY label HAVING count(*) >= 5), "
        "(VALUES (0), (1), (2)) n(no) WHERE length(substring(text, no * 60 + 1, 60)) = 60)")
+oracle("boilerplate_windows", """
+SELECT label, block, rows, round(rows / total, 6) AS share FROM (
+ SELECT label, block, count(*) AS rows FROM (
+  SELECT DISTINCT doc_id, label, substring(text, CAST(i * 60 + 1 AS BIGINT), 60) AS block
+  FROM head, LATERAL (SELECT unnest(range(0, length(text) // 60)) AS i)) GROUP BY 1, 2)
+JOIN (SELECT label, count(*) AS total FROM head GROUP BY 1) USING (label)
+WHERE total >= 5 AND rows > 0.7 * total""", LANG,
+       "head AS (SELECT doc_id, label, lower(CASE WHEN label IN ('fr', 'de') THEN label || "
+       "' company profile, equal opportunity, all rights ' || "
+       "'reserved by the owner of this page. ' || text ELSE text END) AS text FROM docs)")
 _VERDICT = """
 SELECT verbatim, markers, repeats, conflicts, points,
  CASE WHEN points = 0 THEN 'pass' WHEN points <= 2 THEN 'minor' ELSE 'fail' END AS verdict
@@ -535,8 +548,9 @@ oracle("tfidf_transform", _WEIGHTS.format(t="tt"), *split_ctes(LANG),
 oracle("nb_params", """
 SELECT label, term, round(ln((n + 1.0) / (sum(n) OVER (PARTITION BY label) +
  (SELECT count(*) FROM v))), 6) AS value
-FROM (SELECT label, term, sum(tf) AS n FROM t JOIN v USING (term) JOIN docs USING (doc_id)
- GROUP BY 1, 2)
+FROM (SELECT c.label, v.term, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT label FROM docs) c CROSS JOIN v
+ LEFT JOIN (SELECT label, term, sum(tf) AS n FROM t JOIN docs USING (doc_id) GROUP BY 1, 2) s
+ ON s.label = c.label AND s.term = v.term)
 UNION ALL SELECT label, '(prior)', round(ln(count(*) / (SELECT count(*) FROM docs)), 6)
 FROM docs GROUP BY label""", LANG, terms_cte("t", "text", "docs", False),
        vocab_cte("v", "t", "docs", 500, 2, 0.95))
@@ -547,6 +561,8 @@ _NEAR = [f"cdocs AS (SELECT doc_id, {clean('text')} AS c FROM documents)",
          "sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)",
          "cop AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS rep_id, "
          "count(*) OVER (PARTITION BY sig) AS copies, norm FROM sig)",
+         "allcop AS (SELECT doc_id, rep_id, copies FROM cop UNION ALL SELECT doc_id, doc_id, 1 "
+         "FROM cdocs WHERE doc_id NOT IN (SELECT doc_id FROM w))",
          "rep AS (SELECT * FROM cop WHERE doc_id = rep_id)",
          "u AS (SELECT doc_id, term, copies, w / norm AS w FROM w JOIN rep USING (doc_id))",
          "near AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, a.copies AS copies_a, "
@@ -554,7 +570,7 @@ _NEAR = [f"cdocs AS (SELECT doc_id, {clean('text')} AS c FROM documents)",
          "ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4 "
          "HAVING round(sum(a.w * b.w), 6) >= 0.95)"]
 oracle("near_dups", "SELECT * FROM near", *_NEAR)
-oracle("near_dup_copies", "SELECT doc_id, rep_id, copies FROM cop", *_NEAR[:-2])
+oracle("near_dup_copies", "SELECT doc_id, rep_id, copies FROM allcop", *_NEAR[:-3])
 oracle("near_dup_summary", """
 SELECT CAST((SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM cop GROUP BY rep_id))
  AS BIGINT) AS equal_pairs,
@@ -598,7 +614,7 @@ _SNIP = "CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text EN
 oracle("misclassified", f"SELECT doc_id, label, prediction, {_SNIP} AS snippet FROM pred "
        "WHERE label <> prediction", *PREDICTED)
 oracle("error_words", f"SELECT doc_id, array_to_string(list_filter({listing(Q.WATCH_WORDS)}, "
-       f"lambda w: contains(lower({_SNIP}), w)), '|') AS words FROM pred WHERE label <> prediction",
+       "lambda w: contains(lower(text), w)), '|') AS words FROM pred WHERE label <> prediction",
        *PREDICTED)
 oracle("error_pairs", "SELECT label, prediction, count(*) AS rows FROM pred WHERE label <> prediction "
        "GROUP BY 1, 2 ORDER BY rows DESC, label, prediction LIMIT 10", *PREDICTED)

@@ -15,7 +15,7 @@ from docscreen.session import cut_lineage
 
 
 def classify_rows(df: DataFrame, text: str = "text", label: str = "label",
-                  row_id: str = "doc_id", full_unicode: bool = False) -> DataFrame:
+                  row_id: str = "doc_id", full_unicode: bool = True) -> DataFrame:
     """``(row_id, reason)``: why a row leaves the corpus, ``kept`` if it stays.
 
     The first rule that applies decides, so a row with two faults is counted once.
@@ -35,7 +35,7 @@ def classify_rows(df: DataFrame, text: str = "text", label: str = "label",
 
 
 def filter_ledger(df: DataFrame, text: str = "text", label: str = "label",
-                  row_id: str = "doc_id", full_unicode: bool = False) -> DataFrame:
+                  row_id: str = "doc_id", full_unicode: bool = True) -> DataFrame:
     """Rows per reason (A16), from the group sizes alone."""
     blank = X.is_blank(F.col(text)) | X.is_blank(F.col(label))
     key = X.key_hash(X.dedup_key(F.col(text), full_unicode))
@@ -57,7 +57,7 @@ def _part(reason: str, rows) -> Column:
 
 
 def clean_corpus(df: DataFrame, text: str = "text", label: str = "label", row_id: str = "doc_id",
-                 full_unicode: bool = False) -> DataFrame:
+                 full_unicode: bool = True) -> DataFrame:
     """Valid rows, conflicting groups removed, first row of each group kept."""
     return dedup.resolve_groups(valid_rows(df, text, label),
                                 X.dedup_key(F.col(text), full_unicode), label, row_id)
@@ -65,7 +65,7 @@ def clean_corpus(df: DataFrame, text: str = "text", label: str = "label", row_id
 
 def audited_splits(df: DataFrame, text: str = "text", label: str = "label",
                    row_id: str = "doc_id", holdouts=C.HOLDOUTS_70_15_15,
-                   full_unicode: bool = False) -> DataFrame:
+                   full_unicode: bool = True) -> DataFrame:
     """Filter, resolve conflicts, keep first, split: the corpus ready for training.
 
     The texts are normalised in one pass.  Everything up to the split runs on the written table
@@ -79,7 +79,7 @@ def audited_splits(df: DataFrame, text: str = "text", label: str = "label",
 
 
 def audit_report(df: DataFrame, splits: DataFrame, text: str = "text", label: str = "label",
-                 row_id: str = "doc_id", full_unicode: bool = False) -> DataFrame:
+                 row_id: str = "doc_id", full_unicode: bool = True) -> DataFrame:
     """The whole audit as one nested row.
 
     Four passes over the corpus (counters, classes, duplicates, ledger) and the flagged examples;

@@ -55,6 +55,11 @@ def by_lang(spark, sf) -> DataFrame:
     return documents(spark, sf).select(D, "text", F.col("lang").alias("label"))
 
 
+def by_lang_source(spark, sf) -> DataFrame:
+    """Ids with a fine label, the pair of language and source."""
+    return table(spark, sf, "documents").select(D, F.concat_ws("/", "lang", "source").alias("label"))
+
+
 def partly_labelled(spark, sf) -> DataFrame:
     """Corpus with labels for some rows only; no join is broadcast by hand."""
     labels = table(spark, sf, "labels").select(D, F.col("quality").cast("string").alias("label"))
@@ -161,9 +166,8 @@ def min_tokens(spark, sf):
 
 @query
 def viable_classes(spark, sf):
-    """Class = first letters of the text: many classes, some of them rare."""
-    docs = table(spark, sf, "documents").select(D, F.left(F.lower("text"), F.lit(2)).alias("label"))
-    return schema.viable_classes(docs)
+    """Classes are pairs of language and source: many, some of them rare."""
+    return schema.viable_classes(by_lang_source(spark, sf))
 
 
 @query
@@ -231,7 +235,9 @@ def length_stats(spark, sf):
 
 @query
 def length_hist(spark, sf):
-    return profile.length_histogram(table(spark, sf, "documents"), "text")
+    out = profile.length_histogram(table(spark, sf, "documents"), "text")
+    return out.select("measure", "bin", F.round("from_length", 6).alias("from_length"),
+                      F.round("to_length", 6).alias("to_length"), "rows", "median")
 
 
 @query
@@ -247,8 +253,7 @@ def class_summary(spark, sf):
 
 @query
 def tiny_classes(spark, sf):
-    docs = table(spark, sf, "documents").select(F.left(F.lower("text"), F.lit(2)).alias("label"))
-    return profile.tiny_classes(docs)
+    return profile.tiny_classes(by_lang_source(spark, sf).select("label"))
 
 
 @query
@@ -440,17 +445,20 @@ def step_spaces(spark, sf):
 
 @query
 def norm_key(spark, sf):
-    return by_lang(spark, sf).select(D, X.dedup_key(T()).alias("key"))
+    """The pure JVM key."""
+    return by_lang(spark, sf).select(D, X.dedup_key(T(), full_unicode=False).alias("key"))
 
 
 @query
 def norm_key_unicode(spark, sf):
-    return by_lang(spark, sf).select(D, X.dedup_key(T(), full_unicode=True).alias("key"))
+    """A decomposed letter, a ligature and full-width letters stand in front of every text."""
+    text = F.concat(F.lit("cafe\u0301 \ufb01 \uff21\uff22\uff23 "), T())
+    return by_lang(spark, sf).select(D, X.dedup_key(text).alias("key"))
 
 
 @query
 def clean_tech(spark, sf):
-    text = F.concat_ws(" ", F.lit("C++, C# (.NET/ASP.NET) node.js main.py Power BI scikit-learn;"),
+    text = F.concat_ws(" ", F.lit("C++, C# (.NET/ASP.NET) node.js main.py Power\nBI PowerQuery scikit-learn;"),
                        "text")
     return by_lang(spark, sf).select(D, X.clean_technical(text).alias("clean"))
 
@@ -503,12 +511,13 @@ def ngrams(spark, sf):
 
 @query
 def strip_accents(spark, sf):
-    return by_lang(spark, sf).select(D, X.strip_accents(T()).alias("out"))
+    return by_lang(spark, sf).select(D, X.translate_accents(T()).alias("out"))
 
 
 @query
 def strip_accents_unicode(spark, sf):
-    return by_lang(spark, sf).select(D, X.strip_accents(T(), full_unicode=True).alias("out"))
+    text = F.concat(F.lit("\u0161\u00e1lek \u010daj \ufb01n "), T())
+    return by_lang(spark, sf).select(D, X.strip_accents(text).alias("out"))
 
 
 @query
@@ -619,6 +628,15 @@ def boilerplate(spark, sf):
     return leakage.boilerplate(by_lang(spark, sf).withColumn("text", text))
 
 
+@query
+def boilerplate_windows(spark, sf):
+    """The same heads, looked for in all windows of all texts."""
+    head = F.concat(F.col("label"), F.lit(" company profile, equal opportunity, all rights "),
+                    F.lit("reserved by the owner of this page. "))
+    text = F.when(F.col("label").isin("fr", "de"), F.concat(head, T())).otherwise(T())
+    return leakage.boilerplate_windows(by_lang(spark, sf).withColumn("text", text))
+
+
 @query
 def leak_verdict(spark, sf):
     return leakage.leak_verdict(by_source(spark, sf))
@@ -671,8 +689,8 @@ def split_overlap(spark, sf):
 
 @query
 def split_partition(spark, sf):
-    """The labelled rows against the corpus: incomplete on purpose."""
-    return split.split_partition(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    """The audited splits against the corpus: what the audit removed is missing."""
+    return split.split_partition(table(spark, sf, "documents"), audit.audited_splits(by_lang(spark, sf)))
 
 
 # -- features ---------------------------------------------------------------------------
@@ -768,9 +786,8 @@ def misclassified(spark, sf):
 
 @query
 def error_words(spark, sf):
-    errors = evaluate.misclassified(predicted(spark, sf))
-    return evaluate.error_words(errors, words=WATCH_WORDS).select(D, lines(F.col("words")).alias(
-        "words"))
+    return evaluate.error_words(predicted(spark, sf), words=WATCH_WORDS).select(
+        D, lines(F.col("words")).alias("words"))
 
 
 # -- skills and screening --------------------------------------------------------------------

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Spark drops the shuffle files of a finished execution where this is on.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Inputs of more splits than this are never shuffled to use more cores.
+SPREAD_SPLITS = 4
+
 _written: list[str] = []
 
 
@@ -79,10 +82,11 @@ def release(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, row_id: str) -> DataFrame:
-    """Give every core a share when the input has fewer splits than the cluster has cores.
+    """Give every core a share of an input of very few splits.
 
-    Meant for small inputs in front of costly text expressions: a large table has more splits
-    than cores and is returned unchanged.
+    Meant for small files in front of costly text expressions. Above ``SPREAD_SPLITS`` splits
+    (half a gigabyte at Spark's default) nothing is moved, however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, row_id) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores, row_id) if splits < min(cores, SPREAD_SPLITS + 1) else df

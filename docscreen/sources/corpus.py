@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +14,7 @@ from docscreen.operators.schema import canonical, require_columns
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType,
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType,
              encoding: str = "UTF-8") -> DataFrame:
     """CSV with a header and quoted line breaks.
 
@@ -21,16 +24,25 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType,
     return spark.read.schema(schema).options(encoding=encoding, **CSV_OPTIONS).csv(path)
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every file is valid UTF-8, else Latin-1, which accepts anything."""
-    files = spark.read.format("binaryFile").load(path)
-    valid = files.agg(F.bool_and(F.is_valid_utf8(F.col("content").cast("string")))).first()[0]
-    return "UTF-8" if valid is None or valid else "ISO-8859-1"
+def encodings(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, encoding)`` of every non-empty file: UTF-8 if it is valid, else Latin-1.
+
+    Lines keep their bytes, so files of any size are read in splits.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"),
+                                         F.is_valid_utf8("value").alias("valid"))
+    return lines.groupBy("path").agg(F.when(F.bool_and("valid"), "UTF-8").otherwise("ISO-8859-1")
+                                     .alias("encoding"))
 
 
 def read_csv_any_encoding(spark: SparkSession, path: str,
                           schema: str | T.StructType) -> DataFrame:
-    return read_csv(spark, path, schema, detect_encoding(spark, path))
+    """CSV files of a folder, each in its own encoding."""
+    groups: dict[str, list[str]] = {}
+    for row in encodings(spark, path).collect():  # one row per file
+        groups.setdefault(row.encoding, []).append(unquote(row.path))
+    parts = [read_csv(spark, files, schema, encoding) for encoding, files in sorted(groups.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else read_csv(spark, path, schema)
 
 
 def lossy_text(content: Column) -> Column:

@@ -69,7 +69,8 @@ def test_split_properties(spark):
     assert tuple(faults) == (0, 0, 0)
     sizes = {r["split"]: r["count"] for r in first.groupBy("split").count().collect()}
     assert sizes["test"] == math.ceil(0.15 * 400)
-    assert split.split_overlap(first, F.col("text")).count() == 0
+    pairs = split.split_overlap(first, F.col("text")).collect()
+    assert len(pairs) == 3 and {r.shared for r in pairs} == {0}
 
 
 def test_folds(spark):
