@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -185,9 +186,20 @@ def term_counts(terms: Column) -> Column:
 
 # -- accents (T11) -----------------------------------------------------------
 
-# Latin letters whose canonical decomposition is one ASCII letter plus marks.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+# Diacritical marks that combine with the letter before them.
+MARKS = "\\u0300-\\u036F\\u1AB0-\\u1AFF\\u1DC0-\\u1DFF\\u20D0-\\u20FF\\uFE20-\\uFE2F"
+
+
+@lru_cache(maxsize=1)
+def accent_table() -> tuple[str, str]:
+    """Characters whose compatibility decomposition without marks is one other character, and it."""
+    pairs = []
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
+        char = chr(code)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != char and not unicodedata.combining(char):
+            pairs.append((char, plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def strip_accents(text: Column, full_unicode: bool = True) -> Column:
@@ -200,10 +212,15 @@ def strip_accents(text: Column, full_unicode: bool = True) -> Column:
 
 
 def translate_accents(text: Column) -> Column:
-    """The accented Latin-1 letters only, in the JVM."""
+    """Every character that becomes one other character, and combining marks, in the JVM.
+
+    What is left to the UDF of ``strip_accents`` are characters that become several (ligatures,
+    fractions, Hangul syllables).
+    """
+    accented, plain = accent_table()
     # Most texts have nothing to translate, and the test is far cheaper than the translation.
-    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(
-        t, ACCENTED, UNACCENTED)).otherwise(t))
+    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(
+        t, accented, plain), f"[{MARKS}]+", "")).otherwise(t))
 
 
 # -- structure inside a text (T4-T8) -----------------------------------------

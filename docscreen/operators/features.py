@@ -35,7 +35,7 @@ class TfidfParams:
 
     def terms(self, text):
         if self.strip_accents:
-            text = X.strip_accents(text)
+            text = X.translate_accents(text)
         found = X.tokens(text)
         return X.ngrams(found, self.low, self.high) if self.high > 1 else found
 

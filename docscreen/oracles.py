@@ -69,6 +69,10 @@ def key(t: str) -> str:
     return f"trim({rep(f'replace(lower({t}), {s(chr(223))}, {s("ss")})', f'[^{W}]+', ' ')})"
 
 
+def is_blank_sql(t: str) -> str:
+    return f"({t} IS NULL OR {strip(t)} = '')"
+
+
 def tokens(t: str) -> str:
     return f"regexp_extract_all(lower({t}), {s(f'[{W}]{{2,}}')})"
 
