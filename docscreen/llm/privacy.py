@@ -159,18 +159,23 @@ def _described(text: Column, spans: Column, kind: str, fixed: bool) -> Column:
 def proposals(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, text (null: empty) and ``proposed``: all spans with votes and features."""
     text = F.col("text")
-    own = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
-    digit = text.rlike("[0-9]")
-    gates = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+")) & digit,
+    # What a text must hold for a pattern to match is tested once a text, in a projection of its
+    # own: most texts hold none of it and go no further.
+    own = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text")).withColumns({
+        "_at": F.contains(text, F.lit("@")), "_plus": F.contains(text, F.lit("+")),
+        "_digit": text.rlike("[0-9]"), "_spelt": text.rlike(r"[\[(] ?(?:at|AT) ?[\])]")})
+    digit = F.col("_digit")
+    gates = {"email": F.col("_at"), "ip": digit, "card": digit, "phone": F.col("_plus") & digit,
              "ssn": digit, "secret": digit}
     found, described = {}, []
     for i, (kind, pattern) in enumerate([*PATTERNS.items(), *MORE]):
         fixed = i < len(PATTERNS)
-        gate = text.rlike(r"[\[(] ?(?:at|AT) ?[\])]") if kind == "email" and not fixed else gates[kind]
+        gate = F.col("_spelt") if kind == "email" and not fixed else gates[kind]
         found[f"_s{i}"] = F.when(gate, _spans(text, pattern)).otherwise(_empty())
         described.append(_described(text, F.col(f"_s{i}"), kind, fixed))
     # Matches are found in one projection and described in the next one, so each is found once.
-    all_spans = own.withColumns(found).withColumn("_all", F.concat(*described)).drop(*found)
+    all_spans = own.withColumns(found).withColumn("_all", F.concat(*described)).drop(
+        *found, "_at", "_plus", "_digit", "_spelt")
     base = F.filter("_all", lambda s: s["base"])
     rest = F.filter("_all", lambda s: ~s["base"])
     return (all_spans.withColumn("_base", base).withColumn("_rest", rest)
