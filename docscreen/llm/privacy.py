@@ -275,7 +275,8 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def mask(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` with every span replaced by ``<KIND>`` and n_chars, where there is one, renewed."""
-    model = learn(proposals(docs).select("proposed"))
+    # Written first: an explode right above the search would compute every span several times.
+    model = learn(cut_lineage(proposals(docs).select("proposed")))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     # The row travels as one column, so no column of the table can clash with those made here.
     own = proposals(docs.select(F.struct(*docs.columns).alias("row"), "text"), "row")
