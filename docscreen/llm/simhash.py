@@ -121,7 +121,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> Dat
     """
     kept = cut_lineage(near_duplicates(docs, shingle, max_bits).filter("doc_id = component_id")
                        .select("doc_id").distinct())
-    return (docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    # The kept ids grow with the corpus: a merge join at every size, never a broadcast of them.
+    return (docs.filter("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
             .unionByName(docs.filter("doc_id is null")))
 
 
