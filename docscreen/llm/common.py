@@ -17,6 +17,10 @@ __all__ = ["cut_lineage", "held_out", "id_and_bytes", "local_forest", "map_batch
            "read", "runs", "salted_cells", "whole_runs"]
 
 
+#: Rows of an Arrow batch that a task turns into Python objects at once.
+ROWS_AT_ONCE = 1024
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -33,16 +37,22 @@ def held_out(doc_id: Column) -> Column:
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], list | None],
                 schema: T.StructType | str) -> DataFrame:
-    """``work`` gives the columns of the result for each Arrow batch (None: no rows)."""
+    """``work`` gives the columns of the result for the rows it is handed (None: no rows).
+
+    It gets Arrow batches in slices of ``ROWS_AT_ONCE`` rows: only one slice at a time exists as
+    Python objects, which keeps a worker small.
+    """
     target = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (made := work(batch)) is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [x if isinstance(x, pa.Array) else pa.array(x, type=f.type)
-                     for x, f in zip(made, arrow, strict=True)], schema=arrow)
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                made = work(batch.slice(lo, ROWS_AT_ONCE))
+                if made is not None:
+                    yield pa.RecordBatch.from_arrays(
+                        [x if isinstance(x, pa.Array) else pa.array(x, type=f.type)
+                         for x, f in zip(made, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, target)
 
