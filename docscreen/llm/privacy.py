@@ -44,7 +44,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Proposals beyond the fixed patterns.
+#: Proposals beyond the fixed patterns; ``NEEDS`` has in the same order what a match always holds.
 MORE = [
     ("email", rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{{1,63}}+"
               r"(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?[A-Za-z0-9-]{1,63}+){1,8}+"),
@@ -53,6 +53,7 @@ MORE = [
     ("secret", r"(?i)(?:password|passwd|secret|token|api[_-]?key)\x20{0,2}+[=:]\x20{0,2}+\"?[A-Z0-9_/+-]{12,128}+\"?"),
     ("secret", r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])"),
 ]
+NEEDS = [r"[\[(] ?(?:at|AT) ?[\])]", "[0-9]", "[0-9]", "(?i)password|passwd|secret|token|api[_-]?key", "AKIA"]
 
 CUES = {
     "email": ["mail", "contact", "write to", "@", "courriel", "correo"],
@@ -162,20 +163,20 @@ def proposals(docs: DataFrame, *keep: str) -> DataFrame:
     # What a text must hold for a pattern to match is tested once a text, in a projection of its
     # own: most texts hold none of it and go no further.
     own = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text")).withColumns({
-        "_at": F.contains(text, F.lit("@")), "_plus": F.contains(text, F.lit("+")),
-        "_digit": text.rlike("[0-9]"), "_spelt": text.rlike(r"[\[(] ?(?:at|AT) ?[\])]")})
+        "_at": F.contains(text, F.lit("@")), "_plus": F.contains(text, F.lit("+")), "_digit": text.rlike("[0-9]"),
+        **{f"_n{i}": text.rlike(need) for i, need in enumerate(NEEDS) if need != "[0-9]"}})
     digit = F.col("_digit")
-    gates = {"email": F.col("_at"), "ip": digit, "card": digit, "phone": F.col("_plus") & digit,
-             "ssn": digit, "secret": digit}
+    # Each pattern has a gate of its own: kinds have patterns that need different characters.
+    gates = [F.col("_at"), digit, digit, F.col("_plus") & digit,
+             *[digit if need == "[0-9]" else F.col(f"_n{i}") for i, need in enumerate(NEEDS)]]
     found, described = {}, []
-    for i, (kind, pattern) in enumerate([*PATTERNS.items(), *MORE]):
+    for i, ((kind, pattern), gate) in enumerate(zip([*PATTERNS.items(), *MORE], gates, strict=True)):
         fixed = i < len(PATTERNS)
-        gate = F.col("_spelt") if kind == "email" and not fixed else gates[kind]
         found[f"_s{i}"] = F.when(gate, _spans(text, pattern)).otherwise(_empty())
         described.append(_described(text, F.col(f"_s{i}"), kind, fixed))
     # Matches are found in one projection and described in the next one, so each is found once.
     all_spans = own.withColumns(found).withColumn("_all", F.concat(*described)).drop(
-        *found, "_at", "_plus", "_digit", "_spelt")
+        *found, "_at", "_plus", "_digit", *[f"_n{i}" for i in range(len(NEEDS))])
     base = F.filter("_all", lambda s: s["base"])
     rest = F.filter("_all", lambda s: ~s["base"])
     return (all_spans.withColumn("_base", base).withColumn("_rest", rest)
