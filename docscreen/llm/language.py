@@ -9,8 +9,10 @@ The automata are dense tables of next states that also count the phrases ending,
 ``BLOCK`` characters is one lane and thousands of lanes advance together by array operations.
 Phrases end at block borders, alike for all languages. Every character of every text is parsed.
 
-The text of a language is bounded: ``PART_CHARS`` characters from each of ``PARTS`` of its
-labelled documents, those with the smallest hashes of their ids. This bound is the only sample.
+The text of a language is bounded twice: it comes from ``PARTS`` of its labelled texts, those with
+the smallest hashes (equal texts are one), and has ``PART_CHARS`` characters of each, a longer text
+giving ``PIECES`` pieces at hashed offsets, one of each equal stretch of it, so that no place of a
+text is left out beforehand. These bounds are the only sample.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with no labelled
 text at all every text is ``und``; ties go to the smaller label; null labels teach nothing; other
@@ -23,7 +25,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -32,6 +34,7 @@ from docscreen.llm.common import cut_lineage, held_out, map_batches, read
 
 PARTS = 40
 PART_CHARS = 600
+PIECES = 4
 BLOCK = 256
 UNKNOWN = "und"
 #: Characters parsed at once.
@@ -164,21 +167,33 @@ def parser(texts: dict[str, str]) -> Parser:
     return _built[key]
 
 
+def _pieces(text: Column, h: Column, chars: int) -> Column:
+    """The whole text, or of one of more than ``chars`` characters ``PIECES`` pieces from all of it."""
+    size, stretch = chars // PIECES, F.floor(F.length(text) / PIECES).cast("int")
+    cut = [F.substring(text, stretch * i + 1 + F.pmod(F.xxhash64(h, F.lit(i)), stretch - size + 1).cast("int"), F.lit(size))
+           for i in range(PIECES)]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws(" ", *cut))
+
+
 def learn(docs: DataFrame, parts: int = PARTS, part_chars: int = PART_CHARS) -> dict[str, str]:
     """The bounded text of each language, from rows that are not held out."""
     own = (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-           .select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text"))
+           .select("lang", F.xxhash64("text").alias("h"), "text"))
+    # Equal texts have equal hashes and are one before any is chosen.
+    keys = cut_lineage(own.select("lang", "h").distinct())
     # A threshold on the hash keeps about four times the parts wanted of each language; the exact
     # choice is made among those, so no task ranks all documents of a language.
-    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(4.0 * parts) / F.col("n"))
-    few = (own.join(F.broadcast(cut_lineage(sizes)), "lang")
-           .filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-           .select("lang", "h", F.left("text", F.lit(part_chars)).alias("text")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    chosen = few.withColumn("r", rank).filter(F.col("r") <= parts)
+    few = (keys.join(F.broadcast(cut_lineage(sizes)), "lang")
+           .filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = few.withColumn("r", rank).filter(F.col("r") <= parts).select("lang", "h", "r")
+    cut = (own.join(F.broadcast(chosen), ["lang", "h"])
+           .select("lang", "r", _pieces(F.col("text"), F.col("h"), part_chars).alias("text"))
+           .groupBy("lang", "r").agg(F.min("text").alias("text")))
     texts: dict[str, str] = {}
-    for row in chosen.orderBy("lang", "r").collect():  # at most languages * parts short texts
+    for row in cut.orderBy("lang", "r").collect():  # at most languages * parts short texts
         texts[row.lang] = texts.get(row.lang, " ") + folded(row.text) + " "
     return texts
 

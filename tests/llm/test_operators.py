@@ -522,6 +522,24 @@ def test_language_query(spark, sf, docs, empty):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_learns_from_all_of_a_text_and_from_copies_once(spark):
+    random.seed(12)
+    words_of = {"aa": ["baka", "domi", "nuro", "telu"], "bb": ["krix", "zwym", "qvyx", "jhex"]}
+    prose = lambda k, n: " ".join(random.choice(words_of[k]) for _ in range(n))
+    header = prose("aa", 140)  # more than 600 characters of the other language
+    rows = [(f"{prose('aa', 300)} {i}", "aa") for i in range(60)] + [(f"{header} {prose('bb', 600)}", "bb") for i in range(60)]
+    rows += [(prose("bb", 600) + " copied", "cc")] * 400 + [(prose("aa", 20) + " rare" + chr(97 + i), "cc") for i in range(9)]
+    frame = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id long, text string, lang string")
+    texts = language.learn(frame)
+    assert len(header) > language.PART_CHARS and all(w in texts["bb"] for w in words_of["bb"])
+    pure = {language.Parser({k: texts[k] for k in ("aa", "bb")}).predict([prose("bb", 40)])[0][0] for _ in range(5)}
+    assert pure == {"bb"}
+    learnt = frame.filter(~language.held_out(F.col("doc_id")) & (F.col("lang") == "cc")).select("text").distinct().collect()
+    assert all(language.folded(r.text)[-6:] in texts["cc"] for r in learnt if "copied" not in r.text)
+    room = (language.PART_CHARS + language.PIECES + 2) * len(learnt)
+    assert len(texts["cc"]) <= room and all(len(t) <= (language.PART_CHARS + 6) * language.PARTS for t in texts.values())
+
+
 # op9
 
 def test_substrings(spark, unique, docs, empty):
