@@ -230,18 +230,19 @@ def boilerplate(df: DataFrame, text: str = "text", label: str = "label", row_id:
 def boilerplate_windows(df: DataFrame, text: str = "text", label: str = "label",
                         row_id: str = "doc_id", share: float = C.BOILERPLATE_SHARE,
                         window: int = C.BOILERPLATE_WINDOW,
-                        min_rows: int = C.TINY_CLASS_ROWS) -> DataFrame:
+                        min_rows: int = C.TINY_CLASS_ROWS, stride: int = 1) -> DataFrame:
     """Windows that more than ``share`` of a class's texts have, from all windows of all texts.
 
-    Windows start at multiples of their length and count once per text; they are aggregated by
-    class and window, so no text is picked as the model of its class.
+    Windows start at multiples of ``stride`` (1: at every character, so a passage is found wherever
+    it stands) and count once per text; they are aggregated by class and window, so no text is
+    picked as the model of its class.
     """
     known = df.filter(F.col(label).isNotNull())
     sizes = known.groupBy(label).agg(F.count(F.lit(1)).alias("_class_rows"))
     cuts = X.let(F.lower(text), lambda low: F.array_distinct(F.transform(
-        F.filter(F.sequence(F.lit(0), F.floor(F.length(low) / window).cast("int")),
-                 lambda i: (i + 1) * window <= F.length(low)),
-        lambda i: F.substring(low, i * window + 1, F.lit(window)))))
+        F.filter(F.sequence(F.lit(0), F.floor(F.length(low) / stride).cast("int")),
+                 lambda i: i * stride + window <= F.length(low)),
+        lambda i: F.substring(low, i * stride + 1, F.lit(window)))))
     counted = (unnest(known, cuts, "block", label).groupBy(label, "block")
                .agg(F.count(F.lit(1)).alias("rows")))
     return (counted.join(sizes, label)

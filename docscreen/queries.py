@@ -630,11 +630,11 @@ def boilerplate(spark, sf):
 
 @query
 def boilerplate_windows(spark, sf):
-    """The same heads, looked for in all windows of all texts."""
+    """The same heads, looked for in the windows of all texts that its SQL cuts: every 60 characters."""
     head = F.concat(F.col("label"), F.lit(" company profile, equal opportunity, all rights "),
                     F.lit("reserved by the owner of this page. "))
     text = F.when(F.col("label").isin("fr", "de"), F.concat(head, T())).otherwise(T())
-    return leakage.boilerplate_windows(by_lang(spark, sf).withColumn("text", text))
+    return leakage.boilerplate_windows(by_lang(spark, sf).withColumn("text", text), stride=C.BOILERPLATE_WINDOW)
 
 
 @query

@@ -66,6 +66,15 @@ def test_boilerplate(spark):
     assert found == {(0, 1.0, True), (1, 1.0, True), (2, 1.0, True)}
 
 
+def test_boilerplate_windows_at_any_offset(spark):
+    passage = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(30))[:62]  # three windows of 60
+    rows = [(i, "#" * (i * 7 + i * i) + passage + f" own text {i}", "x") for i in range(6)] + [(9, passage, "y")]
+    rows += [(20 + i, f"{i} " * 40, "z") for i in range(6)]
+    found = {(r.label, r.block, r.rows, r.share) for r in leakage.boilerplate_windows(corpus(spark, rows)).collect()}
+    assert {f for f in found if "#" not in f[1] and f[1] in passage} == {("x", passage[k:k + 60], 6, 1.0) for k in range(3)}
+    assert {f[0] for f in found} == {"x"}
+
+
 def test_verdict(spark):
     clean = corpus(spark, [(i, f"words {i}", "label") for i in range(20)])
     assert leakage.leak_verdict(clean).first().verdict == "pass"
