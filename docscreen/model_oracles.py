@@ -76,7 +76,7 @@ FROM (SELECT *, CASE WHEN coalesce(conf, 0) = 0 THEN 0.5e0 ELSE least(1.0e0, con
    FROM asked a JOIN best b ON b.doc_id = a.doc_id AND b.k = 1)))""", *naive_bayes(ALL_DOCS))
 
 _TESTED = ("SELECT doc_id, label, true AS known, true AS proper, true AS accurate FROM parts WHERE split = 'test'")
-for _name in ("lr_fit", "svc_fit", "calibrated_fit", "forest_fit", "refit"):
+for _name in ("lr_fit", "svc_fit", "svc_plain_fit", "calibrated_fit", "forest_fit", "refit"):
     oracle(_name, _TESTED, *PARTS)
 
 
@@ -84,7 +84,10 @@ def _params(rows) -> str:
     return f"SELECT params, true AS in_range FROM {values((json.dumps(r, sort_keys=True),) for r in rows)} t(params)"
 
 
-oracle("grid_search", _params({"smoothing": a} for a in (0.01, 0.1, 0.5, 1.0, 2.0)))
+_GRIDS = {"MultinomialNB": ("smoothing", (0.01, 0.1, 0.5, 1.0, 2.0)), "LogisticRegression": ("C", (0.1, 1.0, 5.0, 10.0)),
+          "LinearSVC": ("C", (0.1, 1.0, 5.0, 10.0))}
+oracle("grid_search", "SELECT model, params, true AS in_range FROM " + values(
+    (k, json.dumps({name: x})) for k, (name, own) in _GRIDS.items() for x in own) + " t(model, params)")
 oracle("forest_search", _params({"maxDepth": d, "minInstancesPerNode": m, "numTrees": n}
                                 for n in (10, 20) for d in (4, 6) for m in (1, 2)))
 

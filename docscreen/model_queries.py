@@ -23,6 +23,8 @@ from docscreen.streaming import arrivals
 #: Features of the fitted models, as the default of the sweep's smallest size.
 FEATURES = C.MAX_FEATURES_GRID[0]
 KINDS = ("LogisticRegression", "LinearSVC", "Calibrated LinearSVC", "LinearSVC balanced")
+#: Kinds whose grids ``grid_search`` goes through.
+SEARCHED = ("MultinomialNB", "LogisticRegression", "LinearSVC")
 #: Accuracy on the test rows that a useful model reaches, and that of the shallow forest.
 GOOD, FAIR = 0.8, 0.5
 
@@ -115,6 +117,12 @@ def svc_fit(spark, sf):
     return _tested(spark, sf, "LinearSVC balanced")
 
 
+@query
+def svc_plain_fit(spark, sf):
+    """Every class with the same weight."""
+    return _tested(spark, sf, "LinearSVC")
+
+
 @query
 def calibrated_fit(spark, sf):
     return _tested(spark, sf, "Calibrated LinearSVC")
@@ -132,8 +140,12 @@ def _searched(spark, found) -> DataFrame:
 
 @query
 def grid_search(spark, sf):
+    """Every value of the grid of each kind by cross-validation."""
     rows = _part(spark, sf, "train").select(D, "label", "features")
-    return _searched(spark, models.grid_search(rows, models.class_labels(rows), "MultinomialNB"))
+    labels = models.class_labels(rows)
+    out = [(kind, p, 0.0 <= f1 <= 1.0) for kind in SEARCHED
+           for p, f1 in models.search_results(models.grid_search(rows, labels, kind, balanced=kind != "MultinomialNB"))]
+    return spark.createDataFrame(out, "model string, params string, in_range boolean")
 
 
 #: Smaller forests than the default grid of the operator, whose 40 fits take hours on one machine.
@@ -149,8 +161,8 @@ def forest_search(spark, sf):
 
 @query
 def tfidf_grid(spark, sf):
-    """All settings; the probe is naive Bayes, the fit that needs no iterations."""
-    out = train.tfidf_grid(_splits(spark, sf), probe="MultinomialNB", alpha=1.0)
+    """All settings with the logistic probe."""
+    out = train.tfidf_grid(_splits(spark, sf))
     return out.select("max_features", "ngram_range", "min_df", "max_df", "vocab_size",
                       F.col("macro_f1").between(0, 1).alias("in_range"))
 
@@ -160,6 +172,12 @@ def _sweep(spark, sf):
     return train.candidate_sweep(_splits(spark, sf))
 
 
+@_shared
+def _smallest(spark, sf):
+    """All kinds at the smallest size."""
+    return train.candidate_sweep(_splits(spark, sf), sizes=(FEATURES,))
+
+
 def _consistent(model: train.ScreeningModel, rows: DataFrame, reported: dict) -> bool:
     """Reported accuracy and class F1 against a plain count over the predictions."""
     counted = model.predict(rows).groupBy("label", "prediction").count().collect()  # pairs of classes
@@ -199,11 +217,9 @@ def model_select(spark, sf):
 def _test_rows(spark, sf) -> DataFrame:
     """Metrics of the models of the smallest size on both splits, as long rows."""
     found = {}
-    for (kind, size), model in _sweep(spark, sf)[1].items():
-        if size == FEATURES:
-            for part in ("validation", "test"):
-                rows = _splits(spark, sf).filter(F.col("split") == part)
-                found[kind, part] = train.model_metrics(model.classifier, model.vectors(rows))
+    for (kind, _), model in _smallest(spark, sf)[1].items():
+        for part in ("validation", "test"):
+            found[kind, part] = train.model_metrics(model.classifier, _part(spark, sf, part))
     return train.metric_rows(spark, found)
 
 

@@ -8,7 +8,7 @@ with the fitted vocabulary, and the weighting is a chain of row-local expression
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from docscreen import constants as C
 from docscreen.functions import text as X
-from docscreen.operators.grouping import unnest, with_group_stats
+from docscreen.operators.grouping import unnest
 from docscreen.session import cut_lineage
 
 
@@ -92,6 +92,10 @@ class TfidfModel:
             raise ValueError("empty vocabulary")
         return cls([r.term for r in rows], [r.idf for r in rows], params)
 
+    def first(self, size: int) -> "TfidfModel":
+        """The model of the ``size`` most frequent terms."""
+        return TfidfModel(self.terms[:size], self.idf[:size], replace(self.params, max_features=size))
+
     def transform(self, df: DataFrame, text: str, output: str = "features") -> DataFrame:
         # A missing text has no terms.
         terms = df.withColumn("_terms", self.params.terms(F.coalesce(text, F.lit(""))))
@@ -137,6 +141,22 @@ def vector_entries(vector):
         i.alias("index"), v.alias("value"))))
 
 
+def first_features(column: str, size: int):
+    """Sparse vectors of the first ``size`` features, at unit length."""
+    def cut(indices: pd.Series, values: pd.Series) -> pd.DataFrame:
+        out_at, out = [], []
+        for at, v in zip(indices, values):
+            n = int(np.searchsorted(at, size))  # features of a vector ascend
+            v = np.asarray(v)[:n]
+            norm = np.sqrt(v @ v)
+            out_at.append(np.asarray(at)[:n])
+            out.append(v / norm if norm > 0 else v)
+        return pd.DataFrame({"type": 0, "size": size, "indices": out_at, "values": out})
+
+    raw = F.unwrap_udt(F.col(column))
+    return F.pandas_udf(cut, VectorUDT())(raw["indices"], raw["values"])
+
+
 def _weighing(idf: list[float], sublinear: bool):
     """Counts to L2-normalised weights: whole Arrow batches as flat arrays."""
     factors = np.asarray(idf)
@@ -225,143 +245,3 @@ class LsaModel:
         row = projected.select(Summarizer.variance(F.col(column)).alias("a"),
                                Summarizer.variance(F.col("_p")).alias("b")).first()
         return float(sum(row.b) / sum(row.a)) if sum(row.a) else 0.0
-
-
-# -- near duplicates (D6, J10) --------------------------------------------------
-
-# Posting lists longer than this are cut into blocks that are joined by separate tasks.
-BLOCK = 5_000
-# Number of buckets of the norm sketch that rejects candidates before they are verified.
-SKETCH = 32
-NEAR_DUP_TERMS = TfidfParams(C.NEAR_DUP_FEATURES, 1, 1, sublinear=False, strip_accents=False)
-
-
-def near_duplicates(df: DataFrame, text: str, row_id: str = "doc_id",
-                    params: TfidfParams = NEAR_DUP_TERMS,
-                    threshold: float = C.NEAR_DUP_COSINE) -> tuple[DataFrame, DataFrame]:
-    """All pairs of different vectors with cosine >= ``threshold``, exactly.
-
-    Returns ``(copies, pairs)``.  ``copies`` maps every row to the lowest id with the same vector
-    (cosine 1), so groups of equal rows are never expanded into pairs.  ``pairs`` holds the
-    distinct vectors that are near each other, with the number of rows each stands for.
-
-    Two bounds keep the join small without losing a pair:
-
-    * terms are ordered from rare to frequent; two unit vectors can only reach the threshold if
-      they share a term in their leading parts, where the rest of the vector still has a norm of
-      at least the threshold, and the product of both rests at their first shared term reaches it;
-    * the terms fall into buckets, and the sum of products of the buckets' norms is never below
-      the cosine (Cauchy-Schwarz per bucket).
-    """
-    rows = cut_lineage(df.select(row_id, params.terms(F.col(text)).alias("_terms")))
-    # At most ``max_features`` rows; rare terms first, so that vector entries are in that order.
-    vocab = (_most_frequent(_statistics(rows.select(X.term_counts(F.col("_terms")).alias("t"))),
-                            rows, params).orderBy("df", "term").collect())
-    model = TfidfModel([v.term for v in vocab], [v.idf for v in vocab], params)
-    vectors = model.weigh(rows, "_terms", "_v", counts="_c")
-    raw, counts = F.unwrap_udt("_v"), F.unwrap_udt("_c")
-    vectors = cut_lineage(
-        vectors.select(row_id, raw["indices"].alias("at"), raw["values"].alias("w"),
-                       counts["values"].alias("tf"))
-        # A row without a term equals no other row.
-        .select(row_id, "at", "w",
-                F.unhex(F.md5(F.when(F.size("at") == 0, F.concat(F.lit("row "), F.col(row_id).cast("string")))
-                              .otherwise(F.concat_ws("|", F.array_join("at", ","), F.array_join(
-                                  F.transform("tf", lambda x: x.cast("int")), ","))))).alias("_key")))
-    groups = vectors.groupBy("_key").agg(F.min(row_id).alias(row_id),
-                                         F.count(F.lit(1)).alias("copies"))
-    copies = with_group_stats(vectors.select(row_id, "_key"), ["_key"], row_id,
-                              rep_id=F.min(row_id), copies=F.count(F.lit(1))).drop("_key")
-    reps = (vectors.filter(F.size("at") > 0).select(row_id, "at", "w").join(groups.select(row_id, "copies"), row_id)
-            .withColumn("prefix", _leading_part(F.arrays_zip("at", "w"), threshold))
-            .withColumn("sketch", _sketch(F.arrays_zip("at", "w"))))
-    return copies, _near_pairs(cut_lineage(reps), row_id, threshold, len(vocab))
-
-
-def _squares(entries):
-    return F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"])
-
-
-def _limit(threshold: float) -> float:
-    # Rounding in the sixth place must not lose a pair at the limit.
-    return (threshold - 1e-6) ** 2
-
-
-def _leading_part(entries, threshold: float):
-    """Entries from which on the squared norm is still at least the limit, with that norm."""
-    limit = _limit(threshold)
-
-    def grow(acc, e):
-        return F.struct((acc["seen"] + e["w"] * e["w"]).alias("seen"),
-                        (acc["n"] + F.when(1.0 - acc["seen"] >= limit, 1).otherwise(0)).alias("n"))
-
-    start = F.struct(F.lit(0.0).alias("seen"), F.lit(0).alias("n"))
-
-    def cut(v):
-        return X.let(F.slice(v, F.lit(1), F.aggregate(v, start, grow)["n"]),
-                     lambda head: F.transform(head, lambda e, i: F.struct(
-                         e["at"].alias("position"),
-                         (1.0 - _squares(F.slice(head, F.lit(1), i))).alias("rest"))))
-
-    return X.let(entries, cut)
-
-
-def _sketch(entries):
-    """Norm of the entries of each bucket."""
-    return X.let(entries, lambda v: F.transform(
-        F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda k: F.sqrt(_squares(
-            F.filter(v, lambda e: e["at"] % SKETCH == k))).cast("float")))
-
-
-def _cosine(size: int):
-    """Products of pairs of unit vectors in Arrow batches, through one dense buffer per batch."""
-    def products(at_a: pd.Series, w_a: pd.Series, at_b: pd.Series, w_b: pd.Series) -> pd.Series:
-        dense, out = np.zeros(size), np.empty(len(at_a))
-        for i, (ia, va, ib, vb) in enumerate(zip(at_a, w_a, at_b, w_b)):
-            dense[ia] = va
-            out[i] = dense[ib] @ vb
-            dense[ia] = 0.0
-        return pd.Series(out)
-
-    # Otherwise the filter on the result is pushed below the projection and computes it again.
-    return F.pandas_udf(products, "double").asNondeterministic()
-
-
-def _near_pairs(reps: DataFrame, row_id: str, threshold: float, size: int) -> DataFrame:
-    limit = _limit(threshold)
-    prefix = reps.select(row_id, "sketch", F.inline("prefix"))
-    blocks = (prefix.groupBy("position").agg(F.count(F.lit(1)).alias("_n"))
-              .select("position", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))
-    # One row per vocabulary entry.
-    postings = prefix.join(F.broadcast(blocks), "position")
-    left = postings.select(
-        "position", F.col(row_id).alias("id_a"), F.col("rest").alias("rest_a"),
-        F.col("sketch").alias("sa"),
-        F.pmod(F.xxhash64(row_id), F.col("_blocks")).cast("int").alias("_block"))
-    right = postings.select(
-        "position", F.col(row_id).alias("id_b"), F.col("rest").alias("rest_b"),
-        F.col("sketch").alias("sb"),
-        F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
-    bound = F.lit(0.0)
-    for k in range(SKETCH):
-        bound = bound + F.get("sa", F.lit(k)) * F.get("sb", F.lit(k))
-    candidates = (left.join(right, ["position", "_block"])
-                  .filter((F.col("id_a") < F.col("id_b"))
-                          & (F.col("rest_a") * F.col("rest_b") >= limit)
-                          & (bound >= threshold - 1e-4))  # the sketch is in single precision
-                  .select("id_a", "id_b").distinct())
-    a, b = (reps.select(F.col(row_id).alias(f"id_{x}"), F.col("copies").alias(f"copies_{x}"),
-                        F.col("at").alias(f"_at_{x}"), F.col("w").alias(f"_w_{x}")) for x in "ab")
-    cosine = _cosine(size)("_at_a", "_w_a", "_at_b", "_w_b")
-    return (candidates.join(a, "id_a").join(b, "id_b")
-            .select("id_a", "id_b", "copies_a", "copies_b", F.round(cosine, 6).alias("cosine"))
-            .filter(F.col("cosine") >= threshold))
-
-
-def near_duplicate_summary(copies: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Number of row pairs at or above the threshold, counted without listing equal rows."""
-    equal = copies.groupBy("rep_id").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")))
-    near = pairs.agg(F.coalesce(F.sum(F.col("copies_a") * F.col("copies_b")), F.lit(0)))
-    return (copies.sparkSession.range(1)
-            .select(equal.scalar().alias("equal_pairs"), near.scalar().alias("near_pairs")))

@@ -1,4 +1,7 @@
-"""Multi-class classifiers on Spark ML (M1-M7): one interface over probabilities or margins."""
+"""Multi-class classifiers (M1-M7): one interface over probabilities or margins.
+
+Linear ones come from the joint solver of ``linear``; naive Bayes and forests are Spark ML's.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +10,11 @@ import math
 import random
 from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression,
-                                       LogisticRegressionModel, NaiveBayes, NaiveBayesModel,
-                                       OneVsRest, RandomForestClassificationModel,
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import (NaiveBayes, NaiveBayesModel, RandomForestClassificationModel,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
@@ -20,8 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docscreen import constants as C
-from docscreen.functions.text import let
-from docscreen.operators import evaluate
+from docscreen.operators import evaluate, linear
+from docscreen.operators.linear import HINGE, SOFTMAX, Blocks, Fit, Problem
 from docscreen.operators.profile import class_weights
 from docscreen.operators.split import stratified_folds
 from docscreen.session import cut_lineage
@@ -41,17 +44,6 @@ def with_target(df: DataFrame, labels: Sequence[str], label: str = "label") -> D
     return df.withColumn(TARGET, index.cast("double"))
 
 
-def margins(models: Sequence[LinearSVCModel], df: DataFrame, output: str = "scores") -> DataFrame:
-    """Array with the decision value of each binary model, without leaving the JVM."""
-    out = df
-    for i, model in enumerate(models):
-        copy = model.copy()
-        copy.setFeaturesCol(FEATURES).setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_bin{i}")
-        out = copy.transform(out).drop(f"_bin{i}")
-    scores = F.array(*[F.get(vector_to_array(f"_raw{i}"), F.lit(1)) for i in range(len(models))])
-    return out.withColumn(output, scores).drop(*[f"_raw{i}" for i in range(len(models))])
-
-
 # -- classifiers -------------------------------------------------------------------
 
 class Classifier:
@@ -96,12 +88,11 @@ class Classifier:
         raise NotImplementedError
 
 
-_PROBABILITY_MODELS = {m.__name__: m for m in (NaiveBayesModel, LogisticRegressionModel,
-                                               RandomForestClassificationModel)}
+_PROBABILITY_MODELS = {m.__name__: m for m in (NaiveBayesModel, RandomForestClassificationModel)}
 
 
 class ProbabilityClassifier(Classifier):
-    """Naive Bayes, logistic regression or random forest."""
+    """Naive Bayes or random forest."""
 
     def __init__(self, labels, model):
         super().__init__(labels)
@@ -119,67 +110,48 @@ class ProbabilityClassifier(Classifier):
         return {"model": type(self.model).__name__}
 
 
-class MarginClassifier(Classifier):
-    """One linear SVM per class; the largest margin wins."""
-
-    probabilistic = False
-
-    def __init__(self, labels, models: Sequence[LinearSVCModel]):
-        super().__init__(labels)
-        self.models = list(models)
-
-    def score(self, df, output="scores"):
-        return margins(self.models, df, output)
-
-    def _save_parts(self, path):
-        for i, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path}/model{i}")
-        return {"models": len(self.models)}
-
-
-@dataclass
-class _Fold:
-    models: list
-    slopes: list = field(default_factory=list)
-    offsets: list = field(default_factory=list)
+def _shares(margins: np.ndarray) -> np.ndarray:
+    e = np.exp(margins - margins.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
-def _normalised(values: Column, size: int) -> Column:
-    """Divided by their sum; even shares if the sum is zero."""
-    def share(p):
-        total = F.aggregate(p, F.lit(0.0), lambda x, y: x + y)
-        return let(total, lambda t: F.transform(
-            p, lambda v: F.when(t > 0, v / t).otherwise(F.lit(1.0 / size))))
+def _calibrated(margins: np.ndarray, slopes: np.ndarray, offsets: np.ndarray, classes: int) -> np.ndarray:
+    """Mean over folds of sigmoids that are divided by their sum (even shares if that is zero)."""
+    p = 1.0 / (1.0 + np.exp(np.clip(margins * slopes + offsets, -700, 700)))
+    p = p.reshape(len(p), len(slopes) // classes, classes)
+    total = p.sum(axis=2, keepdims=True)
+    return np.where(total > 0, p / np.where(total > 0, total, 1.0), 1.0 / classes).mean(axis=1)
 
-    return let(values, share)
 
+class LinearClassifier(Classifier):
+    """Margins, softmax of margins, or calibrated margins of several folds, by one product.
 
-class CalibratedClassifier(Classifier):
-    """Average over folds of normalised sigmoid-calibrated margins (M5)."""
+    ``fit`` has a row for each class, or for each fold and class where ``sigmoids`` are given.
+    """
 
-    def __init__(self, labels, folds: Sequence[_Fold]):
+    def __init__(self, labels, fit: Fit, softmax: bool = False,
+                 sigmoids: tuple[np.ndarray, np.ndarray] | None = None):
         super().__init__(labels)
-        self.folds = list(folds)
+        self.fit, self.softmax, self.sigmoids = fit, softmax, sigmoids
+        self.probabilistic = softmax or sigmoids is not None
 
     def score(self, df, output="scores"):
-        out, parts = df, []
-        for i, fold in enumerate(self.folds):
-            out = margins(fold.models, out, f"_m{i}")
-            probabilities = F.array(*[
-                1.0 / (1.0 + F.exp(F.get(f"_m{i}", F.lit(c)) * F.lit(float(a)) + F.lit(float(b))))
-                for c, (a, b) in enumerate(zip(fold.slopes, fold.offsets))])
-            out = out.withColumn(f"_p{i}", _normalised(probabilities, len(self.labels)))
-            parts.append(f"_p{i}")
-        mean = F.array(*[sum((F.get(p, F.lit(c)) for p in parts), F.lit(0.0)) / len(parts)
-                         for c in range(len(self.labels))])
-        return out.withColumn(output, mean).drop(
-            *[f"_{x}{i}" for x in "mp" for i in range(len(self.folds))])
+        sigmoids, classes, softmax = self.sigmoids, len(self.labels), self.softmax
+
+        def finish(margins: np.ndarray) -> np.ndarray:
+            if sigmoids is not None:
+                return _calibrated(margins, *sigmoids, classes)
+            return _shares(margins) if softmax and len(margins) else margins
+
+        return df.withColumn(output, linear.products(df, self.fit.weights, self.fit.intercepts, FEATURES, finish))
 
     def _save_parts(self, path):
-        for f, fold in enumerate(self.folds):
-            for i, model in enumerate(fold.models):
-                model.write().overwrite().save(f"{path}/fold{f}model{i}")
-        return {"slopes": [f.slopes for f in self.folds], "offsets": [f.offsets for f in self.folds]}
+        spark = SparkSession.getActiveSession()
+        rows = [(i, float(b), w.tolist()) for i, (w, b) in enumerate(zip(self.fit.weights, self.fit.intercepts,
+                                                                         strict=True))]
+        (spark.createDataFrame(rows, "position int, intercept double, weights array<double>")
+         .write.mode("overwrite").parquet(f"{path}/weights"))
+        return {"softmax": self.softmax, "sigmoids": [x.tolist() for x in self.sigmoids] if self.sigmoids else None}
 
 
 def load_classifier(spark: SparkSession, path: str) -> Classifier:
@@ -188,18 +160,15 @@ def load_classifier(spark: SparkSession, path: str) -> Classifier:
     if note["kind"] == "ProbabilityClassifier":
         model = _PROBABILITY_MODELS[note["model"]].load(f"{path}/model")
         return ProbabilityClassifier(labels, model)
-    if note["kind"] == "MarginClassifier":
-        return MarginClassifier(labels, [LinearSVCModel.load(f"{path}/model{i}")
-                                         for i in range(note["models"])])
-    return CalibratedClassifier(labels, [
-        _Fold([LinearSVCModel.load(f"{path}/fold{f}model{i}") for i in range(len(slopes))],
-              slopes, offsets)
-        for f, (slopes, offsets) in enumerate(zip(note["slopes"], note["offsets"]))])
+    rows = spark.read.parquet(f"{path}/weights").orderBy("position").collect()  # the model itself
+    fit = Fit(np.array([r.weights for r in rows]), np.array([r.intercept for r in rows]))
+    return LinearClassifier(labels, fit, note["softmax"],
+                            tuple(np.array(x) for x in note["sigmoids"]) if note["sigmoids"] else None)
 
 
 # -- fitting -----------------------------------------------------------------------
 # ``train`` has the columns features, label, doc_id.  ``c`` is the inverse regularisation of the
-# summed loss; Spark averages the loss, hence 1 / (c * rows).
+# summed loss.
 
 # Iterative fits run one small job per step: few, well-filled tasks for small inputs.
 ROWS_PER_TASK = 5_000
@@ -238,92 +207,100 @@ def fit_naive_bayes(train: DataFrame, labels: Sequence[str], alpha: float = 1.0)
     return ProbabilityClassifier(labels, model)
 
 
+@dataclass(frozen=True)
+class LinearKind:
+    """A linear classifier as the problems of the joint solver; ``folds`` for calibration."""
+
+    loss: str
+    balanced: bool = False
+    folds: int = 0
+
+    def problems(self, blocks: Blocks, c: float = 1.0, features: int = 0, balanced: bool | None = None
+                 ) -> list[Problem]:
+        even = self.balanced if balanced is None else balanced
+        held = range(self.folds) if self.folds else [None]
+        return [Problem(self.loss, c, blocks.balanced() if even else None, f, features) for f in held]
+
+
+LINEAR = {
+    "LogisticRegression": LinearKind(SOFTMAX),
+    "LinearSVC": LinearKind(HINGE),
+    "Calibrated LinearSVC": LinearKind(HINGE, folds=3),
+    "LinearSVC balanced": LinearKind(HINGE, balanced=True),
+}
+
+
+def linear_blocks(train: DataFrame, labels: Sequence[str], folds: int = 0,
+                  subsets: Sequence[np.ndarray | None] = (None,)) -> Blocks:
+    """Labelled rows for the joint solver, with a fold each where ``folds`` are asked for."""
+    rows = train.filter(F.col("label").isNotNull())
+    if folds:
+        rows = rows.join(stratified_folds(rows, folds).select("doc_id", "fold"), "doc_id")
+    rows = cut_lineage(with_target(rows, labels).select(FEATURES, TARGET, *(["fold"] if folds else [])))
+    first = rows.select(FEATURES).first()
+    size = first[0].size if first else 0
+    return linear.blocks_of(linear.few_tasks(rows), size, len(labels), FEATURES, TARGET, "fold" if folds else None,
+                            subsets)
+
+
+def fitted_linear(blocks: Blocks, labels: Sequence[str], kind: LinearKind, c: float = 1.0, features: int = 0,
+                  start: Sequence[Fit] | None = None, max_iter: int = 200, balanced: bool | None = None,
+                  ) -> tuple[LinearClassifier, list[Fit]]:
+    """Classifier over one subset of the features, and the solver's weights to start others with."""
+    problems = kind.problems(blocks, c, features, balanced)
+    fits = linear.solve(blocks, problems, start, max_iter)
+    subset = blocks.subsets[features]
+    keep = slice(None) if subset is None else np.flatnonzero(subset)
+    fit = Fit(np.concatenate([f.weights[:, keep] for f in fits]), np.concatenate([f.intercepts for f in fits]))
+    sigmoids = None
+    if kind.folds:
+        held = linear.held_margins(blocks, problems, fits)
+        sigmoids = linear.sigmoids(held, len(problems) * blocks.classes)
+    return LinearClassifier(labels, fit, kind.loss == SOFTMAX, sigmoids), fits
+
+
+def _fit_kind(train, labels, kind: LinearKind, **params) -> LinearClassifier:
+    blocks = linear_blocks(train, labels, kind.folds)
+    try:
+        return fitted_linear(blocks, labels, kind, **params)[0]
+    finally:
+        blocks.release()
+
+
 def fit_logistic(train: DataFrame, labels: Sequence[str], c: float = 1.0, balanced: bool = False,
-                 max_iter: int = 100) -> Classifier:
-    with _training(train, labels, balanced) as (rows, n):
-        model = LogisticRegression(
-            featuresCol=FEATURES, labelCol=TARGET, weightCol=WEIGHT, family="multinomial",
-            regParam=1.0 / (c * n), maxIter=max_iter, standardization=False).fit(rows)
-    return ProbabilityClassifier(labels, model)
+                 max_iter: int = 200) -> Classifier:
+    return _fit_kind(train, labels, LINEAR["LogisticRegression"], c=c, balanced=balanced, max_iter=max_iter)
 
 
 def fit_svc(train: DataFrame, labels: Sequence[str], c: float = 1.0, balanced: bool = False,
-            max_iter: int = 50, parallelism: int = 4) -> MarginClassifier:
-    """One-vs-rest; with ``balanced`` a row carries the weight of its own class."""
-    with _training(train, labels, balanced) as (rows, n):
-        svc = LinearSVC(regParam=1.0 / (c * n), maxIter=max_iter, standardization=False)
-        model = OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=TARGET, weightCol=WEIGHT,
-                          parallelism=parallelism).fit(rows)
-    return MarginClassifier(labels, model.models)
+            max_iter: int = 200) -> Classifier:
+    """One against the rest; with ``balanced`` a row carries the weight of its own class."""
+    return _fit_kind(train, labels, LINEAR["LinearSVC"], c=c, balanced=balanced, max_iter=max_iter)
 
 
 def fit_calibrated_svc(train: DataFrame, labels: Sequence[str], folds: int = 3, c: float = 1.0,
-                       max_iter: int = 50) -> CalibratedClassifier:
-    """Per fold: SVM on the other folds, sigmoid on the held-out margins (M5)."""
-    assigned = train.join(stratified_folds(train, folds).select("doc_id", "fold"), "doc_id")
-    assigned = cut_lineage(assigned)
-    parts, held = [], []
-    for f in range(folds):
-        fitted = fit_svc(assigned.filter(F.col("fold") != f), labels, c, max_iter=max_iter)
-        parts.append(_Fold(fitted.models))
-        scored = with_target(fitted.score(assigned.filter(F.col("fold") == f), "m"), labels)
-        held.append(scored.select("fold", TARGET, F.posexplode("m").alias("cls", "m")))
-    table = held[0]
-    for h in held[1:]:
-        table = table.unionByName(h)
-    for (f, cls), (a, b) in fit_sigmoids(cut_lineage(table)).items():
-        parts[f].slopes.append((cls, a))
-        parts[f].offsets.append((cls, b))
-    for p in parts:
-        p.slopes = [a for _, a in sorted(p.slopes)]
-        p.offsets = [b for _, b in sorted(p.offsets)]
-    return CalibratedClassifier(labels, parts)
+                       max_iter: int = 200) -> Classifier:
+    """Per fold: SVM on the other folds, sigmoid on the held-out margins; all folds in one solve (M5)."""
+    return _fit_kind(train, labels, LinearKind(HINGE, folds=folds), c=c, max_iter=max_iter)
 
 
 def fit_sigmoids(table: DataFrame, iterations: int = 30, tolerance: float = 1e-6,
                  ) -> dict[tuple[int, int], tuple[float, float]]:
-    """Platt's sigmoid ``1 / (1 + exp(a m + b))`` for every (fold, class) at once.
+    """Platt's sigmoid ``1 / (1 + exp(a m + b))`` for every (fold, class) of a table of margins."""
+    keys = [tuple(r) for r in table.select("fold", "cls").distinct().orderBy("fold", "cls").collect()]
+    place = {k: i for i, k in enumerate(keys)}  # one entry a fold and class
 
-    Newton steps: each step is one aggregation over the margins, grouped by (fold, class), so
-    only a few sums per class reach the driver.  Targets are smoothed by the class counts.
-    """
-    keys = ["fold", "cls"]
-    positive = F.col(TARGET) == F.col("cls")
-    counts = table.groupBy(*keys).agg(F.count_if(positive).alias("p"),
-                                      F.count_if(~positive).alias("n")).collect()
-    sizes = {(r.fold, r.cls): (r.p, r.n) for r in counts}
-    current = {k: (0.0, math.log((n + 1.0) / (p + 1.0))) for k, (p, n) in sizes.items()}
-    spark = table.sparkSession
-    for _ in range(iterations):
-        rows = [(f, c, a, b, (sizes[f, c][0] + 1.0) / (sizes[f, c][0] + 2.0),
-                 1.0 / (sizes[f, c][1] + 2.0)) for (f, c), (a, b) in current.items()]
-        # One row per fold and class.
-        state = F.broadcast(spark.createDataFrame(
-            rows, "fold int, cls int, a double, b double, hi double, lo double"))
-        m = F.col("m")
-        p = 1.0 / (1.0 + F.exp(F.col("a") * m + F.col("b")))
-        joined = (table.join(state, keys).withColumn("p", p)
-                  .withColumn("d", F.when(positive, F.col("hi")).otherwise(F.col("lo"))
-                              - F.col("p"))
-                  .withColumn("w", F.col("p") * (1 - F.col("p"))))
-        sums = joined.groupBy(*keys).agg(
-            F.sum(F.col("d") * m).alias("ga"), F.sum("d").alias("gb"),
-            F.sum(F.col("w") * m * m).alias("haa"), F.sum(F.col("w") * m).alias("hab"),
-            F.sum("w").alias("hbb")).collect()
-        moved = 0.0
-        for r in sums:
-            haa, hbb, hab = r.haa + 1e-9, r.hbb + 1e-9, r.hab
-            det = haa * hbb - hab * hab
-            da = -(hbb * r.ga - hab * r.gb) / det
-            db = -(haa * r.gb - hab * r.ga) / det
-            size = max(abs(da), abs(db))
-            scale = min(1.0, 5.0 / size) if size > 0 else 1.0  # no step leaves the sane range
-            a, b = current[r.fold, r.cls]
-            current[r.fold, r.cls] = (a + scale * da, b + scale * db)
-            moved = max(moved, size)
-        if moved < tolerance:
-            break
-    return current
+    def arrays(batches):
+        for batch in batches:
+            fold, cls, target, m = (batch.column(i).to_numpy() for i in range(4))
+            group = np.array([place[k] for k in zip(fold.tolist(), cls.tolist(), strict=True)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (
+                group, target == cls, m.astype(np.float64))], names=["g", "h", "m"])
+
+    rows = table.select("fold", "cls", TARGET, "m").mapInArrow(arrays, "g binary, h binary, m binary")
+    margins = rows.rdd.map(lambda r: (np.frombuffer(r.g, np.int32), np.frombuffer(r.h, bool), np.frombuffer(r.m)))
+    a, b = linear.sigmoids(margins, len(keys), iterations, tolerance)
+    return {k: (float(a[i]), float(b[i])) for k, i in place.items()}
 
 
 def fit_forest(train: DataFrame, labels: Sequence[str], trees: int = 100, depth: int = 10,
@@ -362,57 +339,76 @@ class MacroF1(Evaluator):
         return True
 
 
-def estimator_for(kind: str, rows: int):
-    """Estimator and its default grid; ``rows`` turns C into Spark's regularisation."""
-    def reg(values):
-        return [1.0 / (c * max(rows, 1)) for c in values]
+@dataclass
+class Search:
+    """Mean macro F1 of every setting, and the best one fitted on all rows."""
+
+    settings: list[tuple[dict, float]]
+    best: Classifier
 
-    if kind == "MultinomialNB":
-        est = NaiveBayes(featuresCol=FEATURES, labelCol=TARGET, modelType="multinomial")
-        return est, {est.smoothing: [0.01, 0.1, 0.5, 1.0, 2.0]}
-    if kind == "LogisticRegression":
-        est = LogisticRegression(featuresCol=FEATURES, labelCol=TARGET, weightCol=WEIGHT,
-                                 family="multinomial", standardization=False)
-        return est, {est.regParam: reg((0.1, 1.0, 5.0, 10.0))}
-    if kind == "LinearSVC":
-        svc = LinearSVC(maxIter=50, standardization=False)
-        est = OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=TARGET, weightCol=WEIGHT)
-        return est, {svc.regParam: reg((0.1, 1.0, 5.0, 10.0))}
-    if kind == "RandomForest":
-        est = RandomForestClassifier(featuresCol=FEATURES, labelCol=TARGET, weightCol=WEIGHT,
-                                     seed=C.SEED)
-        return est, {est.numTrees: [100, 200], est.maxDepth: [10, 20, 30],
-                     est.minInstancesPerNode: [1, 2]}
-    raise ValueError(f"unknown kind {kind!r}")
+
+#: Values that a search goes through unless told otherwise.
+GRIDS = {
+    "MultinomialNB": {"smoothing": [0.01, 0.1, 0.5, 1.0, 2.0]},
+    "LogisticRegression": {"C": [0.1, 1.0, 5.0, 10.0]},
+    "LinearSVC": {"C": [0.1, 1.0, 5.0, 10.0]},
+    "RandomForest": {"numTrees": [100, 200], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2]},
+}
 
 
 def grid_search(train: DataFrame, labels: Sequence[str], kind: str, folds: int = 5,
                 grid: Mapping | None = None, draws: int | None = None, balanced: bool = False,
-                parallelism: int = 2, seed: int = C.SEED):
+                parallelism: int = 2, seed: int = C.SEED) -> Search:
     """Stratified cross-validation by macro F1; ``draws`` takes a seeded subset of the grid.
 
-    Returns the fitted ``CrossValidatorModel``.  ``grid`` maps parameter names to values.
+    ``grid`` maps parameter names to values. All values and folds of a linear kind are one solve.
     """
+    options = {k: list(v) for k, v in (GRIDS[kind] if grid is None else grid).items()}
+    if kind in LINEAR:
+        return _linear_search(train, labels, LINEAR[kind], folds, options, draws, balanced, seed)
     assigned = train.join(stratified_folds(train, folds).select("doc_id", "fold"), "doc_id")
     prepared = cut_lineage(_prepared(assigned, labels, balanced))
     rows = prepared.count()
     if math.ceil(rows / ROWS_PER_TASK) < prepared.rdd.getNumPartitions():
         prepared = prepared.coalesce(math.ceil(rows / ROWS_PER_TASK))
-    estimator, default = estimator_for(kind, rows)
-    holder = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
-    chosen = default if grid is None else {holder.getParam(n): v for n, v in grid.items()}
+    if kind == "MultinomialNB":
+        estimator = NaiveBayes(featuresCol=FEATURES, labelCol=TARGET, modelType="multinomial")
+    else:
+        estimator = RandomForestClassifier(featuresCol=FEATURES, labelCol=TARGET, weightCol=WEIGHT, seed=C.SEED)
     builder = ParamGridBuilder()
-    for param, options in chosen.items():
-        builder.addGrid(param, options)
+    for name, values in options.items():
+        builder.addGrid(estimator.getParam(name), values)
     maps = builder.build()
     if draws is not None and draws < len(maps):
         maps = random.Random(seed).sample(maps, draws)
-    return CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=MacroF1(),
-                          foldCol="fold", numFolds=folds, parallelism=parallelism).fit(prepared)
+    found = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=MacroF1(),
+                           foldCol="fold", numFolds=folds, parallelism=parallelism).fit(prepared)
+    return Search([({p.name: v for p, v in m.items()}, float(score)) for m, score in zip(maps, found.avgMetrics)],
+                  ProbabilityClassifier(labels, found.bestModel))
+
+
+def _linear_search(train, labels, kind: LinearKind, folds: int, options: Mapping[str, list], draws, balanced,
+                   seed) -> Search:
+    if set(options) != {"C"} or kind.folds:
+        raise ValueError("linear kinds without calibration are searched by C")
+    values = options["C"]
+    if draws is not None and draws < len(values):
+        values = random.Random(seed).sample(values, draws)
+    blocks = linear_blocks(train, labels, folds)
+    try:
+        weights = blocks.balanced() if balanced or kind.balanced else None
+        problems = [Problem(kind.loss, c, weights, f) for c in values for f in range(folds)]
+        counted = linear.confusions(blocks, problems, linear.solve(blocks, problems))
+        scores = [linear.macro_f1(x) for x in counted]
+        means = [sum(scores[i * folds:(i + 1) * folds]) / folds for i in range(len(values))]
+        best = values[max(range(len(values)), key=lambda i: (means[i], -i))]
+        return Search([({"C": c}, m) for c, m in zip(values, means, strict=True)],
+                      fitted_linear(blocks, labels, kind, best, balanced=balanced or kind.balanced)[0])
+    finally:
+        blocks.release()
 
 
-def search_results(model) -> list[tuple[str, float]]:
+def search_results(found: Search) -> list[tuple[str, float]]:
     """Parameters and mean macro F1 of every setting, best first."""
-    rows = [(json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(score))
-            for m, score in zip(model.getEstimatorParamMaps(), model.avgMetrics)]
+    rows = [(json.dumps(p, sort_keys=True), score) for p, score in found.settings]
     return sorted(rows, key=lambda r: (-r[1], r[0]))

@@ -558,22 +558,28 @@ FROM (SELECT c.label, v.term, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT label
 UNION ALL SELECT label, '(prior)', round(ln(count(*) / (SELECT count(*) FROM docs)), 6)
 FROM docs GROUP BY label""", LANG, terms_cte("t", "text", "docs", False),
        vocab_cte("v", "t", "docs", 500, 2, 0.95))
-_NEAR = [f"cdocs AS (SELECT doc_id, {clean('text')} AS c FROM documents)",
-         terms_cte("t", "c", "cdocs", False, accents=False), vocab_cte("v", "t", "cdocs", 3000),
-         "w AS (SELECT doc_id, term, tf, tf * idf AS w FROM t JOIN v USING (term))",
-         "sig AS (SELECT doc_id, string_agg(term || ':' || tf, ',' ORDER BY term) AS sig, "
-         "sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)",
-         "cop AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS rep_id, "
-         "count(*) OVER (PARTITION BY sig) AS copies, norm FROM sig)",
-         "allcop AS (SELECT doc_id, rep_id, copies FROM cop UNION ALL SELECT doc_id, doc_id, 1 "
-         "FROM cdocs WHERE doc_id NOT IN (SELECT doc_id FROM w))",
-         "rep AS (SELECT * FROM cop WHERE doc_id = rep_id)",
-         "u AS (SELECT doc_id, term, copies, w / norm AS w FROM w JOIN rep USING (doc_id))",
-         "near AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, a.copies AS copies_a, "
-         "b.copies AS copies_b, round(sum(a.w * b.w), 6) AS cosine FROM u a JOIN u b "
-         "ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4 "
-         "HAVING round(sum(a.w * b.w), 6) >= 0.95)"]
+def _near(size: int) -> list[str]:
+    return [f"cdocs AS (SELECT doc_id, {clean('text')} AS c FROM documents)",
+            terms_cte("t", "c", "cdocs", False, accents=False), vocab_cte("v", "t", "cdocs", size),
+            "w AS (SELECT doc_id, term, tf, tf * idf AS w FROM t JOIN v USING (term))",
+            "sig AS (SELECT doc_id, string_agg(term || ':' || tf, ',' ORDER BY term) AS sig, "
+            "sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)",
+            "cop AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS rep_id, "
+            "count(*) OVER (PARTITION BY sig) AS copies, norm FROM sig)",
+            "allcop AS (SELECT doc_id, rep_id, copies FROM cop UNION ALL SELECT doc_id, doc_id, 1 "
+            "FROM cdocs WHERE doc_id NOT IN (SELECT doc_id FROM w))",
+            "rep AS (SELECT * FROM cop WHERE doc_id = rep_id)",
+            "u AS (SELECT doc_id, term, copies, w / norm AS w FROM w JOIN rep USING (doc_id))",
+            "near AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, a.copies AS copies_a, "
+            "b.copies AS copies_b, round(sum(a.w * b.w), 6) AS cosine FROM u a JOIN u b "
+            "ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4 "
+            "HAVING round(sum(a.w * b.w), 6) >= 0.95)"]
+
+
+#: More terms than any corpus has: the whole vocabulary.
+_NEAR = _near(10**15)
 oracle("near_dups", "SELECT * FROM near", *_NEAR)
+oracle("near_dups_capped", "SELECT * FROM near", *_near(C.NEAR_DUP_FEATURES))
 oracle("near_dup_copies", "SELECT doc_id, rep_id, copies FROM allcop", *_NEAR[:-3])
 oracle("near_dup_summary", """
 SELECT CAST((SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM cop GROUP BY rep_id))

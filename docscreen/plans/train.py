@@ -7,14 +7,17 @@ import json
 from collections.abc import Mapping, Sequence
 from time import perf_counter
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docscreen import constants as C
 from docscreen.functions import text as X
 from docscreen.operators import evaluate
-from docscreen.operators.features import LsaModel, TfidfModel, TfidfParams, term_statistics
-from docscreen.operators.models import FITTERS, Classifier, class_labels, load_classifier
+from docscreen.operators.features import LsaModel, TfidfModel, TfidfParams, first_features, term_statistics
+from docscreen.operators.linear import confusions, macro_f1, solve
+from docscreen.operators.models import (FITTERS, LINEAR, Classifier, class_labels, fitted_linear, linear_blocks,
+                                        load_classifier)
 from docscreen.session import cut_lineage
 
 METRICS = ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision",
@@ -131,27 +134,45 @@ def candidate_sweep(splits: DataFrame, text: str = "text",
                     params: Mapping[str, Mapping] | None = None):
     """Every feature size with every model: validation metrics and fit seconds.
 
-    Vectors of a size are computed once, written to the shared folder and used by all models.
+    A vocabulary contains every smaller one, so texts are turned into vectors once, for the largest;
+    those of a size are its first features at unit length. Linear models of all sizes read the same
+    blocks and start from the weights of the size before. ``fit_seconds`` is the fit alone.
     Returns the table and the fitted ``{(kind, size): ScreeningModel}``.
     """
-    train, validation = (splits.filter(F.col("split") == s) for s in ("train", "validation"))
+    sizes = sorted(set(sizes))
+    train = splits.filter(F.col("split") == "train")
     labels = class_labels(train)
-    rows, fitted = [], {}
-    for size in sizes:
-        tfidf = fit_vocabulary(train, text, TfidfParams(max_features=size))
-        keep = ["doc_id", "label", "features"]
-        fit_on = cut_lineage(vectorise(tfidf, train, text).select(*keep))
-        check_on = cut_lineage(vectorise(tfidf, validation, text).select(*keep))
+    widest = fit_vocabulary(train, text, TfidfParams(max_features=sizes[-1]))
+    rows = cut_lineage(vectorise(widest, splits.filter(F.col("split").isin("train", "validation")), text)
+                       .select("doc_id", "label", "split", "features"))
+    fit_on, check_on = (rows.filter(F.col("split") == s).drop("split") for s in ("train", "validation"))
+    known = len(widest.terms)
+    subsets = [np.arange(known) < size for size in sizes]
+    linear = [k for k in kinds if k in LINEAR]
+    blocks = linear_blocks(fit_on, labels, max([LINEAR[k].folds for k in linear], default=0), subsets) if linear else None
+    out, fitted, before = [], {}, {}
+    for place, size in enumerate(sizes):
+        own = widest.first(size)
+        check = cut_lineage(check_on.withColumn("features", first_features("features", len(own.terms))))
         for kind in kinds:
-            started = perf_counter()
-            model = FITTERS[kind](fit_on, labels, **((params or {}).get(kind, {})))
+            chosen = (params or {}).get(kind, {})
+            if kind in LINEAR:
+                started = perf_counter()
+                model, before[kind] = fitted_linear(blocks, labels, LINEAR[kind], features=place,
+                                                    start=before.get(kind), **chosen)
+            else:
+                narrow = cut_lineage(fit_on.withColumn("features", first_features("features", len(own.terms))))
+                started = perf_counter()
+                model = FITTERS[kind](narrow, labels, **chosen)
             seconds = perf_counter() - started
-            found = model_metrics(model, check_on)
-            rows.append((kind, size, *[found[m] for m in METRICS], seconds))
-            fitted[kind, size] = ScreeningModel(tfidf, model)
+            found = model_metrics(model, check)
+            out.append((kind, size, *[found[m] for m in METRICS], seconds))
+            fitted[kind, size] = ScreeningModel(own, model)
+    if blocks:
+        blocks.release()
     schema = ", ".join(["model string", "max_features int"] + [f"{m} double" for m in METRICS]
                        + ["fit_seconds double"])
-    return splits.sparkSession.createDataFrame(rows, schema), fitted
+    return splits.sparkSession.createDataFrame(out, schema), fitted
 
 
 def select_model(candidates: DataFrame, criteria=("macro_f1", "accuracy", "weighted_f1")):
@@ -196,32 +217,48 @@ def evaluate_saved(spark: SparkSession, path: str, rows: DataFrame, text: str =
 
 def tfidf_grid(splits: DataFrame, text: str = "text", grid: Mapping = C.TFIDF_GRID,
                probe: str = "LogisticRegression", **fit) -> DataFrame:
-    """Validation macro F1 of a probe model for every setting, best first.
+    """Validation macro F1 of a linear probe for every setting, best first.
 
-    Term statistics are counted once per n-gram range; the other settings only filter them.
+    Settings of one n-gram range differ in which terms they keep, not in their weights: one
+    vocabulary holds the terms of all of them, each setting is a subset of its features, and the
+    probes of all settings are one solve over one table of vectors.
     """
     spark = splits.sparkSession
     train, validation = (splits.filter(F.col("split") == s) for s in ("train", "validation"))
     labels, n = class_labels(train), train.count()
-    fit = fit or {"balanced": True}
-    rows = []
+    kind, rows = LINEAR[probe], []
+    balanced, c, max_iter = fit.get("balanced", True), fit.get("c", 1.0), fit.get("max_iter", 200)
+    bounds = list(itertools.product(grid["min_df"], grid["max_df"]))
     for low, high in grid["ngram_range"]:
-        base = TfidfParams(low=low, high=high, strip_accents=False)
-        stats = cut_lineage(term_statistics(_cleaned(train, text), base.terms(F.col("_clean"))))
-        for size, min_df, max_df in itertools.product(grid["max_features"], grid["min_df"],
-                                                      grid["max_df"]):
-            terms = (stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-                     .orderBy(F.desc("cf"), "term").limit(size)
-                     .select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
-                             .alias("idf")).collect())
-            tfidf = TfidfModel([t.term for t in terms], [t.idf for t in terms], TfidfParams(
-                size, low, high, min_df, max_df, strip_accents=False))
-            vectors = cut_lineage(vectorise(tfidf, train, text)
-                                  .select("doc_id", "label", "features"))
-            model = FITTERS[probe](vectors, labels, **fit)
-            found = model_metrics(model, vectorise(tfidf, validation, text))
-            rows.append((size, f"({low}, {high})", min_df, float(max_df), len(terms),
-                         round(found["macro_f1"], 4)))
+        params = TfidfParams(max(grid["max_features"]), low, high, strip_accents=False)
+        stats = cut_lineage(term_statistics(_cleaned(train, text), params.terms(F.col("_clean"))))
+        kept = {b: _ranked_terms(stats, b, n, max(grid["max_features"])) for b in bounds}
+        union = sorted({t for own in kept.values() for t in own}, key=lambda t: (-t[1], t[0]))
+        place = {t[0]: i for i, t in enumerate(union)}
+        tfidf = TfidfModel([t[0] for t in union], [t[2] for t in union], params)
+        settings, subsets = [], []
+        for size, bound in itertools.product(grid["max_features"], bounds):
+            own = np.zeros(len(union), dtype=bool)
+            own[[place[t[0]] for t in kept[bound][:size]]] = True
+            settings.append((size, bound, int(own.sum())))
+            subsets.append(own)
+        keep = ["doc_id", "label", "features"]
+        blocks = linear_blocks(vectorise(tfidf, train, text).select(*keep), labels, subsets=subsets)
+        check = linear_blocks(vectorise(tfidf, validation, text).select(*keep), labels, subsets=subsets)
+        problems = [p for i in range(len(subsets)) for p in kind.problems(blocks, c, i, balanced)]
+        found = confusions(check, problems, solve(blocks, problems, max_iter=max_iter), held_out=False)
+        for block in (blocks, check):
+            block.release()
+        rows += [(size, f"({low}, {high})", bound[0], float(bound[1]), terms, round(macro_f1(x), 4))
+                 for (size, bound, terms), x in zip(settings, found, strict=True)]
     return spark.createDataFrame(
         rows, "max_features int, ngram_range string, min_df int, max_df double, "
         "vocab_size int, macro_f1 double").orderBy(F.desc("macro_f1"), "max_features")
+
+
+def _ranked_terms(stats: DataFrame, bound: tuple, n: int, most: int) -> list[tuple[str, int, float]]:
+    """(term, frequency, idf) of the most frequent terms within the bounds: the vocabulary itself."""
+    rows = (stats.filter((F.col("df") >= bound[0]) & (F.col("df") <= bound[1] * n))
+            .orderBy(F.desc("cf"), "term").limit(most)
+            .select("term", "cf", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf")).collect())
+    return [(r.term, r.cf, r.idf) for r in rows]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docscreen import constants as C
 from docscreen.functions import text as X
 from docscreen.functions.skills import find_skill_matches, find_skills, skill_vocabulary
-from docscreen.operators import (dedup, evaluate, features, leakage, profile, schema, screening,
+from docscreen.operators import (dedup, evaluate, features, leakage, neardup, profile, schema, screening,
                                  split)
 from docscreen.operators.grouping import unnest
 from docscreen.operators.features import TfidfModel, TfidfParams
@@ -730,9 +730,9 @@ def nb_params(spark, sf):
                       F.round("log_prior", 6).alias("value")))
 
 
-def _near(spark, sf):
+def _near(spark, sf, params=neardup.WHOLE):
     docs = documents(spark, sf).select(D, X.clean_text(T()).alias("clean"))
-    return features.near_duplicates(docs, "clean")
+    return neardup.near_duplicates(docs, "clean", params=params)
 
 
 @query
@@ -740,6 +740,12 @@ def near_dups(spark, sf):
     return _near(spark, sf)[1]
 
 
+@query
+def near_dups_capped(spark, sf):
+    """Vectors of the 3,000 most frequent terms only."""
+    return _near(spark, sf, neardup.CAPPED)[1]
+
+
 @query
 def near_dup_copies(spark, sf):
     return _near(spark, sf)[0]
@@ -747,7 +753,7 @@ def near_dup_copies(spark, sf):
 
 @query
 def near_dup_summary(spark, sf):
-    return features.near_duplicate_summary(*_near(spark, sf))
+    return neardup.near_duplicate_summary(*_near(spark, sf))
 
 
 # -- evaluation ---------------------------------------------------------------------------

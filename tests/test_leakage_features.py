@@ -1,11 +1,12 @@
 import math
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from docscreen.functions import text as X
-from docscreen.operators import dedup, evaluate as E, features, leakage
+from docscreen.operators import dedup, evaluate as E, leakage, neardup
 from docscreen.operators.features import TfidfModel, TfidfParams
 
 
@@ -112,15 +113,21 @@ def test_tfidf_equals_brute_force(spark):
         assert w == pytest.approx(expected[i][t], abs=1e-12)
 
 
-@pytest.mark.parametrize("block", [2, 5000])
-def test_near_duplicates_equal_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(features, "BLOCK", block)
+def near_texts():
     base = [f"w{i % 17}a w{i % 5}b w{i % 3}c common words here" for i in range(40)]
     long = " ".join(f"term{i}" for i in range(60))
-    texts = base + [long, long + " extra", long + " other more", long, "common words here"] * 2
+    heavy = [" ".join(["same"] * 50 + [f"own{i}"] * (i % 3)) for i in range(12)]
+    return (base + [long, long + " extra", long + " other more", long, "common words here"] + heavy) * 2 + ["", "!", "x"]
+
+
+@pytest.mark.parametrize("crowd, depth, block, size", [(64, 4, 1000, 0), (2, 4, 2, 0), (1, 2, 3, 3000), (3, 9, 5, 9)])
+def test_near_duplicates_equal_brute_force(spark, crowd, depth, block, size, monkeypatch):
+    for name, value in (("CROWD", crowd), ("DEPTH", depth), ("BLOCK", block)):
+        monkeypatch.setattr(neardup, name, value)
+    texts = near_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    copies, pairs = features.near_duplicates(df, "text")
-    vectors = brute_vectors(texts, 3000, False)
+    copies, pairs = neardup.near_duplicates(df, "text", params=replace(neardup.WHOLE, max_features=size))
+    vectors = brute_vectors(texts, size or 10**9, False)
 
     def cosine(a, b):
         return sum(x * vectors[b].get(t, 0.0) for t, x in vectors[a].items())
@@ -128,14 +135,31 @@ def test_near_duplicates_equal_brute_force(spark, block, monkeypatch):
     expected = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))
                 if round(cosine(a, b), 6) >= 0.95}
     rep = {r.doc_id: r.rep_id for r in copies.collect()}
+    assert sorted(rep) == list(range(len(texts)))
     near = {(r.id_a, r.id_b) for r in pairs.collect()}
     got = {(a, b) for a in rep for b in rep if a < b and (
         rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in near)}
     assert got == expected
-    summary = features.near_duplicate_summary(copies, pairs).first()
+    summary = neardup.near_duplicate_summary(copies, pairs).first()
     assert summary.equal_pairs + summary.near_pairs == len(expected)
 
 
+def test_near_duplicates_tell_rare_words_apart(spark):
+    """Beyond the most frequent terms, texts of rare words only still meet."""
+    common = [" ".join(f"c{j}" for j in range(i % 7, i % 7 + 5)) for i in range(60)]
+    rare = [" ".join(f"rare{k}x{j}" for j in range(40)) for k in range(3)]
+    df = spark.createDataFrame(list(enumerate(common + rare + [r + " tail" for r in rare])), "doc_id bigint, text string")
+    whole = {(r.id_a, r.id_b) for r in neardup.near_duplicates(df, "text")[1].collect()}
+    capped = {(r.id_a, r.id_b) for r in neardup.near_duplicates(
+        df, "text", params=replace(neardup.CAPPED, max_features=11))[1].collect()}
+    assert {(60, 63), (61, 64), (62, 65)} <= whole and not {(60, 63), (61, 64), (62, 65)} & capped
+
+
+def test_near_duplicates_of_nothing(spark):
+    copies, pairs = neardup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string"), "text")
+    assert copies.count() == 0 and pairs.count() == 0
+
+
 def test_seeded_sample(spark):
     df = spark.range(100).withColumnRenamed("id", "doc_id")
     a = {r.doc_id for r in dedup.seeded_sample(df.repartition(3), 10).collect()}
