@@ -178,9 +178,9 @@ def _smallest(spark, sf):
     return train.candidate_sweep(_splits(spark, sf), sizes=(FEATURES,))
 
 
-def _consistent(model: train.ScreeningModel, rows: DataFrame, reported: dict) -> bool:
+def _consistent(model: train.ScreeningModel, vectors: DataFrame, reported: dict) -> bool:
     """Reported accuracy and class F1 against a plain count over the predictions."""
-    counted = model.predict(rows).groupBy("label", "prediction").count().collect()  # pairs of classes
+    counted = model.classifier.predict(vectors).groupBy("label", "prediction").count().collect()  # pairs of classes
     pairs = [(r.label, r.prediction, r["count"]) for r in counted]
     total = sum(n for *_, n in pairs)
     hits = sum(n for a, b, n in pairs if a == b)
@@ -199,7 +199,10 @@ def candidate_sweep(spark, sf):
     """Every size with every kind; metrics against a recount over the predictions."""
     candidates, fitted = _sweep(spark, sf)
     rows = _splits(spark, sf).filter("split = 'validation'")
-    out = [(r.model, r.max_features, _consistent(fitted[r.model, r.max_features], rows, r.asDict()))
+    # Vectors of a size from the texts, not those that the sweep cut from the largest size.
+    vectors = {size: cut_lineage(fitted[KINDS[0], size].vectors(rows).select(D, "label", "features"))
+               for size in C.MAX_FEATURES_GRID}
+    out = [(r.model, r.max_features, _consistent(fitted[r.model, r.max_features], vectors[r.max_features], r.asDict()))
            for r in candidates.collect()]
     return spark.createDataFrame(out, "model string, max_features int, consistent boolean")
 

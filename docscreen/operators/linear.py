@@ -1,8 +1,11 @@
 """Linear classifiers of all classes, folds and settings solved together.
 
-The weights of every class of every problem are rows of one matrix. A step of the solver is one pass
-over blocks of rows that gives losses and gradients of all of them, added up in a tree; the blocks
-stay in executor memory (or on their disks) between passes. A problem is a loss, a regularisation,
+The weights of every class of every problem are rows of one matrix. A step of the solver is two
+jobs. The first is a pass over blocks of all rows that gives losses, gradients and the curvature of
+each feature, added up in a tree; the blocks stay in executor memory (or on their disks) between
+passes. In the second, tasks solve the Newton equations of the classes and problems by conjugate
+gradients; these use the whole gradient and the curvature of at most ``CURVE_ROWS`` rows, corrected
+by that of all rows feature by feature. A step is shortened if the loss of all rows does not fall. A problem is a loss, a regularisation,
 class weights, a fold that it does not see and a set of features, so folds of a calibration, values
 of a grid and vocabularies of several sizes need one set of blocks and one sequence of passes.
 
@@ -12,8 +15,8 @@ softmax loss leaves the intercepts free. Both are smooth and the weights' own te
 strongly convex, so a gradient of norm e proves an error of the weights of e at most: a search stops
 when that is below ``TOLERANCE`` of their norm.
 
-The driver holds the weights and a few earlier steps: features x classes x problems numbers, a size
-that the parameters bound, whatever the number of rows.
+The driver holds weights, gradients and steps: features x classes x problems numbers, a size that the
+parameters bound, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -31,11 +34,12 @@ from pyspark.sql import functions as F
 
 HINGE, SOFTMAX = "squared_hinge", "softmax"
 #: Error of the weights, relative to their norm, at which a search stops.
-TOLERANCE = 1e-3
-#: Earlier steps that shape the next one.
-MEMORY = 6
+TOLERANCE = 5e-3
+#: Rows whose curvature shapes a step, steps of conjugate gradients, and the part of the gradient at
+#: which they stop. Loss and gradient, and so the result, always come from all rows.
+CURVE_ROWS, CURVE_STEPS, CURVE_TOLERANCE = 8192, 30, 0.1
 #: Rows of a block, and of a task while there are few.
-BLOCK_ROWS, ROWS_PER_TASK = 1024, 1000
+BLOCK_ROWS, ROWS_PER_TASK = 256, 512
 #: Bytes that one pass may send to the driver without adding up in executors first.
 FLAT_BYTES = 256 << 20
 
@@ -170,6 +174,15 @@ class _Rows:
                 out[k, self.filled] = np.add.reduceat(self.values * w[self.indices], self.starts)
         return out * self.scales[subset] + weights[:, -1:]
 
+    def add_squares(self, out: np.ndarray, curves: np.ndarray, subset: int) -> None:
+        """Sums of curvature times squared value."""
+        squares = self.values * self.values
+        for k, c in enumerate(curves):
+            if c.any():
+                out[k, :-1] += np.bincount(self.indices, squares * (c * self.scales[subset] ** 2)[self.row],
+                                           minlength=out.shape[1] - 1)
+        out[:, -1] += curves.sum(axis=1)
+
     def add_gradient(self, out: np.ndarray, slopes: np.ndarray, subset: int) -> None:
         for k, s in enumerate(slopes):
             if s.any():
@@ -178,81 +191,130 @@ class _Rows:
         out[:, -1] += slopes.sum(axis=1)
 
 
-def _losses(problem: Problem, rows: _Rows, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Loss of each class (softmax: all in the first) and its slope for every margin."""
+def _row_weights(problem: Problem, rows: _Rows) -> np.ndarray:
     own = np.full(rows.n, problem.c)
     if problem.weights is not None:
         own *= np.asarray(problem.weights)[rows.target]
     if problem.held_out is not None:
         own *= rows.fold != problem.held_out
-    at = (rows.target, np.arange(rows.n))
+    return own
+
+
+def _signs(rows: _Rows, classes: int) -> np.ndarray:
+    sign = np.full((classes, rows.n), -1.0)
+    sign[rows.target, np.arange(rows.n)] = 1.0
+    return sign
+
+
+def _softmax(margins: np.ndarray) -> np.ndarray:
+    shares = np.exp(margins - margins.max(axis=0))
+    return shares / shares.sum(axis=0)
+
+
+def _losses(problem: Problem, rows: _Rows, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss of each class (softmax: all in the first), its slope and its curvature for every margin."""
+    own = _row_weights(problem, rows)
     if problem.loss == HINGE:
-        sign = np.full(margins.shape, -1.0)
-        sign[at] = 1.0
+        sign = _signs(rows, len(margins))
         short = np.maximum(0.0, 1.0 - sign * margins)
-        return (own * short * short).sum(axis=1), -2.0 * own * sign * short
+        return (own * short * short).sum(axis=1), -2.0 * own * sign * short, 2.0 * own * (short > 0)
+    at = (rows.target, np.arange(rows.n))
     top = margins.max(axis=0)
-    shares = np.exp(margins - top)
-    total = shares.sum(axis=0)
     loss = np.zeros(len(margins))
-    loss[0] = (own * (np.log(total) + top - margins[at])).sum()
-    shares /= total
-    shares[at] -= 1.0
-    return loss, own * shares
+    loss[0] = (own * (np.log(np.exp(margins - top).sum(axis=0)) + top - margins[at])).sum()
+    slopes = _softmax(margins)
+    curves = own * slopes * (1.0 - slopes)
+    slopes[at] -= 1.0
+    return loss, own * slopes, curves
+
+
+def _direction(problem: Problem, blocks: list[_Rows], weights: np.ndarray, gradient: np.ndarray,
+               bends: np.ndarray, all_rows: int, subset: np.ndarray | None, own_class: int | None) -> np.ndarray:
+    """Newton direction with the curvature of these rows, all of them standing for ``all_rows``."""
+    scale = all_rows / max(1, sum(b.n for b in blocks))
+    free = np.ones_like(weights)
+    if problem.loss == SOFTMAX:
+        free[:, -1] = 0.0
+    curves, own_bends = [], np.zeros_like(weights)
+    for b in blocks:
+        margins, own = b.margins(weights, problem.features), scale * _row_weights(problem, b)
+        if problem.loss == HINGE:
+            sign = np.where(b.target == own_class, 1.0, -1.0)
+            curves.append(2.0 * own * (sign * margins < 1.0))
+            b.add_squares(own_bends, curves[-1], problem.features)
+        else:
+            shares = _softmax(margins)
+            curves.append((own, shares))
+            b.add_squares(own_bends, own * shares * (1.0 - shares), problem.features)
+    # Features that these rows have less of than all rows keep the curvature that all rows give them.
+    missing = np.maximum(0.0, bends - own_bends)
+    bends = free + np.maximum(bends, own_bends) + (free == 0) * 1e-9
+
+    def curved(v: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(v)
+        for b, curve in zip(blocks, curves, strict=True):
+            along = b.margins(v, problem.features)
+            if problem.loss == HINGE:
+                along = along * curve
+            else:
+                own, shares = curve
+                along = own * shares * (along - (shares * along).sum(axis=0))
+            b.add_gradient(out, along, problem.features)
+        if subset is not None:
+            out[:, :-1][:, ~subset] = 0.0
+        return out + (free + missing) * v
+
+    x, r = np.zeros_like(gradient), -gradient
+    z = r / bends
+    p, rz, first = z, float(np.vdot(r, z)), float(np.vdot(r, r))
+    for _ in range(CURVE_STEPS):
+        q = curved(p)
+        pq = float(np.vdot(p, q))
+        if pq <= 0:  # a free intercept that no row pins down
+            break
+        x, r = x + (rz / pq) * p, r - (rz / pq) * q
+        if float(np.vdot(r, r)) <= CURVE_TOLERANCE ** 2 * first:
+            break
+        z = r / bends
+        rz, before = float(np.vdot(r, z)), rz
+        p = z + (rz / before) * p
+    return x
 
 
 class _Search:
-    """Limited-memory quasi-Newton search that is told losses and gradients from outside."""
+    """One unit of the solver: takes a step if the loss falls enough, else a shorter one."""
 
     def __init__(self, start: np.ndarray, steps: int):
         self.trial, self.steps_left, self.tries_left = start, steps, 3 * steps + 10
         self.x = self.loss = self.gradient = None
-        self.moves: list[tuple[np.ndarray, np.ndarray, float]] = []
-        self.done = False
+        self.done, self.turning = False, False
 
     def told(self, loss: float, gradient: np.ndarray) -> None:
+        """Loss and gradient at ``trial``."""
         self.tries_left -= 1
-        if self.x is not None:
-            move = self.trial - self.x
-            if not loss <= self.loss + 1e-4 * self.slope * self.step and self.tries_left > 0:
-                # Too far: the lowest point of the parabola through what is known.
-                bend = loss - self.loss - self.slope * self.step
-                shrink = -self.slope * self.step / (2 * bend) if math.isfinite(bend) and bend > 0 else 0.1
-                self.step *= min(0.5, max(0.1, shrink))
-                if self.step * np.linalg.norm(self.direction) <= 1e-10 * (1 + np.linalg.norm(self.x)):
-                    self.done = True
-                self.trial = self.x + self.step * self.direction
-                return
-            change = gradient - self.gradient
-            curve = float(np.vdot(move, change))
-            if curve > 1e-12 * float(np.vdot(change, change)):
-                self.moves = [*self.moves[1 - MEMORY:], (move, change, 1.0 / curve)]
+        if self.x is not None and not loss <= self.loss + 1e-4 * self.slope * self.step and self.tries_left > 0:
+            # Too far: the lowest point of the parabola through what is known.
+            bend = loss - self.loss - self.slope * self.step
+            shrink = -self.slope * self.step / (2 * bend) if math.isfinite(bend) and bend > 0 else 0.1
+            self.step *= min(0.5, max(0.1, shrink))
+            self.done = self.step * np.linalg.norm(self.direction) <= 1e-10 * (1 + np.linalg.norm(self.x))
+            self.trial = self.x + self.step * self.direction
+            return
         self.x, self.loss, self.gradient = self.trial, loss, gradient
         norm = float(np.linalg.norm(gradient))
         self.steps_left -= 1
-        if norm <= TOLERANCE * float(np.linalg.norm(self.x)) or norm == 0.0 or self.steps_left < 0 or self.tries_left <= 0:
-            self.done = True
-            return
-        self.direction = self._direct(gradient)
-        self.slope = float(np.vdot(self.direction, gradient))
+        self.done = (norm <= TOLERANCE * float(np.linalg.norm(self.x)) or norm == 0.0 or self.steps_left < 0
+                     or self.tries_left <= 0)
+        self.turning = not self.done
+
+    def turned(self, direction: np.ndarray) -> None:
+        """The direction of the next step."""
+        self.direction, self.slope, self.step, self.turning = direction, float(np.vdot(direction, self.gradient)), 1.0, False
         if self.slope >= 0:
-            self.moves, self.direction, self.slope = [], -gradient, -norm * norm
-        self.step = 1.0 if self.moves else min(1.0, 1.0 / norm)
+            norm = float(np.linalg.norm(self.gradient))
+            self.direction, self.slope = -self.gradient / norm, -norm
         self.trial = self.x + self.step * self.direction
 
-    def _direct(self, gradient: np.ndarray) -> np.ndarray:
-        q, parts = -gradient, []
-        for move, change, r in reversed(self.moves):
-            a = r * float(np.vdot(move, q))
-            q = q - a * change
-            parts.append(a)
-        if self.moves:
-            move, change, r = self.moves[-1]
-            q = q / (r * float(np.vdot(change, change)))
-        for (move, change, r), a in zip(self.moves, reversed(parts), strict=True):
-            q = q + move * (a - r * float(np.vdot(change, q)))
-        return q
-
 
 def _reduced(rdd: RDD, work, numbers: int):
     """Sum of the arrays of all tasks: on the driver if they are few, else in executors first."""
@@ -262,10 +324,12 @@ def _reduced(rdd: RDD, work, numbers: int):
 
 
 def solve(blocks: Blocks, problems: Sequence[Problem], start: Sequence[Fit | None] | None = None,
-          max_iter: int = 200) -> list[Fit]:
+          max_iter: int = 100) -> list[Fit]:
     """All problems at once; ``start`` may give weights to begin with, of fewer features too."""
-    k, d, sc = blocks.classes, blocks.size, blocks.rdd.context
+    k, d = blocks.classes, blocks.size
     searches: list[list[_Search]] = []
+    bends: list[np.ndarray | None] = [None] * len(problems)
+    sample = None
     for i, problem in enumerate(problems):
         first = np.zeros((k, d + 1))
         if start and start[i] is not None:
@@ -274,42 +338,35 @@ def solve(blocks: Blocks, problems: Sequence[Problem], start: Sequence[Fit | Non
         # Classes of a margin loss do not depend on each other, those of softmax do.
         parts = [first[c:c + 1] for c in range(k)] if problem.loss == HINGE else [first]
         searches.append([_Search(p, max_iter) for p in parts])
-    subsets = len(blocks.subsets)
     while True:
-        open_ones = [i for i, own in enumerate(searches) if not all(s.done for s in own)]
-        if not open_ones:
+        asked = [i for i, own in enumerate(searches) if not all(s.done for s in own)]
+        if not asked:
             break
-        trial = np.stack([np.concatenate([s.x if s.done else s.trial for s in searches[i]]) for i in open_ones])
-        asked = [problems[i] for i in open_ones]
-        shared = sc.broadcast(trial)
-
-        def work(rows, shared=shared, asked=asked):
-            weights = shared.value
-            out = np.zeros((len(asked), k, d + 2))
-            for row in rows:
-                block = _Rows(row, subsets)
-                for j, problem in enumerate(asked):
-                    loss, slopes = _losses(problem, block, block.margins(weights[j], problem.features))
-                    out[j, :, -1] += loss
-                    block.add_gradient(out[j, :, :-1], slopes, problem.features)
-            yield out
-
-        found = _reduced(blocks.rdd, work, trial.size)
-        shared.destroy()
-        for j, i in enumerate(open_ones):
-            subset, problem = blocks.subsets[problems[i].features], problems[i]
-            gradient, w = found[j, :, :-1], trial[j]
+        trial = np.stack([np.concatenate([s.x if s.done else s.trial for s in searches[i]]) for i in asked])
+        found = _valued(blocks, [problems[i] for i in asked], trial)
+        for j, i in enumerate(asked):
+            problem, w, gradient, bends[i] = problems[i], trial[j], found[j, :, :d + 1], found[j, :, d + 1:-1]
+            subset = blocks.subsets[problem.features]
             if subset is not None:
                 gradient[:, :-1][:, ~subset] = 0.0
             own = w if problem.loss == HINGE else np.concatenate([w[:, :-1], np.zeros((k, 1))], axis=1)
             gradient += own
             loss = found[j, :, -1] + 0.5 * (own * own).sum(axis=1)
-            if problem.loss == HINGE:
-                for c, s in enumerate(searches[i]):
-                    if not s.done:
-                        s.told(float(loss[c]), gradient[c:c + 1])
-            else:
-                searches[i][0].told(float(loss.sum()), gradient)
+            for c, s in enumerate(searches[i]):
+                if not s.done:
+                    s.told(*((float(loss[c]), gradient[c:c + 1]) if problem.loss == HINGE
+                             else (float(loss.sum()), gradient)))
+        turning = [(i, c, s) for i, own in enumerate(searches) for c, s in enumerate(own) if s.turning]
+        if turning:
+            sample = sample or _sampled(blocks)
+            hinge = [problems[i].loss == HINGE for i, *_ in turning]
+            turned = _turned(blocks, sample, [
+                (problems[i], s.x, s.gradient, bends[i][c:c + 1] if own else bends[i], c if own else None)
+                for (i, c, s), own in zip(turning, hinge, strict=True)])
+            for (_, _, s), direction in zip(turning, turned, strict=True):
+                s.turned(direction)
+    if sample:
+        sample.destroy()
     fits = []
     for own in searches:
         whole = np.concatenate([s.x for s in own])
@@ -317,6 +374,61 @@ def solve(blocks: Blocks, problems: Sequence[Problem], start: Sequence[Fit | Non
     return fits
 
 
+def _valued(blocks: Blocks, problems: list[Problem], weights: np.ndarray) -> np.ndarray:
+    """(problems, classes, ...): gradients, curvatures of each feature, and the loss, summed over all rows."""
+    shared, subsets = blocks.rdd.context.broadcast(weights), len(blocks.subsets)
+
+    def work(rows):
+        width = shared.value.shape[2]
+        out = np.zeros((*shared.value.shape[:2], 2 * width + 1))
+        for row in rows:
+            block = _Rows(row, subsets)
+            for j, problem in enumerate(problems):
+                loss, slopes, curves = _losses(problem, block, block.margins(shared.value[j], problem.features))
+                out[j, :, -1] += loss
+                block.add_gradient(out[j, :, :width], slopes, problem.features)
+                block.add_squares(out[j, :, width:-1], curves, problem.features)
+        yield out
+
+    found = _reduced(blocks.rdd, work, 2 * weights.size)
+    shared.destroy()
+    return found
+
+
+def _sampled(blocks: Blocks):
+    """Broadcast of the subsets and of about ``CURVE_ROWS`` rows, from the head of every partition."""
+    most = math.ceil(CURVE_ROWS / max(1, blocks.rdd.getNumPartitions()))
+
+    def head(rows):
+        size = 0
+        for row in rows:
+            if size >= most:
+                break
+            size += len(row[0]) // 8
+            yield row
+
+    return blocks.rdd.context.broadcast((blocks.subsets, blocks.rdd.mapPartitions(head).collect()))
+
+
+def _turned(blocks: Blocks, sample, units: list[tuple[Problem, np.ndarray, np.ndarray, np.ndarray, int | None]],
+            ) -> list[np.ndarray]:
+    """Newton directions of (problem, weights, gradient, curvatures, class or None for all classes)."""
+    context, all_rows = blocks.rdd.context, int(blocks.counts.sum())
+    shared = context.broadcast(units)
+
+    def work(places):
+        subsets, rows = sample.value
+        held = [_Rows(row, len(subsets)) for row in rows]
+        for i in places:
+            problem, weights, gradient, bends, own = shared.value[i]
+            yield _direction(problem, held, weights, gradient, bends, all_rows, subsets[problem.features], own)
+
+    tasks = min(len(units), context.defaultParallelism)
+    found = context.parallelize(range(len(units)), tasks).mapPartitions(work).collect()
+    shared.destroy()
+    return found
+
+
 def _stacked(fits: Sequence[Fit]) -> np.ndarray:
     return np.stack([np.concatenate([f.weights, f.intercepts[:, None]], axis=1) for f in fits])
 

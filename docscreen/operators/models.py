@@ -244,7 +244,7 @@ def linear_blocks(train: DataFrame, labels: Sequence[str], folds: int = 0,
 
 
 def fitted_linear(blocks: Blocks, labels: Sequence[str], kind: LinearKind, c: float = 1.0, features: int = 0,
-                  start: Sequence[Fit] | None = None, max_iter: int = 200, balanced: bool | None = None,
+                  start: Sequence[Fit] | None = None, max_iter: int = 100, balanced: bool | None = None,
                   ) -> tuple[LinearClassifier, list[Fit]]:
     """Classifier over one subset of the features, and the solver's weights to start others with."""
     problems = kind.problems(blocks, c, features, balanced)
@@ -268,18 +268,18 @@ def _fit_kind(train, labels, kind: LinearKind, **params) -> LinearClassifier:
 
 
 def fit_logistic(train: DataFrame, labels: Sequence[str], c: float = 1.0, balanced: bool = False,
-                 max_iter: int = 200) -> Classifier:
+                 max_iter: int = 100) -> Classifier:
     return _fit_kind(train, labels, LINEAR["LogisticRegression"], c=c, balanced=balanced, max_iter=max_iter)
 
 
 def fit_svc(train: DataFrame, labels: Sequence[str], c: float = 1.0, balanced: bool = False,
-            max_iter: int = 200) -> Classifier:
+            max_iter: int = 100) -> Classifier:
     """One against the rest; with ``balanced`` a row carries the weight of its own class."""
     return _fit_kind(train, labels, LINEAR["LinearSVC"], c=c, balanced=balanced, max_iter=max_iter)
 
 
 def fit_calibrated_svc(train: DataFrame, labels: Sequence[str], folds: int = 3, c: float = 1.0,
-                       max_iter: int = 200) -> Classifier:
+                       max_iter: int = 100) -> Classifier:
     """Per fold: SVM on the other folds, sigmoid on the held-out margins; all folds in one solve (M5)."""
     return _fit_kind(train, labels, LinearKind(HINGE, folds=folds), c=c, max_iter=max_iter)
 

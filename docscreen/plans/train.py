@@ -227,7 +227,7 @@ def tfidf_grid(splits: DataFrame, text: str = "text", grid: Mapping = C.TFIDF_GR
     train, validation = (splits.filter(F.col("split") == s) for s in ("train", "validation"))
     labels, n = class_labels(train), train.count()
     kind, rows = LINEAR[probe], []
-    balanced, c, max_iter = fit.get("balanced", True), fit.get("c", 1.0), fit.get("max_iter", 200)
+    balanced, c, max_iter = fit.get("balanced", True), fit.get("c", 1.0), fit.get("max_iter", 100)
     bounds = list(itertools.product(grid["min_df"], grid["max_df"]))
     for low, high in grid["ngram_range"]:
         params = TfidfParams(max(grid["max_features"]), low, high, strip_accents=False)
