@@ -11,22 +11,25 @@ under a key grows with the corpus before it is compared.
   the bound allows, a crowded pair by triples, and so on. A row whose shared terms alone may reach the
   threshold is filed under them with an end mark too.
 * What is still crowded after ``DEPTH`` terms is compared in blocks, by separate tasks.
-* Equal texts, and then equal vectors, are one representative with a count before all this.
+* Rows with equal bags of terms are one representative with a count before all this.
 
 Terms are told apart by 64 bits of hash together with their document frequency.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docscreen import constants as C
 from docscreen.functions import text as X
-from docscreen.operators.features import TfidfParams, vocabulary
-from docscreen.operators.grouping import broadcast_if_small, unnest, with_group_stats
+from docscreen.operators.features import TfidfParams
+from docscreen.operators.grouping import HOT_ROWS, broadcast_if_small, is_small, unnest, with_group_stats
 from docscreen.session import cut_lineage
 
 #: Rows filed under one key that are compared without a further term.
@@ -35,6 +38,8 @@ CROWD = 64
 DEPTH = 4
 #: Rows of a block of a key that stays crowded.
 BLOCK = 1_000
+#: Terms whose frequencies every task may hold.
+SHARED_TERMS = 4_000_000
 #: All terms; ``CAPPED`` keeps the most frequent ones only.
 WHOLE = TfidfParams(0, 1, 1, sublinear=False, strip_accents=False)
 CAPPED = TfidfParams(C.NEAR_DUP_FEATURES, 1, 1, sublinear=False, strip_accents=False)
@@ -49,51 +54,103 @@ def near_duplicates(df: DataFrame, text: str, row_id: str = "doc_id", params: Tf
     vectors that are near each other, with the number of rows each stands for.  A row without a term
     equals no other row.  ``params.max_features`` of 0 stands for the whole vocabulary.
     """
-    # Equal texts first: the terms of a text that occurs a million times are listed once.
-    said = F.coalesce(text, F.lit(""))
-    keyed = cut_lineage(df.select(F.col(row_id).alias("_id"), F.unhex(F.md5(said)).alias("_text"), said.alias("_t")))
-    rows = with_group_stats(keyed.select("_id", "_text"), ["_text"], "_id", id=F.min("_id"), n=F.count(F.lit(1)))
-    rows = cut_lineage(rows.select("_id", "_text", "id", "n"))
-    firsts = rows.filter(F.col("_id") == F.col("id")).select("id", "n", F.col("_text").alias("_key")).distinct()
-    terms = cut_lineage(keyed.join(firsts, (F.col("_id") == F.col("id")) & (F.col("_text") == F.col("_key")))
-                        .dropDuplicates(["id"]).select("id", "n", params.terms(F.col("_t")).alias("terms")))
-    vectors = cut_lineage(_vectors(terms, params, rows.count()))
-    groups = vectors.groupBy("key").agg(F.min("id").alias("rep_id"), F.sum("n").alias("copies"))
-    of_text = vectors.select("id", "key").join(groups, "key").select("id", "rep_id", "copies")
-    # Plain exchanges: the rows of a very frequent text are split by the skew join.
-    copies = rows.select("_id", "id").join(of_text, "id", "left").select(
-        F.col("_id").alias(row_id), F.coalesce("rep_id", "_id").alias("rep_id"),
-        F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
-    reps = vectors.select("id", "h", "w", "rest").join(groups.select(F.col("rep_id").alias("id"), "copies"), "id")
-    return copies, _near_pairs(cut_lineage(reps), threshold)
-
-
-def _vectors(texts: DataFrame, params: TfidfParams, rows: int) -> DataFrame:
-    """id, key, and rare terms first: h (hash), w (weight, unit length) and rest (squared norm from there on)."""
-    entries = unnest(texts.select("id", "n", X.term_counts(F.col("terms")).alias("t")), F.col("t"), "t", "id", "n")
-    entries = entries.select("id", "n", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"))
-    if params.max_features:
-        kept = _most_frequent_terms(entries, params, rows)
-        entries = entries.join(F.broadcast(kept), "term", "left_semi")  # at most ``max_features`` terms
-    hashed = cut_lineage(entries.select("id", "n", "tf", F.xxhash64("term").alias("h")))
-    counted = with_group_stats(hashed, ["h"], "id", texts=F.sum("n")).withColumnRenamed("texts", "df")
+    bags = _bags(df, text, row_id, params)
+    groups = cut_lineage(bags.groupBy("key").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("copies")))
+    copies = with_group_stats(bags.select("id", "key"), ["key"], "id", rep_id=F.min("id"), copies=F.count(F.lit(1)))
+    reps = (bags.filter(F.size("h") > 0).join(groups.select(F.col("rep_id").alias("id"), "copies", F.col("key").alias("_key")),
+                                              "id").filter(F.col("key") == F.col("_key")).dropDuplicates(["id"])
+            .select("id", "copies", "h", "tf"))
+    vectors = cut_lineage(_weighed(reps, _frequencies(bags), bags.count()))
+    return copies.select(F.col("id").alias(row_id), "rep_id", "copies"), _near_pairs(vectors, threshold)
+
+
+def _bags(df: DataFrame, text: str, row_id: str, params: TfidfParams) -> DataFrame:
+    """id, h (hashes of the distinct terms), tf and key (equal for equal bags; a row without terms has its own)."""
+    counted = df.select(F.col(row_id).alias("id"), X.term_counts(params.terms(F.coalesce(text, F.lit("")))).alias("c"))
+    bags = counted.select("id", F.transform("c", lambda x: F.xxhash64(x["term"])).alias("h"),
+                          F.transform("c", lambda x: x["tf"].cast("int")).alias("tf"))
+    if params.max_features or params.min_df > 1 or params.max_df < 1.0:
+        bags = _only(bags, _usable(counted, params))
+    own = F.when(F.size("h") == 0, F.concat(F.lit("row "), F.col("id").cast("string"))).otherwise(
+        F.concat_ws("|", F.array_join(F.transform("h", lambda x: x.cast("string")), ","),
+                    F.array_join(F.transform("tf", lambda x: x.cast("string")), ",")))
+    return cut_lineage(bags.withColumn("key", F.unhex(F.md5(own))))
+
+
+def _usable(counted: DataFrame, params: TfidfParams) -> np.ndarray:
+    """Hashes of the terms within the bounds, the most frequent ones: at most ``max_features`` numbers."""
     if not params.max_features:
-        counted = counted.filter((F.col("df") >= params.min_df) & (F.col("df") <= params.max_df * rows))
-    # Division by n + 1 first would round otherwise than the formula of the vocabulary.
-    weight = F.col("tf") * (F.log((F.lit(rows) + 1) / (F.col("df") + 1)) + 1)
-    lists = counted.groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h", weight.alias("w"), "tf"))).alias("e"))
-    return (lists.withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
-            .select("id", "n", F.unhex(F.md5(F.array_join(F.transform("e", lambda x: F.concat_ws(
-                ":", x["h"].cast("string"), x["tf"].cast("string"))), " "))).alias("key"),
-                F.transform("e", lambda x: x["h"]).alias("h"),
-                F.transform("e", lambda x: x["w"] / F.col("norm")).alias("w"))
-            .withColumn("rest", _suffix_squares("w")))
+        raise ValueError("bounds on document frequency need max_features")
+    rows = counted.count()
+    stats = (unnest(counted, F.col("c"), "t").groupBy(F.col("t.term").alias("term"))
+             .agg(F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("cf"))
+             .filter((F.col("df") >= params.min_df) & (F.col("df") <= params.max_df * rows)))
+    top = stats.orderBy(F.desc("cf"), "term").limit(params.max_features).select(F.xxhash64("term").alias("h"))
+    return np.array([r.h for r in top.collect()], dtype=np.int64)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = column.offsets.to_numpy()
+    return np.diff(offsets), column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy()
+
+
+def _listed(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values))
+
+
+def _only(bags: DataFrame, wanted: np.ndarray) -> DataFrame:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (lengths, h), (_, tf) = _lists(batch.column(1)), _lists(batch.column(2))
+            known = np.isin(h, wanted)
+            sizes = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[known], minlength=len(lengths))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(sizes, h[known]), _listed(sizes, tf[known])],
+                                             names=["id", "h", "tf"])
+
+    return bags.mapInArrow(keep, bags.schema)
+
+
+def _frequencies(bags: DataFrame) -> DataFrame:
+    return cut_lineage(unnest(bags, F.col("h"), "h").groupBy("h").agg(F.count(F.lit(1)).alias("df")))
+
+
+def _weighed(reps: DataFrame, frequencies: DataFrame, rows: int) -> DataFrame:
+    """id, copies, and rare terms first: h and w (weights, unit length)."""
+    def idf(df):
+        return np.log((rows + 1) / (df + 1)) + 1
+
+    if is_small(frequencies, SHARED_TERMS):  # 16 bytes a term
+        table = frequencies.orderBy("h").toArrow()
+        shared = reps.sparkSession.sparkContext.broadcast((table.column("h").to_numpy(), table.column("df").to_numpy()))
+        return reps.mapInArrow(_weigher(lambda h, df: shared.value[1][np.searchsorted(shared.value[0], h)], idf),
+                               _VECTORS.format(reps.schema["id"].dataType.simpleString()))
+    # Beyond that each entry meets its frequency in a join; the rows of frequent terms are spread.
+    entries = cut_lineage(reps.select("id", F.explode(F.arrays_zip("h", "tf")).alias("e")).select("id", "e.*"))
+    hot = frequencies.filter(F.col("df") >= HOT_ROWS).select("h", F.col("df").alias("_hot"))
+    met = (entries.join(F.broadcast(hot), "h", "left")
+           .join(frequencies.filter(F.col("df") < HOT_ROWS), "h", "left")
+           .groupBy("id").agg(F.collect_list(F.struct("h", "tf", F.coalesce("_hot", "df").alias("df"))).alias("e"))
+           .select("id", F.col("e.h").alias("h"), F.col("e.tf").alias("tf"), F.col("e.df").alias("df")))
+    full = met.join(reps.select("id", "copies"), "id").select("id", "copies", "h", "tf", "df")
+    return full.mapInArrow(_weigher(lambda h, df: df, idf), _VECTORS.format(reps.schema["id"].dataType.simpleString()))
+
+
+_VECTORS = "id {}, copies long, h array<long>, w array<double>"
+
 
+def _weigher(frequency, idf):
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (lengths, h), (_, tf) = _lists(batch.column(2)), _lists(batch.column(3))
+            df = frequency(h, _lists(batch.column(4))[1] if batch.num_columns > 4 else None)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            w = tf * idf(df)
+            order = np.lexsort((h, df, row))
+            norm = np.sqrt(np.bincount(row, w * w, minlength=len(lengths)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _listed(lengths, h[order]),
+                                              _listed(lengths, (w / norm[row])[order])], names=["id", "copies", "h", "w"])
 
-def _most_frequent_terms(entries: DataFrame, params: TfidfParams, rows: int) -> DataFrame:
-    stats = entries.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.col("n") * F.col("tf")).alias("cf"))
-    usable = stats.filter((F.col("df") >= params.min_df) & (F.col("df") <= params.max_df * rows))
-    return cut_lineage(usable.orderBy(F.desc("cf"), "term").limit(params.max_features).select("term"))
+    return weigh
 
 
 def _suffix_squares(column: str):
@@ -112,7 +169,7 @@ def _limit(threshold: float) -> float:
 def _filed(reps: DataFrame, limit: float) -> DataFrame:
     """id, key, first (rest from the first term on), at and seen: each row under its leading terms."""
     place = F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: F.element_at("rest", i) >= limit)
-    return reps.select("id", F.inline(F.transform(place, lambda i: F.struct(
+    return reps.withColumn("rest", _suffix_squares("w")).select("id", F.inline(F.transform(place, lambda i: F.struct(
         F.element_at("h", i).alias("key"), F.element_at("rest", i).alias("first"), i.alias("at"),
         (F.element_at("w", i) * F.element_at("w", i)).alias("seen")))))
 
@@ -127,7 +184,7 @@ def _refined(crowded: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
     end = F.array(F.struct(F.xxhash64("key", F.lit("end")).alias("key"), F.col("first"), F.lit(0).alias("at"),
                            F.col("seen")))
     ended = F.filter(end, lambda x: x["seen"] >= limit)
-    return (crowded.join(reps.select("id", "h", "w", "rest"), "id")
+    return (crowded.join(reps.select("id", "h", "w", _suffix_squares("w").alias("rest")), "id")
             .select("id", F.inline(F.concat(each, ended))))
 
 

@@ -120,9 +120,10 @@ def near_texts():
     return (base + [long, long + " extra", long + " other more", long, "common words here"] + heavy) * 2 + ["", "!", "x"]
 
 
-@pytest.mark.parametrize("crowd, depth, block, size", [(64, 4, 1000, 0), (2, 4, 2, 0), (1, 2, 3, 3000), (3, 9, 5, 9)])
-def test_near_duplicates_equal_brute_force(spark, crowd, depth, block, size, monkeypatch):
-    for name, value in (("CROWD", crowd), ("DEPTH", depth), ("BLOCK", block)):
+@pytest.mark.parametrize("crowd, depth, block, size, shared", [(64, 4, 1000, 0, 100), (2, 4, 2, 0, 10**6),
+                                                               (1, 2, 3, 3000, 10**6), (3, 9, 5, 9, 10**6)])
+def test_near_duplicates_equal_brute_force(spark, crowd, depth, block, size, shared, monkeypatch):
+    for name, value in (("CROWD", crowd), ("DEPTH", depth), ("BLOCK", block), ("SHARED_TERMS", shared), ("HOT_ROWS", 40)):
         monkeypatch.setattr(neardup, name, value)
     texts = near_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
