@@ -3,7 +3,8 @@
 Method. A window of ``k`` consecutive words is an edge of the graph (between its first and its
 last k - 1 words). Consecutive windows with the same minimizer, the smallest hash of the 10-word
 runs inside the window, travel as one row: a stretch of a path that nothing branches off from. A
-window is known by its minimizer and its own hash, 128 bits in all.
+window is known by its minimizer and its own hash, two 64-bit sums of powers over 64-bit word hashes
+(XXH64 for words of more than 32 bytes); the texts themselves are not compared again.
 
 1. Minimizers that occur once cannot lie in a repeated window; a join leaves only the others.
 2. Equal stretches are one path class with its smallest source (doc_id, start). Copies are gone
@@ -15,13 +16,16 @@ window is known by its minimizer and its own hash, 128 bits in all.
    coordinates repeats an earlier one, and the words it covers go.
 
 Defined cases: a null text has no words; texts of fewer than ``k`` words lose nothing; other
-columns are ignored; rows that repeat a doc_id with the same text start at the same place, so none
-of them repeats the other; a null doc_id counts as smallest.
+columns are ignored; ids of any type that has an order. Rows that share a doc_id are one document
+that starts anew in each row: a window is not repeated by one at the same place of another row, and
+of equal windows the one with the smallest start stays, in every row that has it there. A null doc_id
+counts as smallest.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -64,12 +68,17 @@ def _stretches(values: list[bytes | None], k: int, run: int):
             np.append(first, len(at)), windows.view(np.int64))
 
 
+def _mark(text: bytes | None) -> int:
+    """Tells rows of one doc_id apart; rows with equal texts lose the same words."""
+    return (zlib.crc32(text or b"") ^ 0x80000000) - 0x80000000
+
+
 def stretches(docs: DataFrame, k: int = WINDOW, run: int = RUN, with_windows: bool = True) -> DataFrame:
-    """minimizer and, ``with_windows``, doc_id, start and the windows of each stretch; else how
+    """minimizer and, ``with_windows``, doc_id, mark, start and the windows of each stretch; else how
     often the minimizer counts (twice if a window repeats inside the stretch)."""
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("minimizer", T.LongType()), *(
-        [T.StructField("doc_id", id_type), T.StructField("start", T.LongType()),
+        [T.StructField("doc_id", id_type), T.StructField("mark", T.IntegerType()), T.StructField("start", T.LongType()),
          T.StructField("windows", T.ArrayType(T.LongType()))] if with_windows
         else [T.StructField("times", T.IntegerType())])])
 
@@ -81,7 +90,8 @@ def stretches(docs: DataFrame, k: int = WINDOW, run: int = RUN, with_windows: bo
                 continue
             text, start, low, repeats, bounds, windows = made
             if with_windows:
-                out.append([pa.array(low), batch.column(0).take(pa.array(text + lo)), pa.array(start),
+                marks = np.array([_mark(t) for t in texts[lo:hi]], dtype=np.int32)
+                out.append([pa.array(low), batch.column(0).take(pa.array(text + lo)), pa.array(marks[text]), pa.array(start),
                             pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(windows))])
             else:
                 out.append([pa.array(low), pa.array(1 + repeats.astype(np.int32))])
@@ -95,7 +105,7 @@ def _source(doc: str, start: str) -> F.Column:
 
 
 def repeated_spans(docs: DataFrame, k: int = WINDOW, run: int = RUN) -> DataFrame:
-    """doc_id, first, last: word ranges (last exclusive) that windows seen before cover."""
+    """doc_id, mark, first, last: word ranges (last exclusive) that windows seen before cover."""
     again = cut_lineage(stretches(docs, k, run, with_windows=False).groupBy("minimizer")
                         .agg(F.sum("times").alias("n")).filter("n > 1").select("minimizer"))
     seen = cut_lineage(stretches(docs, k, run).join(again, "minimizer")
@@ -117,19 +127,20 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW, run: int = RUN) -> DataFram
     rows = (apart.select("minimizer", "path", "i", "window").join(edges, ["minimizer", "window"])
             .groupBy("minimizer", "path")
             .agg(F.sort_array(F.collect_list(F.struct("i", "edge.doc", "edge.at"))).alias("own")))
-    branching = rows.select("minimizer", "path", _compacted("own").alias("pieces"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    branching = rows.select("minimizer", "path", _compacted("own", id_type).alias("pieces"))
     paths = cut_lineage(straight.unionByName(branching))
-    found = (seen.select("minimizer", "path", "doc_id", "start").join(paths, ["minimizer", "path"])
-             .select("doc_id", "start", F.explode("pieces").alias("p"))
-             .select("doc_id", (F.col("start") + F.col("p.i")).alias("first"), "p.n", "p.doc", "p.at"))
+    found = (seen.select("minimizer", "path", "doc_id", "mark", "start").join(paths, ["minimizer", "path"])
+             .select("doc_id", "mark", "start", F.explode("pieces").alias("p"))
+             .select("doc_id", "mark", (F.col("start") + F.col("p.i")).alias("first"), "p.n", "p.doc", "p.at"))
     return (found.filter(~(F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("at") == F.col("first"))))
-            .select("doc_id", "first", (F.col("first") + F.col("n") + F.lit(k - 1)).alias("last")))
+            .select("doc_id", "mark", "first", (F.col("first") + F.col("n") + F.lit(k - 1)).alias("last")))
 
 
-def _compacted(column: str) -> F.Column:
+def _compacted(column: str, id_type: str) -> F.Column:
     """Neighbouring windows whose sources advance together, as one piece (at most STRETCH long)."""
     return F.expr(f"""
-        aggregate({column}, cast(array() as array<struct<i: int, n: int, doc: bigint, at: bigint>>), (acc, x) ->
+        aggregate({column}, cast(array() as array<struct<i: int, n: int, doc: {id_type}, at: bigint>>), (acc, x) ->
           if(try_element_at(acc, -1).doc <=> x.doc
                and try_element_at(acc, -1).at + try_element_at(acc, -1).n = x.at,
              concat(slice(acc, 1, size(acc) - 1), array(named_struct('i', try_element_at(acc, -1).i,
@@ -150,10 +161,14 @@ def _without(text: bytes | None, spans: list[dict] | None) -> tuple[int, list[by
 
 def _with_spans(docs: DataFrame, k: int, run: int) -> DataFrame:
     spans = cut_lineage(repeated_spans(docs, k, run).distinct())
-    spans = (spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-             .withColumnRenamed("doc_id", "span_id"))
+    spans = (spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+             .withColumnsRenamed({"doc_id": "span_id", "mark": "span_mark"}))
     own = id_and_bytes(docs)
-    return own.join(spans, own.doc_id.eqNullSafe(spans.span_id), "left").select("doc_id", "text", "spans")
+    signed = F.crc32(F.coalesce("text", F.lit(b"")))
+    signed = F.when(signed >= 1 << 31, signed - (1 << 32)).otherwise(signed).cast("int")
+    return (own.withColumn("mark", signed)
+            .join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("mark") == F.col("span_mark")), "left")
+            .select("doc_id", "text", "spans"))
 
 
 def remove_repeats(docs: DataFrame, k: int = WINDOW, run: int = RUN) -> DataFrame:

@@ -10,12 +10,16 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 #: Odd, so they have inverses modulo 2^64.
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xC2B2AE3D27D4EB4F
 _ALL = (1 << 64) - 1
 
+#: Words of more bytes are hashed by XXH64: long ones could be made to agree in a sum of powers.
+LONG_WORD = 32
+
 #: UTF-8 bytes of texts handled at once; bounds the arrays of a task.
 CHUNK_BYTES = 1 << 20
 
@@ -107,7 +111,10 @@ class Words:
         up, down = _power_tables(_BYTE_BASE, len(data) + 1)
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        out = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            out[i] = xxhash.xxh64_intdigest(self.buffer[self.start[i]:self.end[i]], LONG_WORD)
+        return out
 
 
 def split_words(values: list[bytes | None], table: bytes) -> Words:
