@@ -146,9 +146,10 @@ def _described(text: Column, spans: Column, kind: str, fixed: bool) -> Column:
         same = said.rlike(r"([0-9])(?:[^0-9A-Za-z]*\1){7}")
         vote = F.concat(
             F.when(passed, "1").otherwise("0"), F.when(cue, "1").otherwise("-"), F.when(counter, "0").otherwise("-"),
-            F.when(touched, "0").otherwise("1"), F.when(same, "0").when(grouped, "1").otherwise("-"))
+            F.when(touched, "0").otherwise("-"), F.when(same, "0").when(grouped, "1").otherwise("-"))
         n = F.length(digits)
-        size = (F.when(n == 0, "0").when(n < 8, "1-7").when(n < 12, "8-11").when(n < 16, "12-15").otherwise("16+"))
+        size = (F.when(n == 0, "0").when(n < 8, "1-7").when(n < 12, "8-11").when(n < 16, "12-15")
+                .when(n < 20, "16-19").otherwise("20+"))
         return F.struct(
             s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"),
             (passed & F.lit(fixed)).alias("base"), vote.alias("votes"),
@@ -157,6 +158,13 @@ def _described(text: Column, spans: Column, kind: str, fixed: bool) -> Column:
     return F.transform(spans, one)
 
 
+def _worth_a_vote(s: Column) -> Column:
+    """Failed matches of the fixed patterns are mostly other numbers: only those that a cue word names, or
+    that are too long for one number and written in groups, are proposed."""
+    size, grouped, cue = (F.get(s["features"], F.lit(FEATURES.index(f))) for f in ("digits", "grouped", "cue"))
+    return s["base"] | (cue == "true") | ((size == "20+") & (grouped == "true"))
+
+
 def proposals(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, text (null: empty) and ``proposed``: all spans with votes and features."""
     text = F.col("text")
@@ -173,7 +181,8 @@ def proposals(docs: DataFrame, *keep: str) -> DataFrame:
     for i, ((kind, pattern), gate) in enumerate(zip([*PATTERNS.items(), *MORE], gates, strict=True)):
         fixed = i < len(PATTERNS)
         found[f"_s{i}"] = F.when(gate, _spans(text, pattern)).otherwise(_empty())
-        described.append(_described(text, F.col(f"_s{i}"), kind, fixed))
+        one = _described(text, F.col(f"_s{i}"), kind, fixed)
+        described.append(F.filter(one, _worth_a_vote) if fixed else one)
     # Matches are found in one projection and described in the next one, so each is found once.
     all_spans = own.withColumns(found).withColumn("_all", F.concat(*described)).drop(
         *found, "_at", "_plus", "_digit", *[f"_n{i}" for i in range(len(NEEDS))])
@@ -276,12 +285,12 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def mask(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` with every span replaced by ``<KIND>`` and n_chars, where there is one, renewed."""
-    # Written first: an explode right above the search would compute every span several times.
-    model = learn(cut_lineage(proposals(docs).select("proposed")))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    # The row travels as one column, so no column of the table can clash with those made here.
-    own = proposals(docs.select(F.struct(*docs.columns).alias("row"), "text"), "row")
-    text = F.col("text")
+    # The row travels as one column, so no column of the table can clash with those made here. Written
+    # once: the search is the costly part, and learning needs it before anything can be decided.
+    own = cut_lineage(proposals(docs.select(F.struct(*docs.columns).alias("row"), "text"), "row").select("row", "proposed"))
+    model = learn(own)
+    text = F.coalesce(F.col("row.text"), F.lit(""))
     put = F.aggregate(
         _decided(model, threshold), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(

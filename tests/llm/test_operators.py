@@ -415,6 +415,30 @@ def test_privacy_masks(spark):
     assert privacy.mask(frame.limit(0)).count() == 0
 
 
+def test_privacy_leaves_other_numbers_alone(spark):
+    """Numbers that fail their check digit, orders and counters stay; planted data goes."""
+    random.seed(21)
+    prose = lambda: " ".join(random.choice(["the", "list", "holds", "items", "of", "two", "rooms"]) for _ in range(8))
+
+    def luhn(digits):
+        return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+    def number(good):
+        while True:
+            d = [random.randrange(10) for _ in range(16)]
+            if luhn(d) == good and len(set(d)) > 4:
+                return "".join(map(str, d))
+
+    clean, planted = [], []
+    for i in range(60):
+        clean += [f"{prose()} {number(False)} {prose()}", f"{prose()} order {number(False)} shipped", f"{prose()} page 12 of 300, version 1.2.3"]
+        planted += [f"{prose()} {number(True)} {prose()}", f"{prose()} write to a{i}@site{i}.org {prose()}"]
+    frame = spark.createDataFrame(list(enumerate(clean + planted)), "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in privacy.mask(frame).collect()}
+    assert all(masked[i] == t for i, t in enumerate(clean))
+    assert all("<CARD>" in masked[i] or "<EMAIL>" in masked[i] for i in range(len(clean), len(masked)))
+
+
 def test_privacy_gates_skip_no_match(spark):
     # Each text holds what one pattern needs and nothing that another pattern of its kind needs.
     cases = [("call (724) 555-7058 today", "phone:5:19", "call <PHONE> today"),
