@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docscreen import constants as C
 from docscreen.functions import text as X
 from docscreen.operators import dedup, profile
-from docscreen.operators.grouping import broadcast_if_small, unnest, with_group_stats
+from docscreen.operators.grouping import broadcast_if_small, is_small, unnest, with_group_stats
+from docscreen.session import cut_lineage
 
 # Dictionaries up to this size are tested as literals in one pass over the texts.
 LITERAL_PHRASES = 300
@@ -227,27 +230,108 @@ def boilerplate(df: DataFrame, text: str = "text", label: str = "label", row_id:
             .withColumn("suspicious", F.col("share") > share))
 
 
+#: Characters of the pieces whose smallest hash marks a window.
+MARK_PIECE = 20
+#: Marks of all classes that every task may hold.
+SHARED_MARKS = 1_000_000
+#: Characters whose windows are cut at once.
+_CHARS_AT_ONCE = 1 << 18
+
+
 def boilerplate_windows(df: DataFrame, text: str = "text", label: str = "label",
                         row_id: str = "doc_id", share: float = C.BOILERPLATE_SHARE,
                         window: int = C.BOILERPLATE_WINDOW,
-                        min_rows: int = C.TINY_CLASS_ROWS, stride: int = 1) -> DataFrame:
-    """Windows that more than ``share`` of a class's texts have, from all windows of all texts.
-
-    Windows start at multiples of ``stride`` (1: at every character, so a passage is found wherever
-    it stands) and count once per text; they are aggregated by class and window, so no text is
-    picked as the model of its class.
+                        min_rows: int = C.TINY_CLASS_ROWS) -> DataFrame:
+    """Windows that more than ``share`` of a class's texts have, wherever they stand in them.
+
+    The mark of a window is the smallest hash of the pieces of ``MARK_PIECE`` characters in it, so it
+    depends on the window alone, and neighbouring windows mostly have the same one: a text has about
+    one distinct mark for 21 characters. Marks are counted by class first. A window that enough texts
+    have has a mark that enough texts have, so then only the windows of such marks are cut out, once
+    a text, and counted by what they say. Texts are lower-cased; nulls have no window.
     """
-    known = df.filter(F.col(label).isNotNull())
-    sizes = known.groupBy(label).agg(F.count(F.lit(1)).alias("_class_rows"))
-    cuts = X.let(F.lower(text), lambda low: F.array_distinct(F.transform(
-        F.filter(F.sequence(F.lit(0), F.floor(F.length(low) / stride).cast("int")),
-                 lambda i: i * stride + window <= F.length(low)),
-        lambda i: F.substring(low, i * stride + 1, F.lit(window)))))
-    counted = (unnest(known, cuts, "block", label).groupBy(label, "block")
-               .agg(F.count(F.lit(1)).alias("rows")))
-    return (counted.join(sizes, label)
-            .filter((F.col("_class_rows") >= min_rows) & (F.col("rows") > F.col("_class_rows") * share))
-            .select(label, "block", "rows", F.round(F.col("rows") / F.col("_class_rows"), 6).alias("share")))
+    known = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("_label"), F.lower(text).alias("_low"))
+    sizes = cut_lineage(known.groupBy("_label").agg(F.count(F.lit(1)).alias("_class_rows"))
+                        .filter(F.col("_class_rows") >= min_rows))
+    counted = known.mapInArrow(_marks(window), f"_label {known.schema['_label'].dataType.simpleString()}, _mark long")
+    often = cut_lineage(counted.groupBy("_label", "_mark").agg(F.count(F.lit(1)).alias("_n"))
+                        .join(broadcast_if_small(sizes), "_label").filter(F.col("_n") > F.col("_class_rows") * share)
+                        .select("_label", "_mark"))
+    shared = None
+    if is_small(often, SHARED_MARKS):
+        own: dict = {}
+        for r in often.collect():
+            own.setdefault(r["_label"], []).append(r["_mark"])
+        shared = df.sparkSession.sparkContext.broadcast({k: np.array(v, dtype=np.int64) for k, v in own.items()})
+    cut = known.mapInArrow(_windows(window, shared), (
+        f"_label {known.schema['_label'].dataType.simpleString()}, _mark long, block string"))
+    if shared is None:
+        cut = cut.join(often, ["_label", "_mark"], "left_semi")
+    return (cut.groupBy("_label", "block").agg(F.count(F.lit(1)).alias("rows"))
+            .join(broadcast_if_small(sizes), "_label").filter(F.col("rows") > F.col("_class_rows") * share)
+            .select(F.col("_label").alias(label), "block", "rows",
+                    F.round(F.col("rows") / F.col("_class_rows"), 6).alias("share")))
+
+
+def _window_marks(text: str, window: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, marks of the windows from there on), portion by portion."""
+    for lo in range(0, len(text) - window + 1, _CHARS_AT_ONCE):
+        part = text[lo:lo + _CHARS_AT_ONCE + window - 1]
+        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        size = min(MARK_PIECE, window)
+        h = np.zeros(len(codes) - size + 1, dtype=np.uint64)
+        for i in range(size):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i:i + len(h)] + np.uint64(1)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        width, span = window - size + 1, 1
+        while 2 * span <= width:
+            h, span = np.minimum(h[:-span], h[span:]), 2 * span
+        if width > span:
+            h = np.minimum(h[:span - width], h[width - span:])
+        yield lo, h.view(np.int64)
+
+
+def _marks(window: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, marks = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for i, low in enumerate(batch.column(1).to_pylist()):
+                found = [np.unique(m) for _, m in _window_marks(low or "", window)]
+                marks.append(np.unique(np.concatenate([marks[0], *found])))
+                at.append(np.full(len(marks[-1]), i))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))),
+                                              pa.array(np.concatenate(marks))], names=["_label", "_mark"])
+
+    return work
+
+
+def _windows(window: int, shared):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, marks, blocks = [], [], []
+            for row, (label, low) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                wanted = shared.value.get(label) if shared else None
+                if shared and wanted is None:
+                    continue
+                found: dict[str, int] = {}
+                for lo, own in _window_marks(low or "", window):
+                    at = np.flatnonzero(np.isin(own, wanted)) if shared else np.arange(len(own))
+                    found.update((low[lo + i:lo + i + window], m) for i, m in zip(at.tolist(), own[at].tolist()))
+                rows += [row] * len(found)
+                marks += found.values()
+                blocks += found
+                if len(rows) >= _CHARS_AT_ONCE:
+                    yield _cut(batch, rows, marks, blocks)
+                    rows, marks, blocks = [], [], []
+            yield _cut(batch, rows, marks, blocks)
+
+    return work
+
+
+def _cut(batch: pa.RecordBatch, rows: list, marks: list, blocks: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(marks, pa.int64()),
+                                       pa.array(blocks, pa.string())], names=["_label", "_mark", "block"])
 
 
 # -- verdicts (L12, L13) --------------------------------------------------------

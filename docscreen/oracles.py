@@ -485,13 +485,13 @@ FROM head d JOIN w USING (label) GROUP BY d.label, w.no, w.block""", LANG,
 oracle("boilerplate_windows", """
 SELECT label, block, rows, round(rows / total, 6) AS share FROM (
  SELECT label, block, count(*) AS rows FROM (
-  SELECT DISTINCT doc_id, label, substring(text, CAST(i * 60 + 1 AS BIGINT), 60) AS block
-  FROM head, LATERAL (SELECT unnest(range(0, length(text) // 60)) AS i)) GROUP BY 1, 2)
+  SELECT DISTINCT doc_id, label, substring(text, i, 60) AS block
+  FROM head, LATERAL (SELECT unnest(range(1, length(text) - 58)) AS i)) GROUP BY 1, 2)
 JOIN (SELECT label, count(*) AS total FROM head GROUP BY 1) USING (label)
 WHERE total >= 5 AND rows > 0.7 * total""", LANG,
-       "head AS (SELECT doc_id, label, lower(CASE WHEN label IN ('fr', 'de') THEN label || "
-       "' company profile, equal opportunity, all rights ' || "
-       "'reserved by the owner of this page. ' || text ELSE text END) AS text FROM docs)")
+       "head AS (SELECT doc_id, label, lower(CASE WHEN label IN ('fr', 'de') THEN left(text, length(text) % 97) || "
+       "label || ' company profile, equal opportunity, all rights ' || 'reserved by the owner of this page. ' || "
+       "substring(text, length(text) % 97 + 1) ELSE text END) AS text FROM docs)")
 _VERDICT = """
 SELECT verbatim, markers, repeats, conflicts, points,
  CASE WHEN points = 0 THEN 'pass' WHEN points <= 2 THEN 'minor' ELSE 'fail' END AS verdict
@@ -654,6 +654,20 @@ MISSING = ("miss AS (SELECT *, list_filter(required, lambda r: NOT list_contains
            "list_transform(skills, lambda x: lower(x)), lower(r))) AS missing FROM found)")
 oracle("skills", "SELECT doc_id, array_to_string(skills, '|') AS skills FROM found",
        LANG, SCORED, FOUND)
+
+
+def _word_pairs(name: str, row: str, source: str) -> list[str]:
+    """CTEs up to ``name`` (row, skill): the words and the pairs of words with one space between them."""
+    return [f"{name}_p AS (SELECT {row}, row_number() OVER () AS piece, string_split(x, ' ') AS w FROM (SELECT {row}, "
+            f"unnest(string_split_regex(lower(coalesce(text, '')), {s(f'[^{W} ]+| {{2,}}')})) AS x FROM {source}))",
+            f"{name}_w AS (SELECT {row}, piece, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM {name}_p)",
+            f"{name}_n AS (SELECT {row}, w, lead(w) OVER (PARTITION BY piece ORDER BY i) AS nxt FROM {name}_w)",
+            f"{name} AS (SELECT DISTINCT {row}, skill FROM (SELECT {row}, w AS skill FROM {name}_n WHERE w <> '' UNION ALL "
+            f"SELECT {row}, w || ' ' || nxt FROM {name}_n WHERE w <> '' AND nxt <> ''))"]
+
+
+oracle("skill_table", "SELECT skill, count(*) AS docs FROM said WHERE skill IN (SELECT skill FROM wanted) GROUP BY skill",
+       *_word_pairs("wanted", "item_id", "benchmark"), *_word_pairs("said", "doc_id", "documents"))
 oracle("missing_skills", "SELECT doc_id, array_to_string(missing, '|') AS missing FROM miss",
        LANG, SCORED, FOUND, MISSING)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docscreen import constants as C
 from docscreen.functions import text as X
-from docscreen.functions.skills import find_skill_matches, find_skills, skill_vocabulary
+from docscreen.functions.skills import find_skill_matches, find_skills, skill_vocabulary, with_skills
 from docscreen.operators import (dedup, evaluate, features, leakage, neardup, profile, schema, screening,
                                  split)
 from docscreen.operators.grouping import unnest
@@ -630,11 +630,12 @@ def boilerplate(spark, sf):
 
 @query
 def boilerplate_windows(spark, sf):
-    """The same heads, looked for in the windows of all texts that its SQL cuts: every 60 characters."""
+    """The same heads, each somewhere in the first 97 characters of its text, among the windows at every place."""
     head = F.concat(F.col("label"), F.lit(" company profile, equal opportunity, all rights "),
                     F.lit("reserved by the owner of this page. "))
-    text = F.when(F.col("label").isin("fr", "de"), F.concat(head, T())).otherwise(T())
-    return leakage.boilerplate_windows(by_lang(spark, sf).withColumn("text", text), stride=C.BOILERPLATE_WINDOW)
+    at = (F.length(T()) % 97).cast("int")
+    text = F.when(F.col("label").isin("fr", "de"), F.concat(F.left(T(), at), head, F.substr(T(), at + 1))).otherwise(T())
+    return leakage.boilerplate_windows(by_lang(spark, sf).withColumn("text", text))
 
 
 @query
@@ -803,6 +804,20 @@ def skills(spark, sf):
     return by_lang(spark, sf).select(D, lines(find_skills(T(), vocabulary_words())).alias("skills"))
 
 
+@query
+def skill_table(spark, sf):
+    """A dictionary as a table: the words and word pairs of the benchmark, and how many documents have each."""
+    pieces = F.split(F.lower("text"), rf"[^{C.WORD} ]+| {{2,}}")
+    said = table(spark, sf, "benchmark").select(F.explode(pieces).alias("piece")).select(F.split("piece", " ").alias("w"))
+    pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))),
+                        lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))
+    entries = (said.select(F.explode(F.concat("w", pairs)).alias("skill"))
+               .filter(F.col("skill").rlike(rf"^[{C.WORD}]+( [{C.WORD}]+)?$")).distinct().withColumn("name", F.col("skill")))
+    found = with_skills(documents(spark, sf).select(D, T()), "text", entries)
+    return (found.select(F.explode("skills").alias("skill")).groupBy("skill")
+            .agg(F.count(F.lit(1)).alias("docs")))
+
+
 @query
 def skill_matches(spark, sf):
     found = by_lang(spark, sf).select(D, F.explode(find_skill_matches(T(), ALIASES)).alias(

@@ -1,7 +1,9 @@
 import math
+import random
 from collections import Counter
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,33 @@ def test_boilerplate(spark):
     assert found == {(0, 1.0, True), (1, 1.0, True), (2, 1.0, True)}
 
 
+@pytest.mark.parametrize("shared, portion", [(10**6, 1 << 18), (-1, 7)])
+def test_boilerplate_windows_equal_counting_all(spark, shared, portion, monkeypatch):
+    monkeypatch.setattr(leakage, "SHARED_MARKS", shared)
+    monkeypatch.setattr(leakage, "_CHARS_AT_ONCE", portion)
+    random.seed(1)
+    word = lambda: random.choice(["aa", "b", "Ünï", "😀", "x1"])
+    foot = " ".join(word() for _ in range(30))
+    rows = [(i, None if i == 3 else " ".join(word() for _ in range(i * 3)) + (foot if i % 4 else foot[:40]) + "z" * i, "pq"[i % 2])
+            for i in range(24)] + [(50, foot * 3, "p"), (51, "", "p"), (52, "short", "q"), (53, foot, None), (54, foot, "r")]
+    counts, sizes = Counter(), Counter()
+    for _, text, label in rows:
+        if label:
+            sizes[label] += 1
+            low = (text or "").lower()
+            counts.update({(label, low[i:i + 60]) for i in range(len(low) - 59)})
+    expected = {(k, w, n, round(n / sizes[k], 6)) for (k, w), n in counts.items() if sizes[k] >= 5 and n > 0.5 * sizes[k]}
+    got = {(r.label, r.block, r.rows, r.share) for r in leakage.boilerplate_windows(corpus(spark, rows), share=0.5).collect()}
+    assert got == expected and len(expected) > 10
+
+
+def test_boilerplate_marks_are_few():
+    random.seed(2)
+    text = "".join(random.choice("abcdefghij ") for _ in range(20_000))
+    marks = np.concatenate([m for _, m in leakage._window_marks(text, 60)])
+    assert len(marks) == len(text) - 59 and len(np.unique(marks)) < len(text) / 15
+
+
 def test_boilerplate_windows_at_any_offset(spark):
     passage = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(30))[:62]  # three windows of 60
     rows = [(i, "#" * (i * 7 + i * i) + passage + f" own text {i}", "x") for i in range(6)] + [(9, passage, "y")]

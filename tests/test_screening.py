@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from docscreen import constants as C
-from docscreen.functions.skills import find_skill_matches, find_skills, skill_vocabulary
+from docscreen.functions.skills import SkillIndex, find_skill_matches, find_skills, skill_vocabulary, with_skills
 from docscreen.operators import screening
 
 REQUIREMENTS = {"Data Engineer": ["SQL", "Python", "ETL", "C++"], "Tester": ["Java", "sql"]}
@@ -18,6 +20,35 @@ def test_find_skills(evaluate, text, expected):
     assert evaluate(find_skills(F.col("text"), vocabulary), text=text) == expected
 
 
+@pytest.mark.parametrize("shared_bytes", [1 << 26, 0])
+def test_skills_of_a_table_equal_the_literal_way(spark, shared_bytes):
+    random.seed(4)
+    words = ["data", "sql", "c++", "c#", ".net", "r&d", "node", "js", "é", "ⅷ", "a_b", "++", "x-1", "Ünï", "c", "go"]
+    gaps = [" ", "  ", "-", ".", ", ", "\n", "\u2003", "/", ""]
+    vocabulary = {}
+    while len(vocabulary) < 200:
+        skill = random.choice(words) + "".join(random.choice(gaps[:5]) + random.choice(words) for _ in range(random.randrange(3)))
+        vocabulary[skill.lower()] = skill.title()
+    texts = [None, "", " ", "c++", "xc++", "c++x", "c++ .net", "a.net", "\x85.net\x1c", "++", "a++", " ++ "]
+    texts += ["".join(random.choice(words) + random.choice(gaps) for _ in range(random.randrange(25))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame([*vocabulary.items(), (None, "x"), ("", "y")], "skill string, name string")
+    got = {r.doc_id: r.skills for r in with_skills(df, "text", table, shared_bytes=shared_bytes).collect()}
+    expected = {r.doc_id: r.skills for r in df.select("doc_id", find_skills(F.col("text"), vocabulary).alias("skills")).collect()}
+    assert got == expected and sum(map(len, expected.values())) > 200
+
+
+def test_large_skill_tables(spark):
+    """Tens of thousands of entries; a text only meets those that it shares words with."""
+    entries = [(f"skill{i} part{i % 97}", f"S{i}") for i in range(50_000)]
+    index = SkillIndex.of(entries)
+    assert max(map(len, index.entries.values())) == 1
+    table = spark.createDataFrame(entries, "skill string, name string")
+    df = spark.createDataFrame([(i, f"x skill{i} part{i % 97}, skill{i + 1}  part{(i + 1) % 97}") for i in range(300)],
+                               "doc_id long, text string")
+    assert all(r.skills == [f"S{r.doc_id}"] for r in with_skills(df, "text", table).collect())
+
+
 def test_skill_matches(evaluate):
     got = evaluate(find_skill_matches(F.col("text")), text=(
         "React, Node.js, nodejs and PostgreSQL, postgres; c++ CPP R&D .NET; natural language "
