@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docscreen import constants as C
-from docscreen.functions.text import let
 from docscreen.session import cut_lineage
 
 # A key with at least this many rows is hot.  There are at most N / HOT_ROWS hot keys, which
@@ -151,35 +150,28 @@ def rank_cutoffs(df: DataFrame, group: str, row_id: str, wanted: DataFrame,
                     F.col(row_id).alias("cut_id")))
 
 
-def ordered_ids(df: DataFrame, order_by: str, slices: int = 512) -> DataFrame:
-    """``df`` plus ``position``: the 0-based place in the order of a numeric key.
+#: Rows of a slice that one task sorts.
+SLICE_ROWS = 1_000_000
 
-    Slice limits come from an approximate percentile of the key (one narrow pass), exact slice
-    counts give the offsets; one slice is sorted per task.  ``slices`` is a power of two.
+
+def ordered_ids(df: DataFrame, order_by: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``df`` plus ``position``: the 0-based place in the order of a key, nulls first.
+
+    Rows with equal keys are ordered by a hash of the whole row, so they are spread over tasks like all others
+    and the result does not depend on how rows were dealt (rows that are equal throughout are
+    interchangeable).  Ranges come from Spark's sample of (key, hash), about ``slice_rows`` rows to a task;
+    the sorted slices are written once and their counts give the offsets.
     """
-    limits = df.agg(F.percentile_approx(order_by, [i / slices for i in range(1, slices)],
-                                        slices * 20).alias("limits")).scalar()
-    sliced = (df.withColumn("_limits", limits)
-              .withColumn("_slice", _count_below(F.col("_limits"), F.col(order_by), slices))
-              .drop("_limits"))
+    slices = max(1, -(-df.count() // slice_rows))
+    dealt = (df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
+             .repartitionByRange(slices, order_by, "_tie").sortWithinPartitions(order_by, "_tie")
+             .withColumn("_place", F.monotonically_increasing_id()))
+    inside = (1 << 33) - 1
+    sliced = cut_lineage(dealt.drop("_tie")).withColumn("_slice", F.shiftright("_place", 33))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
                .select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
-    within = Window.partitionBy("_slice").orderBy(order_by)
-    # ``offsets`` has at most ``slices`` rows.
+    # One row a slice: a million slices hold 10^12 rows.
     return (sliced.join(F.broadcast(offsets), "_slice")
-            .withColumn("position", F.col("_before") + F.row_number().over(within) - 1)
-            .drop("_slice", "_before"))
-
-
-def _count_below(limits: Column, key: Column, slices: int) -> Column:
-    """How many of the ``slices - 1`` ascending limits are below the key, by bisection."""
-    def step(place: Column, width: int) -> Column:
-        return let(place, lambda p: p + F.when(F.get(limits, p + (width - 1)) < key, width)
-                   .otherwise(0))
-
-    place, width = F.lit(0), slices // 2
-    while width:
-        place = step(place, width)
-        width //= 2
-    return place
+            .withColumn("position", F.col("_before") + F.col("_place").bitwiseAND(F.lit(inside)))
+            .drop("_slice", "_before", "_place"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ from docscreen.session import cut_lineage
 
 # Dictionaries up to this size are tested as literals in one pass over the texts.
 LITERAL_PHRASES = 300
-# Word sequence by which a phrase of a larger dictionary is found before it is verified.
-ANCHOR_WORDS = 4
+# Bytes of phrases that every task holds at once.
+PORTION_BYTES = 16 << 20
 
 
 # -- phrases inside texts (J6, L1, L2) ----------------------------------------
@@ -30,29 +32,42 @@ def phrase_matches(df: DataFrame, text: str, phrases: DataFrame, row_id: str = "
 
     Two exact ways, chosen by measuring the dictionary:
 
-    * small: all phrases are literals of one array expression, no join at all;
-    * large: a phrase of three or more words can only occur where its inner words stand in
-      sequence, so texts and phrases meet in an equi-join on that sequence and the candidate is
-      verified.  The few shorter phrases go through the literal way in portions.
+    * small: all phrases are literals of one array expression, JVM-side;
+    * large: phrases of up to ``PORTION_BYTES`` make one automaton that every task holds and that
+      finds all of them in one pass over a text, however frequent their words are. A larger
+      dictionary is dealt into portions, one pass each. Nothing is joined or shuffled.
     """
     distinct = phrases.select("phrase").filter(~X.is_blank(F.col("phrase"))).distinct()
     listed = [r.phrase for r in distinct.limit(literal_limit + 1).collect()]
     if len(listed) <= literal_limit:
         return _literal_matches(df, text, sorted(listed), row_id, keep)
-    words = F.regexp_extract_all(F.lower("phrase"), F.lit(f"[{C.WORD}]+"), F.lit(0))
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    worded = distinct.withColumn("_inner", inner)
-    long = worded.filter(F.size("_inner") > 0)
-    found = [_anchored_matches(df, text, long, row_id, keep)]
-    portion: list[str] = []
-    for row in worded.filter(F.size("_inner") == 0).select("phrase").toLocalIterator():
-        portion.append(row.phrase)
-        if len(portion) == LITERAL_PHRASES:
-            found.append(_literal_matches(df, text, portion, row_id, keep))
-            portion = []
-    if portion:
-        found.append(_literal_matches(df, text, portion, row_id, keep))
-    return reduce(DataFrame.unionByName, found)
+    table = cut_lineage(distinct.withColumn("_low", F.lower("phrase")))
+    size = table.agg(F.sum(F.octet_length("phrase") + F.octet_length("_low"))).first()[0]
+    portions = -(-size // PORTION_BYTES)
+    dealt = F.pmod(F.xxhash64("phrase"), F.lit(portions))
+    return reduce(DataFrame.unionByName, [
+        _automaton_matches(df, text, table.filter(dealt == i), row_id, keep) for i in range(portions)])
+
+
+def _automaton_matches(df, text, phrases, row_id, keep):
+    said: dict[str, list[str]] = {}
+    for r in phrases.collect():  # about PORTION_BYTES
+        said.setdefault(r["_low"], []).append(r.phrase)
+    shared = df.sparkSession.sparkContext.broadcast(said)
+    made: list[ahocorasick.Automaton] = []
+
+    def search(texts: pd.Series) -> pd.Series:
+        if not made:  # once a task
+            automaton = ahocorasick.Automaton()
+            for low, own in shared.value.items():
+                automaton.add_word(low, (low, own))
+            automaton.make_automaton()
+            made.append(automaton)
+        return texts.map(lambda t: [p for own in {low: own for _, (low, own) in made[0].iter(t)}.values() for p in own]
+                         if t else [])
+
+    hits = F.pandas_udf(search, "array<string>")(F.lower(text)) if said else F.array().cast("array<string>")
+    return unnest(df, hits, "phrase", row_id, *keep)
 
 
 def _literal_matches(df, text, phrases, row_id, keep):
@@ -64,21 +79,6 @@ def _literal_matches(df, text, phrases, row_id, keep):
     return unnest(df, hits, "phrase", row_id, *keep)
 
 
-def _anchored_matches(df, text, phrases, row_id, keep):
-    sizes = [r.n for r in phrases.select(
-        F.least(F.size("_inner"), F.lit(ANCHOR_WORDS)).alias("n")).distinct().collect()]
-    anchor = F.array_join(F.slice("_inner", 1, ANCHOR_WORDS), " ")
-    anchors = broadcast_if_small(phrases.select("phrase", anchor.alias("_anchor")))
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"[{C.WORD}]+"), F.lit(0))
-    grams = X.let(words, lambda w: F.concat(*[X.ngrams(w, n, n) for n in sorted(sizes)]))
-    # Only (id, anchor) travels; the text is met again by id for the few candidates.
-    candidates = (unnest(df, F.array_distinct(grams), "_anchor", row_id)
-                  .join(anchors, "_anchor").select(row_id, "phrase"))
-    return (df.select(row_id, text, *keep).join(candidates, row_id)
-            .filter(X.contains_ci(F.col(text), F.col("phrase")))
-            .select("phrase", row_id, *keep))
-
-
 def phrase_hits(df: DataFrame, text: str, phrases: DataFrame, row_id: str = "doc_id",
                 leak_rows: int = C.LEAK_ROWS, literal_limit: int = LITERAL_PHRASES) -> DataFrame:
     """Rows and percent per phrase, phrases without a hit included (L1)."""

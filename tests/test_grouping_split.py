@@ -39,13 +39,25 @@ def test_exact_rank_equals_row_number(spark, digits, monkeypatch):
     assert got == expected
 
 
-@pytest.mark.parametrize("slices", [2, 7, 512])
-def test_ordered_ids(spark, slices):
-    df = spark.range(0, 700).select((F.col("id") * F.col("id")).alias("k")).repartition(5)
-    got = grouping.ordered_ids(df, "k", slices).orderBy("k").collect()
+@pytest.mark.parametrize("slice_rows", [40, 250, 10**6])
+def test_ordered_ids(spark, slice_rows):
+    df = spark.range(0, 700).select((F.col("id") * F.col("id")).alias("k"))
+    got = grouping.ordered_ids(df.repartition(5), "k", slice_rows).orderBy("k").collect()
     assert [r.position for r in got] == list(range(700))
 
 
+def test_ordered_ids_of_equal_keys(spark):
+    """One key on most rows: positions are dense, follow the key and do not depend on partitions."""
+    df = spark.range(0, 600).select(F.when(F.col("id") < 500, 7).when(F.col("id") < 590, F.col("id") % 5).alias("k"), "id")
+    runs = [sorted((r.position, r.k, r.id) for r in grouping.ordered_ids(df.repartition(n), "k", rows).collect())
+            for n, rows in ((2, 30), (7, 100), (1, 10**6))]
+    assert runs[0] == runs[1] == runs[2]
+    assert [p for p, *_ in runs[0]] == list(range(600))
+    keys = [-1 if k is None else k for _, k, _ in runs[0]]
+    assert keys == sorted(keys) and keys[0] == -1
+    assert grouping.ordered_ids(df.limit(0), "k").count() == 0
+
+
 def test_quotas_of_the_published_split(spark):
     """11,916 rows over 43 classes gave 8,340 / 1,788 / 1,788."""
     sizes = [277 + (1 if i < 11916 - 277 * 43 else 0) for i in range(43)]

@@ -18,12 +18,13 @@ def corpus(spark, rows):
 
 # -- leakage ---------------------------------------------------------------------
 
-@pytest.mark.parametrize("limit", [0, 2, 300])
-def test_phrase_matches_both_ways(spark, sf, limit):
-    """Literal and word-sequence search find what plain containment finds."""
+@pytest.mark.parametrize("limit, portion", [(0, 1 << 20), (2, 900), (300, 1 << 20)])
+def test_phrase_matches_both_ways(spark, sf, limit, portion, monkeypatch):
+    """Literals, one automaton and automata of several portions find what plain containment finds."""
+    monkeypatch.setattr(leakage, "PORTION_BYTES", portion)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     phrases = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    phrases += ["of the", "tion", "h the in", "e la le d", "Is and", "nowhere at all to be found"]
+    phrases += ["of the", "tion", "h the in", "e la le d", "Is and", "is AND", "a", "nowhere at all to be found"]
     table = spark.createDataFrame([(p,) for p in phrases], "phrase string")
     got = {(r.phrase, r.doc_id) for r in leakage.phrase_matches(
         docs, "text", table, literal_limit=limit).collect()}
