@@ -116,3 +116,14 @@ oracle("lsa", 'SELECT doc_id, true AS bounded, true AS "ordered", true AS explai
 oracle("active_model", "SELECT true AS known, true AS best")
 oracle("reevaluate", "SELECT 'saved' AS model, 'test' AS split, metric, true AS equal FROM "
        f"{values((m,) for m in (*METRICS, 'topk_accuracy'))} t(metric)")
+oracle("stream_windows", """
+SELECT kind, user_id, event_type, start, count(*) AS rows FROM (
+ SELECT 'late' AS kind, user_id, event_type, start FROM timed WHERE late
+ UNION ALL SELECT DISTINCT 'first', user_id, event_type, start FROM timed WHERE NOT late) GROUP BY ALL""",
+       "dealt AS (SELECT *, least(least((dayofmonth(ts) - 1) // 10, 2) + CASE WHEN event_id % 10 = 7 THEN 1 ELSE 0 END, 2) "
+       "AS delivery, CAST(epoch(ts) AS BIGINT) AS s FROM events)",
+       "started AS (SELECT *, CAST(floor(epoch(ts) / 21600) AS BIGINT) * 21600 AS start FROM dealt)",
+       "seen AS (SELECT d.delivery, floor(max(epoch(e.ts)) * 1000) / 1000 AS latest FROM (SELECT DISTINCT delivery FROM dealt) d "
+       "LEFT JOIN dealt e ON e.delivery < d.delivery GROUP BY 1)",
+       "timed AS (SELECT user_id, event_type, start, coalesce(start + 21600 <= latest - 86400, false) AS late "
+       "FROM started JOIN seen USING (delivery))")

@@ -348,3 +348,33 @@ def stream_repeats(spark, sf):
 
     arrivals.run_available(stream, step, f"{out}/data", f"{out}/state")
     return spark.read.parquet(f"{out}/data")
+
+
+#: Windows of ``stream_windows``, and how long one takes rows after its end.
+STREAM_WINDOW, STREAM_DELAY = "6 hours", "1 day"
+
+
+@query
+def stream_windows(spark, sf):
+    """Events in three deliveries, a tenth of them one delivery too late: the first event per user, type
+    and window, and what came after its window was closed, in an output of its own.
+
+    Each delivery starts the streams anew; they go on from their checkpoints.
+    """
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    third = F.least(F.floor((F.dayofmonth("at") - 1) / 10), F.lit(2))
+    slow = (F.col("event_id") % 10 == 7).cast("int")
+    events = events.withColumn("delivery", F.least(third + slow, F.lit(2)).cast("int"))
+    out = _stream_folder(spark)
+    for i in range(3):
+        events.filter(F.col("delivery") == i).drop("delivery").write.mode("append").parquet(f"{out}/in")
+        stream = arrivals.read_arrivals(spark, f"{out}/in", events.drop("delivery").schema)
+        arrivals.run_available(stream, lambda df: arrivals.first_in_window(
+            df, ["user_id", "event_type"], "at", STREAM_WINDOW, STREAM_DELAY), f"{out}/first", f"{out}/state")
+        arrivals.run_late(stream, "at", f"{out}/late", f"{out}/late-state", STREAM_WINDOW, STREAM_DELAY)
+    first = spark.read.parquet(f"{out}/first").select(
+        F.lit("first").alias("kind"), "user_id", "event_type", F.col("window.start").alias("start"))
+    late = spark.read.schema(events.drop("delivery").schema).parquet(f"{out}/late").select(
+        F.lit("late").alias("kind"), "user_id", "event_type", F.window("at", STREAM_WINDOW)["start"].alias("start"))
+    return (first.unionByName(late).groupBy("kind", "user_id", "event_type", F.unix_timestamp("start").alias("start"))
+            .agg(F.count(F.lit(1)).alias("rows")))

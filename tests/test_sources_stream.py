@@ -141,3 +141,25 @@ def test_stream_repeats(spark, folder):
         stream, lambda d: arrivals.drop_repeats(d, X.dedup_key(F.col("text")), "at"),
         f"{folder}/out", f"{folder}/state")
     assert spark.read.parquet(f"{folder}/out").count() == 2
+
+
+def test_windows_expire_and_late_rows_are_kept(spark, folder):
+    """Deliveries out of order: each row is either in the first rows' windows or late, none is lost."""
+    import datetime
+
+    day = lambda d, h=0: datetime.datetime(2024, 1, d, h)
+    deliveries = [[("a", day(1, 1)), ("a", day(1, 2)), ("b", day(2, 23))],
+                  [("a", day(1, 3)), ("c", day(2, 1)), ("d", day(9, 1)), ("b", day(2, 22))],
+                  [("d", day(9, 2)), ("e", day(7, 23)), ("f", day(8, 20)), (None, day(9, 1))]]
+    schema = "k string, at timestamp"
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{folder}/in")
+        for _ in range(2):  # starting again without new files changes nothing
+            stream = arrivals.read_arrivals(spark, f"{folder}/in", spark.createDataFrame([], schema).schema)
+            arrivals.run_available(stream, lambda df: arrivals.first_in_window(df, ["k"], "at"), f"{folder}/first", f"{folder}/s")
+            arrivals.run_late(stream, "at", f"{folder}/late", f"{folder}/ls")
+    first = sorted((str(r.k), r.start.day, r.start.hour) for r in spark.read.parquet(f"{folder}/first").selectExpr("k", "window.start").collect())
+    late = sorted((str(r.k), r["at"].day, r["at"].hour) for r in spark.read.schema(schema).parquet(f"{folder}/late").collect())
+    # Before the second delivery the latest event is of day 2, 23:00: windows up to day 1, 18:00 are closed.
+    assert late == [("a", 1, 3), ("e", 7, 23)]
+    assert first == [("None", 9, 0), ("a", 1, 0), ("b", 2, 18), ("c", 2, 0), ("d", 9, 0), ("f", 8, 18)]
