@@ -190,6 +190,8 @@ oracle("distinct_counts", "SELECT count(DISTINCT text) AS text, count(DISTINCT l
 oracle("unique_per_class", "SELECT label, count(DISTINCT text) AS unique_texts, count(*) AS total "
        "FROM docs GROUP BY label", SOURCE)
 _REP = "r AS (SELECT text, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text)"
+oracle("sketch_merge", "SELECT label, count(*) AS rows, true AS \"distinct\", true AS quantiles FROM docs "
+       "WHERE label IS NOT NULL GROUP BY label", LANG)
 oracle("repeat_hist", "SELECT count(*) FILTER (n = 1) AS once, count(*) FILTER (n > 1) AS repeated, "
        "count(*) AS distinct_texts FROM r", _REP)
 oracle("repeat_top", "SELECT first_id, replace(left(text, 80), chr(10), ' ') AS snippet, n AS times "

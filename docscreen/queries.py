@@ -19,7 +19,7 @@ from docscreen.operators import (dedup, evaluate, features, leakage, neardup, pr
 from docscreen.operators.grouping import unnest
 from docscreen.operators.features import TfidfModel, TfidfParams
 from docscreen.plans import audit
-from docscreen.session import spread
+from docscreen.session import cut_lineage, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -273,6 +273,25 @@ def unique_per_class(spark, sf):
     return profile.unique_per_class(by_source(spark, sf))
 
 
+@query
+def sketch_merge(spark, sf):
+    """Sketches stored source by source and merged by language, against exact counts over all rows."""
+    docs = table(spark, sf, "documents").select(D, "text", "source", F.col("lang").alias("label"))
+    by_run = docs.withColumn("label", F.struct("label", "source"))
+    stored = cut_lineage(profile.class_sketches(by_run).withColumn("label", F.col("label.label")))
+    found = profile.sketch_estimates(profile.merged_sketches(stored))
+    exact = docs.join(found, "label").groupBy("label", "rows", "unique_texts").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(X.key_hash(T())).alias("u"),
+        *[F.count_if(F.length(T()) < F.col(f"chars_{q}")).alias(f"below_{q}") for q in (25, 50, 75)],
+        *[F.count_if(F.length(T()) <= F.col(f"chars_{q}")).alias(f"upto_{q}") for q in (25, 50, 75)])
+    near = F.lit(True)
+    for q in (25, 50, 75):
+        near = near & (F.col(f"below_{q}") <= (q / 100 + 0.03) * F.col("n")) & (
+            F.col(f"upto_{q}") >= (q / 100 - 0.03) * F.col("n"))
+    return exact.select("label", "rows", (F.abs(F.col("unique_texts") - F.col("u")) <= 0.04 * F.col("u") + 1).alias("distinct"),
+                        near.alias("quantiles"))
+
+
 @query
 def repeat_hist(spark, sf):
     return profile.repeat_summary(by_lang(spark, sf))

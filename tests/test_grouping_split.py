@@ -165,3 +165,23 @@ def test_find_and_detect_columns(spark):
     (None, None)])
 def test_label_from_first_line(evaluate, text, expected):
     assert evaluate(schema.label_from_first_line(F.col("text"), C.LABEL_MAP), text=text) == expected
+
+
+def test_merged_sketches_estimate_as_one(spark):
+    from docscreen.operators import profile
+
+    df = spark.range(6000).select(
+        F.concat(F.lit("text "), (F.col("id") % 2500).cast("string"), F.repeat(F.lit("x"), (F.col("id") % 300).cast("int"))).alias("text"),
+        F.when(F.col("id") < 5900, "a").otherwise("b").alias("label"), (F.col("id") % 7).alias("run"))
+    stored = [profile.class_sketches(df.filter(F.col("run") == r)) for r in range(7)]
+    union = stored[0]
+    for s in stored[1:]:
+        union = union.unionByName(s)
+    merged = {r.label: r for r in profile.sketch_estimates(profile.merged_sketches(union)).collect()}
+    exact = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("u"),
+                                    *[F.percentile(F.length("text"), q / 100).alias(f"q{q}") for q in (25, 50, 75)]).collect()
+    for r in exact:
+        m = merged[r.label]
+        assert m.rows == r.n and abs(m.unique_texts - r.u) <= 0.03 * r.u
+        assert all(abs(m[f"chars_{q}"] - r[f"q{q}"]) <= 10 for q in (25, 50, 75))
+    assert profile.merged_sketches(profile.class_sketches(df.limit(0))).count() == 0
