@@ -246,9 +246,20 @@ def pack(docs: DataFrame, room: Capacities = Capacities(), rule: str = "norm",
 
 def sequences(docs: DataFrame, packed: DataFrame, room: Capacities = Capacities(),
               path: str | None = None) -> DataFrame:
-    """sequence_id and ``ids``, the token ids of each packed sequence in order."""
-    have = pieces(docs, room.tokens, path or tokenizer_path(), with_ids=True)
-    joined = have.join(packed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"])
+    """sequence_id and ``ids``, the token ids of each packed sequence in order.
+
+    Rows are told apart by id, place and checksum; those that agree in all of these have the same
+    ids and take the places of ``packed`` one after the other. A null doc_id is an id of its own.
+    """
+    keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    have = pieces(docs, room.tokens, path or tokenizer_path(), with_ids=True).withColumn(
+        "nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+    place = packed.select(*[F.col(k).alias(f"_{k}") for k in keys], "sequence_id", "offset", F.row_number().over(
+        Window.partitionBy(*keys).orderBy("sequence_id", "offset")).alias("_nth"))
+    same = F.lit(True)
+    for k in [*keys, "nth"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    joined = have.join(place, same).select("sequence_id", "offset", "ids")
 
     def work(batch: pa.RecordBatch) -> list:
         parts = batch.column(1).to_pylist()

@@ -264,6 +264,19 @@ def test_ids_equal_the_tokenizer(spark, sf):
         assert np.frombuffer(ours.ids(text), dtype="<u4").tolist() == want
 
 
+def test_sequences_of_rows_that_share_an_id(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words"), (None, "null id"), (None, "null id"), (2, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    room = packing.Capacities(tokens=8)
+    packed = packing.pack(frame, room)
+    lengths = {r.sequence_id: r.n for r in packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()}
+    made = {r.sequence_id: r.ids for r in packing.sequences(frame, packed, room).collect()}
+    assert {k: len(v) for k, v in made.items()} == lengths
+    encode = packing.token_ids(packing.tokenizer_path()).ids
+    assert sum(lengths.values()) == sum(len(encode(t or "")) // 4 for _, t in rows)
+    assert sum(v.count(0) for v in made.values()) == len(rows)
+
+
 # op4
 
 def test_sharding(docs, empty):
