@@ -105,8 +105,13 @@ def duplicate_audit(df: DataFrame, text: str = "text", label: str = "label",
     base = (df.filter(~X.is_blank(F.col(text)))
             .select(X.key_hash(F.col(text)).alias("_exact"),
                     X.key_hash(X.dedup_key(F.col(text), full_unicode)).alias("_norm"),
-                    F.col(label).alias("_label"))
-            .groupBy("_norm", "_exact")
+                    F.col(label).alias("_label")))
+    return duplicate_numbers(base)
+
+
+def duplicate_numbers(keyed: DataFrame) -> DataFrame:
+    """The same from rows of ``_exact``, ``_norm`` and ``_label``."""
+    base = (keyed.groupBy("_norm", "_exact")
             .agg(F.count(F.lit(1)).alias("n"), F.min("_label").alias("low"),
                  F.max("_label").alias("high")))
     groups = base.groupBy("_norm").agg(

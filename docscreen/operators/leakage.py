@@ -144,8 +144,12 @@ def label_suffix(text: Column, label: Column, full_unicode: bool = True) -> Colu
 def label_suffix_report(df: DataFrame, text: str = "text", label: str = "label",
                         row_id: str = "doc_id", examples: int = 10) -> DataFrame:
     """Counts of L4 and L5 and the first flagged ids."""
-    flagged = df.select(row_id, label_marker(F.col(text), F.col(label)).alias("marker"),
-                        label_suffix(F.col(text), F.col(label)).alias("suffix"))
+    return suffix_numbers(df.select(row_id, label_marker(F.col(text), F.col(label)).alias("marker"),
+                                    label_suffix(F.col(text), F.col(label)).alias("suffix")), row_id, examples)
+
+
+def suffix_numbers(flagged: DataFrame, row_id: str = "doc_id", examples: int = 10) -> DataFrame:
+    """The same from rows with the flags ``marker`` and ``suffix``."""
     shown = (flagged.filter("suffix").orderBy(row_id).limit(examples)
              .agg(F.sort_array(F.collect_list(row_id)).alias("ids"))).scalar()
     return flagged.agg(F.count_if("marker").alias("marker_rows"),

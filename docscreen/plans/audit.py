@@ -9,7 +9,7 @@ from docscreen import constants as C
 from docscreen.functions import text as X
 from docscreen.operators import dedup, leakage, profile
 from docscreen.operators.grouping import with_group_stats
-from docscreen.operators.schema import missing_counts, valid_rows
+from docscreen.operators.schema import valid_rows
 from docscreen.operators.split import stratified_split
 from docscreen.session import cut_lineage
 
@@ -39,9 +39,13 @@ def filter_ledger(df: DataFrame, text: str = "text", label: str = "label",
     """Rows per reason (A16), from the group sizes alone."""
     blank = X.is_blank(F.col(text)) | X.is_blank(F.col(label))
     key = X.key_hash(X.dedup_key(F.col(text), full_unicode))
-    groups = (df.select(blank.alias("_blank"), F.when(~blank, key).alias("_key"),
-                        X.strip(F.col(label)).alias("_label"))
-              .groupBy("_blank", "_key")
+    return _ledger(df.select(blank.alias("_blank"), F.when(~blank, key).alias("_key"),
+                             X.strip(F.col(label)).alias("_label")))
+
+
+def _ledger(keyed: DataFrame) -> DataFrame:
+    """From rows of ``_blank``, ``_key`` (null for blank rows) and ``_label``."""
+    groups = (keyed.groupBy("_blank", "_key")
               .agg(F.count(F.lit(1)).alias("n"), F.min("_label").alias("low"),
                    F.max("_label").alias("high")))
     n, conflict = F.col("n"), F.col("low") != F.col("high")
@@ -82,8 +86,8 @@ def audit_report(df: DataFrame, splits: DataFrame, text: str = "text", label: st
                  row_id: str = "doc_id", full_unicode: bool = True) -> DataFrame:
     """The whole audit as one nested row.
 
-    Four passes over the corpus (counters, classes, duplicates, ledger) and the flagged examples;
-    the split corpus is reduced once to ids, labels, key hashes and flags, without texts.
+    Two passes over texts, one of the corpus and one of its splits: each is reduced once to ids,
+    labels, key hashes and flags, and all numbers come from these narrow tables.
     """
     def packed(part: DataFrame) -> DataFrame:
         return part.select(F.struct(*part.columns))
@@ -94,18 +98,34 @@ def audit_report(df: DataFrame, splits: DataFrame, text: str = "text", label: st
     def counts(part: DataFrame, key: str) -> DataFrame:
         return as_map(part.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "n")
 
+    own = X.strip(F.col(label))
+    narrow = cut_lineage(
+        df.withColumn("_norm", X.dedup_key(F.col(text), full_unicode))
+        .select(F.col(row_id).alias("id"), F.col(label).alias("label"), F.col(text).isNull().alias("no_text"),
+                X.is_blank(F.col(text)).alias("blank"), X.key_hash(F.col(text)).alias("_exact"),
+                X.key_hash(F.col("_norm")).alias("_norm"),
+                leakage.label_marker(F.col(text), own).alias("marker"),
+                F.coalesce(F.endswith(F.concat(F.lit(" "), F.col("_norm")), F.concat(
+                    F.lit(" "), X.dedup_key(own, full_unicode))), F.lit(False)).alias("suffix")))
+    no_label = X.is_blank(F.col("label"))
+    missing = narrow.agg(
+        F.count_if("no_text").alias("missing_text"), F.count_if(~F.col("no_text") & F.col("blank")).alias("empty_text"),
+        F.count_if(F.col("label").isNull()).alias("missing_label"),
+        F.count_if(F.col("label").isNotNull() & no_label).alias("empty_label"))
+    out = F.col("blank") | no_label
     kept = cut_lineage(splits.select(
         F.col(label).alias("label"), "split", (F.length(text) < C.SHORT_CHARS).alias("short"),
         X.key_hash(X.dedup_key(F.col(text), full_unicode)).alias("key")))
     return profile.one_row(
         df.sparkSession,
-        total_rows=df.agg(F.count(F.lit(1))),
-        class_distribution=counts(df.filter(F.col(label).isNotNull()), label),
-        missing=packed(missing_counts(df, text, label)),
-        duplicates=packed(dedup.duplicate_audit(df, text, label, row_id, full_unicode)),
-        label_in_text=packed(leakage.label_suffix_report(valid_rows(df, text, label), text, label,
-                                                         row_id)),
-        filtering=as_map(filter_ledger(df, text, label, row_id, full_unicode), "reason", "rows"),
+        total_rows=narrow.agg(F.count(F.lit(1))),
+        class_distribution=counts(narrow.filter("label is not null"), "label"),
+        missing=packed(missing),
+        duplicates=packed(dedup.duplicate_numbers(narrow.filter(~F.col("blank")).select(
+            "_exact", "_norm", F.col("label").alias("_label")))),
+        label_in_text=packed(leakage.suffix_numbers(narrow.filter(~out), "id")),
+        filtering=as_map(_ledger(narrow.select(out.alias("_blank"), F.when(~out, F.col("_norm")).alias("_key"),
+                                               X.strip(F.col("label")).alias("_label"))), "reason", "rows"),
         kept=packed(kept.agg(F.count(F.lit(1)).alias("rows"), F.count_if("short").alias("short"))),
         class_distribution_after=counts(kept, "label"),
         split_counts=counts(kept, "split"),
