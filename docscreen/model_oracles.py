@@ -10,7 +10,7 @@ import json
 
 from docscreen import constants as C
 from docscreen import model_queries as M
-from docscreen.oracles import (_ANY, _AUDITED, _FOUND, _PCT, _REQUIRED, _SPLIT_CORPUS, clean, is_blank_sql, oracle, s,
+from docscreen.oracles import (_ANY, _AUDITED, _FOUND, _PCT, _REQUIRED, _SPLIT_CORPUS, clean, is_blank_sql, oracle,
                                terms_cte, values, vocab_cte, words)
 from docscreen.plans.train import METRICS
 

@@ -17,7 +17,6 @@ from pyspark.ml.linalg import DenseMatrix, VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docscreen import constants as C
 from docscreen.functions import text as X
 from docscreen.operators.grouping import unnest
 from docscreen.session import cut_lineage
