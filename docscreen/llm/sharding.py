@@ -14,7 +14,7 @@ size of the corpus. It gives each stretch of an arc a run of ranks per shard, an
 slots; documents find their run by their rank. Texts are read once for their size and checksum and
 are never shuffled.
 
-Defined cases: a null text has size 1 and the checksum of nothing; equal ids and texts are ordered
+Defined cases: rows without an id lie on the ring by size and checksum; a null text has size 1 and the checksum of nothing; equal ids and texts are ordered
 by size and checksum, so repeated rows get slots of their own; other columns are ignored; an empty
 table gives an empty result.
 """
@@ -109,8 +109,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: f
     """doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession
     bounds = np.array(stretch_bounds(shards, vnodes), dtype=np.int64)
-    # The place of a document: the upper 32 bits of a hash of its id.
-    placed = measured(docs).withColumn("place", F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 32))
+    # The place of a document: the upper 32 bits of a hash of its id, or of what it holds without one.
+    hashed = F.when(F.col("doc_id").isNull(), F.xxhash64("size", "text_crc32")).otherwise(F.xxhash64("doc_id"))
+    placed = measured(docs).withColumn("place", F.shiftrightunsigned(hashed, 32))
 
     def stretches(batch: pa.RecordBatch) -> list:
         place = batch.column(batch.schema.get_field_index("place")).to_numpy()

@@ -320,6 +320,12 @@ def test_ring_moves_few_documents():
         sharding.seat(counts, 8, [1] * 8)
 
 
+def test_rows_without_an_id_are_spread(spark):
+    frame = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    rows = sharding.assign(frame, slack=3.0).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("top")).collect()
+    assert len(rows) == 8 and max(r.n for r in rows) < 1200 and all(r.top == r.n - 1 for r in rows)
+
+
 # op5
 
 def fingerprint_by_force(text):
