@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docscreen import constants as C
 from docscreen.operators import evaluate, models
-from docscreen.operators.features import LsaModel, TfidfParams
+from docscreen.operators.features import LsaModel, TfidfParams, first_features
 from docscreen.plans import audit, score, train
 from docscreen.queries import (D, REQUIREMENTS, by_lang, lines, query, screened, table,
                                vocabulary_words)
@@ -199,9 +199,12 @@ def candidate_sweep(spark, sf):
     """Every size with every kind; metrics against a recount over the predictions."""
     candidates, fitted = _sweep(spark, sf)
     rows = _splits(spark, sf).filter("split = 'validation'")
-    # Vectors of a size from the texts, not those that the sweep cut from the largest size.
-    vectors = {size: cut_lineage(fitted[KINDS[0], size].vectors(rows).select(D, "label", "features"))
+    # Those of the smallest size come from its own vocabulary, not from the vectors of the largest one.
+    small, *_, large = C.MAX_FEATURES_GRID
+    widest = cut_lineage(fitted[KINDS[0], large].vectors(rows).select(D, "label", "features"))
+    vectors = {size: widest.withColumn("features", first_features("features", len(fitted[KINDS[0], size].tfidf.terms)))
                for size in C.MAX_FEATURES_GRID}
+    vectors[small] = cut_lineage(fitted[KINDS[0], small].vectors(rows).select(D, "label", "features"))
     out = [(r.model, r.max_features, _consistent(fitted[r.model, r.max_features], vectors[r.max_features], r.asDict()))
            for r in candidates.collect()]
     return spark.createDataFrame(out, "model string, max_features int, consistent boolean")

@@ -82,6 +82,7 @@ class TfidfModel:
 
     def __init__(self, terms: list[str], idf: list[float], params: TfidfParams):
         self.terms, self.idf, self.params = list(terms), list(idf), params
+        self._counter: CountVectorizerModel | None = None
 
     @classmethod
     def fit(cls, df: DataFrame, text: str, params: TfidfParams = TfidfParams()) -> "TfidfModel":
@@ -93,6 +94,8 @@ class TfidfModel:
 
     def first(self, size: int) -> "TfidfModel":
         """The model of the ``size`` most frequent terms."""
+        if size >= len(self.terms):
+            return self
         return TfidfModel(self.terms[:size], self.idf[:size], replace(self.params, max_features=size))
 
     def transform(self, df: DataFrame, text: str, output: str = "features") -> DataFrame:
@@ -104,8 +107,9 @@ class TfidfModel:
               counts: str | None = None) -> DataFrame:
         """Vectors of an array column of terms; ``counts`` keeps the plain counts as well."""
         kept = counts or "_counts"
-        out = CountVectorizerModel.from_vocabulary(self.terms, inputCol=terms,
-                                                   outputCol=kept).transform(df)
+        if self._counter is None:  # its terms go to the JVM one by one
+            self._counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol=terms)
+        out = self._counter.copy().setInputCol(terms).setOutputCol(kept).transform(df)
         raw = F.unwrap_udt(F.col(kept))
         weighed = _weighing(self.idf, self.params.sublinear)(raw["indices"], raw["values"])
         return out.withColumn(output, weighed).drop(*([] if counts else [kept]))

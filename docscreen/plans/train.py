@@ -112,9 +112,11 @@ def model_metrics(classifier: Classifier, vectors: DataFrame, k: int = 3) -> dic
     grid = (predicted.filter(F.col("label").isNotNull())
             .groupBy("label", "prediction")
             .agg(F.count(F.lit(1)).alias("rows"), F.count_if(hit).alias("hits")))
-    rows = cut_lineage(grid)  # one row per pair of classes
-    out = {m: float(v) for m, v in evaluate.metrics(rows).first().asDict().items()}
-    out["topk_accuracy"] = float(rows.agg(F.sum("hits") / F.sum("rows")).first()[0])
+    rows = grid.collect()  # one row per pair of classes
+    table = vectors.sparkSession.createDataFrame(
+        [(r.label, r.prediction, r.rows) for r in rows], "label string, prediction string, rows bigint")
+    out = {m: float(v) for m, v in evaluate.metrics(table).first().asDict().items()}
+    out["topk_accuracy"] = sum(r.hits for r in rows) / sum(r.rows for r in rows)
     return out
 
 
