@@ -21,6 +21,14 @@ def read_arrivals(spark: SparkSession, path: str, schema, file_format: str = "pa
     return reader.load(path)
 
 
+def read_table_arrivals(spark: SparkSession, path: str, schema, **options) -> DataFrame:
+    """A table that is one file or a folder of files.
+
+    The path is given as a pattern: Spark takes a plain one for a folder of partitions, which a file is not.
+    """
+    return read_arrivals(spark, f"{path[:-1]}[{path[-1]}]", schema, **options)
+
+
 def read_text_arrivals(spark: SparkSession, path: str) -> DataFrame:
     """One document per text file with its name."""
     return (spark.readStream.option("pathGlobFilter", "*.txt").text(path, wholetext=True)

@@ -163,3 +163,12 @@ def test_windows_expire_and_late_rows_are_kept(spark, folder):
     # Before the second delivery the latest event is of day 2, 23:00: windows up to day 1, 18:00 are closed.
     assert late == [("a", 1, 3), ("e", 7, 23)]
     assert first == [("None", 9, 0), ("a", 1, 0), ("b", 2, 18), ("c", 2, 0), ("d", 9, 0), ("f", 8, 18)]
+
+
+def test_stream_of_a_table_in_several_files(spark, sf, folder):
+    """A table may be one file or a folder of files."""
+    from docscreen.model_queries import stream_screening
+
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    rows = [sorted(map(tuple, stream_screening(spark, place).collect())) for place in (sf, folder)]
+    assert rows[0] == rows[1] and len(rows[0]) == 200
