@@ -186,6 +186,18 @@ def test_near_duplicates_tell_rare_words_apart(spark):
     assert {(60, 63), (61, 64), (62, 65)} <= whole and not {(60, 63), (61, 64), (62, 65)} & capped
 
 
+def test_copies_need_no_pairs(spark, sf, monkeypatch):
+    """The copies come from ids and keys: neither pairs nor weights are built for them."""
+    from docscreen import queries
+
+    df = spark.createDataFrame(list(enumerate(near_texts())), "doc_id bigint, text string")
+    expected = sorted(map(tuple, neardup.near_duplicates(df, "text")[0].collect()))
+    monkeypatch.setattr(neardup, "_near_pairs", None)
+    monkeypatch.setattr(neardup, "_weighed", None)
+    assert sorted(map(tuple, neardup.equal_vectors(df, "text").collect())) == expected
+    assert queries.near_dup_copies(spark, sf).count() == 200
+
+
 def test_near_duplicates_of_nothing(spark):
     copies, pairs = neardup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string"), "text")
     assert copies.count() == 0 and pairs.count() == 0
