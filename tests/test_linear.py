@@ -142,3 +142,31 @@ def test_no_rows(spark):
     blocks = linear.blocks_of(df, 2, 2)
     fit = linear.solve(blocks, [Problem(HINGE)])[0]
     assert not fit.weights.any() and blocks.counts.tolist() == [0, 0]
+
+
+def test_sums_are_cut_into_slices(spark, monkeypatch):
+    """Beyond a few bytes every task hands slices to the executors: the driver gets one array."""
+    rows = spark.sparkContext.parallelize(range(40), 5)
+    got = []
+
+    def work(part):
+        total = sum(part)
+        yield np.arange(21.0).reshape(7, 3) * total
+
+    collect = type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda self: got.append(collect(self)) or got[-1])
+    monkeypatch.setattr(linear, "FLAT_BYTES", 0)
+    found = linear._reduced(rows, work, (7, 3))
+    assert (found == np.arange(21.0).reshape(7, 3) * 780).all()
+    assert sum(len(piece) for _, piece in got[0]) == 21
+
+
+def test_blocks_are_cut_by_all_tasks_at_once(spark, monkeypatch):
+    """The pass that fills the blocks is one job, not one for each partition."""
+    from pyspark import RDD
+
+    monkeypatch.delattr(RDD, "toLocalIterator")
+    vectors = [(Vectors.sparse(3, [i % 3], [1.0]), i % 2) for i in range(30)]
+    blocks = linear.blocks_of(spark.createDataFrame(vectors, ["features", "target"]).repartition(4), 3, 2)
+    assert blocks.counts.tolist() == [15, 15]
+    blocks.release()
