@@ -125,3 +125,13 @@ def test_clean_text_is_idempotent_in_shape(spark, texts):
         X.clean_text(col()).alias("c")).collect()
     for r in rows:
         assert r.c == r.c.strip() and "  " not in r.c and "\n" not in r.c
+
+
+def test_characters_that_need_python(spark):
+    """The quick tests find the characters that the plain classes find, every one of them."""
+    codes = [c for c in range(1, 0x10FFFF, 1) if not 0xD800 <= c < 0xE000 and (c < 0x11000 or c % 997 == 0)]
+    chars = spark.createDataFrame([(chr(c),) for c in codes], "text string")
+    for quick, plain in ((U.UNSTABLE, f"[^{U.STABLE}]"), (U.BEYOND_LATIN, r"[^\x00-\x7FÀ-ÿ]")):
+        needs = U._needs(col(), quick).isNotNull()
+        assert chars.filter(needs != col().rlike(plain)).count() == 0
+        assert quick.startswith(r"[^\x00-\x7F](")
