@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docscreen import constants as C
 from docscreen.functions import text as X
 from docscreen.operators import dedup, grouping, profile, schema, split
+from docscreen.plans import audit
 
 
 def corpus(spark, rows):
@@ -185,3 +186,13 @@ def test_merged_sketches_estimate_as_one(spark):
         assert m.rows == r.n and abs(m.unique_texts - r.u) <= 0.03 * r.u
         assert all(abs(m[f"chars_{q}"] - r[f"q{q}"]) <= 10 for q in (25, 50, 75))
     assert profile.merged_sketches(profile.class_sketches(df.limit(0))).count() == 0
+
+
+def test_classified_rows_normalise_a_text_once(spark, capsys):
+    """The groups, their rows and the blank rows come from one written table of keys."""
+    rows = [(1, "A b", "x"), (2, "a  B", "x"), (3, "c", "x"), (4, "C!", "y"), (5, " ", "x"), (6, None, "x")]
+    found = audit.classify_rows(spark.createDataFrame(rows, "doc_id int, text string, label string"))
+    assert dict(found.collect()) == {1: "kept", 2: "repeat", 3: "conflicting labels", 4: "conflicting labels",
+                                     5: "missing or empty", 6: "missing or empty"}
+    found.explain()
+    assert "regexp_replace" not in capsys.readouterr().out
