@@ -1,3 +1,5 @@
+import contextlib
+import io
 import re
 import unicodedata
 
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docscreen.functions import text as X
 from docscreen.functions import unicode as U
+from docscreen.operators import schema
 
 T = "text"
 
@@ -135,3 +138,26 @@ def test_characters_that_need_python(spark):
         needs = U._needs(col(), quick).isNotNull()
         assert chars.filter(needs != col().rlike(plain)).count() == 0
         assert quick.startswith(r"[^\x00-\x7F](")
+
+
+@pytest.mark.parametrize("given_text, expected", [
+    (None, 0), ("", 0), (" 　\n", 0), ("a", 1), ("  a b \n c ", 3), ("a\x85b", 2)])
+def test_word_count(evaluate, given_text, expected):
+    assert evaluate(X.word_count(col()), text=given_text) == expected
+
+
+def _plan(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
+def test_filters_do_not_clean_again(spark):
+    """A filter on cleaned texts and what is selected above it share one pass of the cleaning chain."""
+    docs = spark.createDataFrame([(1, "One two, three"), (2, None), (3, "one")], "doc_id int, text string")
+    cleaned = docs.withColumn("clean", X.clean_text(col()))
+    for kept in (schema.min_tokens(cleaned, "clean", 3), schema.min_chars(cleaned, "clean", 5)):
+        assert kept.columns == cleaned.columns
+        assert [tuple(r) for r in kept.collect()] == [(1, "One two, three", "one two three")]
+        assert _plan(kept.select("doc_id", F.length("clean"))).count("https?") == 1
