@@ -13,9 +13,11 @@ from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from docscreen import constants as C
 from docscreen.functions.text import let
@@ -69,6 +71,8 @@ def find_skills(text: Column, vocabulary: Mapping[str, str]) -> Column:
 
 #: Bytes of a dictionary that every task may hold.
 SHARED_BYTES = 64 << 20
+#: Texts whose entries a task holds at once: an Arrow batch has thousands of texts, each with hundreds of entries.
+ROWS_AT_ONCE = 256
 _RUN = regex.compile(rf"[{C.WORD}]+")
 _SPACES = frozenset(C.SPACE_CHARS)
 
@@ -163,10 +167,17 @@ def with_skills(df: DataFrame, text: str, vocabulary: DataFrame, row_id: str = "
     if size <= shared_bytes:
         shared = spark.sparkContext.broadcast(SkillIndex.of((r.skill, r.name) for r in table.collect()))
 
-        def search(texts: pd.Series) -> pd.Series:
-            return texts.map(shared.value.names)
-
-        return df.withColumn(output, F.pandas_udf(search, "array<string>")(lowered))
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    part = batch.slice(lo, ROWS_AT_ONCE)
+                    found = [shared.value.names(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.list_(pa.string()))],
+                                                     names=[*part.schema.names[:-1], output])
+
+        kept = df.drop(output)
+        return kept.withColumn("_lowered", lowered).mapInArrow(search, StructType([*kept.schema.fields, StructField(
+            output, ArrayType(StringType()))]))
 
     def filed(skills: pd.Series) -> pd.Series:
         return skills.map(lambda x: anchor(x)[0])

@@ -114,3 +114,16 @@ def test_catalogue_alignment(spark):
     df = screened(spark, [("nothing", "Chef", None)])
     row = screening.catalogue_match(df, role="role").first()
     assert row.reasons == ["Chef alignment", "Experience considered"] and row.score == 74
+
+
+def test_entries_are_found_in_slices_of_a_batch(spark, capsys):
+    """More texts than a task holds the entries of at once; a column of that name is replaced."""
+    table = spark.createDataFrame([("a b", "A B"), ("c", "C")], "skill string, name string")
+    rows = [(i, None if i % 7 == 0 else "A b, c" if i % 2 else "x", "old") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, skills string").coalesce(1)
+    found = with_skills(df, "text", table)
+    assert found.columns == ["doc_id", "text", "skills"]
+    assert [(r.doc_id, r.text, r.skills) for r in found.orderBy("doc_id").collect()] == [
+        (i, t, ["A B", "C"] if t == "A b, c" else []) for i, t, _ in rows]
+    found.explain()
+    assert "MapInArrow" in capsys.readouterr().out
