@@ -170,3 +170,20 @@ def test_blocks_are_cut_by_all_tasks_at_once(spark, monkeypatch):
     blocks = linear.blocks_of(spark.createDataFrame(vectors, ["features", "target"]).repartition(4), 3, 2)
     assert blocks.counts.tolist() == [15, 15]
     blocks.release()
+
+
+def test_passes_over_margin_losses_are_few(spark, monkeypatch):
+    """Weak regularisation and more rows than are picked, so that these change from step to step."""
+    draw = np.random.default_rng(5)
+    x = draw.exponential(size=(1500, 120)) * (draw.random((1500, 120)) < 0.2)
+    y = (x @ draw.normal(size=120) + 0.3 * draw.normal(size=1500) > 0).astype(float)
+    rows = [(Vectors.dense(v / max(np.linalg.norm(v), 1e-9)), t) for v, t in zip(x.tolist(), y.tolist(), strict=True)]
+    blocks = linear.blocks_of(spark.createDataFrame(rows, ["features", "target"]).repartition(4), 120, 2)
+    valued, passes = linear._valued, []
+    monkeypatch.setattr(linear, "CURVE_ROWS", 1000)
+    monkeypatch.setattr(linear, "_valued", lambda *a: passes.append(1) or valued(*a))
+    fit = linear.solve(blocks, [Problem(HINGE, 100.0)])[0]
+    assert len(passes) <= 20
+    gradient = valued(blocks, [Problem(HINGE, 100.0)], linear._stacked([fit]))[0, :, :121] + linear._stacked([fit])[0]
+    assert np.linalg.norm(gradient) <= 2 * linear.TOLERANCE * np.linalg.norm(linear._stacked([fit])[0])
+    blocks.release()
