@@ -140,3 +140,22 @@ def test_weighted_rows(spark):
                                "doc_id bigint, label string").withColumn("features", F.lit(1))
     rows = models._prepared(df, ["a", "b"], True).collect()
     assert {r.label: round(r.weight, 6) for r in rows} == {"a": round(4 / 6, 6), "b": 2.0}
+
+
+def test_lsa_equals_a_plain_decomposition_within_few_jobs(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from docscreen.operators.features import LsaModel
+
+    draw = np.random.default_rng(3)
+    x = draw.exponential(size=(500, 300)) * (draw.random((500, 300)) < 0.1) / np.sqrt(np.arange(1, 301))
+    df = spark.createDataFrame([(Vectors.sparse(300, [(j, float(v)) for j, v in enumerate(r) if v]),) for r in x], ["features"])
+    spark.sparkContext.setJobGroup("lsa", "lsa")
+    fitted = LsaModel.fit(df.repartition(4), "features", 60)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("lsa"))
+    spark.sparkContext.setJobGroup("other", "other")
+    _, s, v = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(fitted.singular_values, s[:60], rtol=1e-6)
+    assert np.allclose(np.abs(np.sum(fitted.components.toArray().T[:20] * v[:20], axis=1)), 1, atol=1e-3)
+    assert jobs <= 40
