@@ -198,6 +198,20 @@ def test_copies_need_no_pairs(spark, sf, monkeypatch):
     assert queries.near_dup_copies(spark, sf).count() == 200
 
 
+def test_near_duplicates_of_common_words_write_little(spark, tmp_path):
+    """Texts that share all their words are compared without copies of rows or lists of candidates."""
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices([f"word{i}" for i in range(60)], k=40)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    before = spark.conf.get("docscreen.work.dir", None)
+    spark.conf.set("docscreen.work.dir", str(tmp_path))
+    try:
+        neardup.near_duplicates(df, "text")[1].count()
+    finally:
+        spark.conf.set("docscreen.work.dir", before) if before else spark.conf.unset("docscreen.work.dir")
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 2 * sum(map(len, texts))
+
+
 def test_near_duplicates_of_nothing(spark):
     copies, pairs = neardup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string"), "text")
     assert copies.count() == 0 and pairs.count() == 0
