@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docscreen.functions import text as X
-from docscreen.operators import dedup, evaluate as E, leakage, neardup
-from docscreen.operators.features import TfidfModel, TfidfParams
+from docscreen.operators import dedup, evaluate as E, features, leakage, neardup
+from docscreen.operators.features import TfidfModel, TfidfParams, vocabulary
 
 
 def corpus(spark, rows):
@@ -143,6 +143,35 @@ def test_tfidf_equals_brute_force(spark):
         assert w == pytest.approx(expected[i][t], abs=1e-12)
 
 
+@pytest.mark.parametrize("size, low, high, known", [(5, 1, 2, 10**6), (40, 1, 3, 10**6), (40, 1, 2, 3), (12, 2, 2, 10**6), (10**4, 1, 2, 10**6)])
+def test_vocabulary_counts_only_runs_of_frequent_words(spark, size, low, high, known, monkeypatch):
+    """The most frequent terms and the vectors equal plain counts; rare words are in no counted run."""
+    monkeypatch.setattr(features, "KNOWN_WORDS", known)
+    draw = random.Random(5)
+    texts = [" ".join(draw.choices([f"w{i}é" for i in range(20)], range(20, 0, -1), k=30)) + f" once{n}" for n in range(60)]
+    texts += ["", "a", None, "once0", "w1\u00e9 w1e\u0301"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    params = TfidfParams(size, low, high, min_df=2, max_df=0.9)
+    words = [[w for w in (t or "").replace("é", "e").replace("e\u0301", "e").split() if len(w) > 1] for t in texts]
+    runs = [[" ".join(w[i:i + n]) for n in range(low, high + 1) for i in range(len(w) - n + 1)] for w in words]
+    cf, rows = Counter(), Counter()
+    for r in runs:
+        cf.update(r)
+        rows.update(set(r))
+    usable = [t for t in cf if 2 <= rows[t] <= 0.9 * len(texts)]
+    best = sorted(usable, key=lambda t: (-cf[t], t))[:size]
+    assert [(r.term, r.df, r.cf) for r in vocabulary(df, "text", params).collect()] == [(t, rows[t], cf[t]) for t in best]
+    model = TfidfModel.fit(df, "text", params)
+    got = {r.doc_id: {model.terms[i]: v for i, v in zip(r.v.indices, r.v.values, strict=True)}
+           for r in model.transform(df, "text", "v").collect()}
+    for i, r in enumerate(runs):
+        raw = {t: (1 + math.log(n)) * (math.log((len(texts) + 1) / (rows[t] + 1)) + 1) for t, n in Counter(r).items() if t in set(best)}
+        norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+        assert got[i] == pytest.approx({t: x / norm for t, x in raw.items()}, abs=1e-12)
+    if size == 5:
+        assert not [r for r in features.frequent_statistics(df, "text", params).collect() if " once" in r.term]
+
+
 def near_texts():
     base = [f"w{i % 17}a w{i % 5}b w{i % 3}c common words here" for i in range(40)]
     long = " ".join(f"term{i}" for i in range(60))
