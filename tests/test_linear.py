@@ -187,3 +187,21 @@ def test_passes_over_margin_losses_are_few(spark, monkeypatch):
     gradient = valued(blocks, [Problem(HINGE, 100.0)], linear._stacked([fit]))[0, :, :121] + linear._stacked([fit])[0]
     assert np.linalg.norm(gradient) <= 2 * linear.TOLERANCE * np.linalg.norm(linear._stacked([fit])[0])
     blocks.release()
+
+
+def test_each_class_goes_on_over_its_own_near_rows(spark, monkeypatch):
+    """Rows near the margin are too many for all classes together, not for one: the search still ends after few passes."""
+    draw = np.random.default_rng(8)
+    x = draw.exponential(size=(4000, 150)) * (draw.random((4000, 150)) < 0.15)
+    y = (x @ draw.normal(size=(150, 5)) + 0.2 * draw.normal(size=(4000, 5))).argmax(axis=1).astype(float)
+    rows = [(Vectors.dense(v / max(np.linalg.norm(v), 1e-9)), t) for v, t in zip(x.tolist(), y.tolist(), strict=True)]
+    blocks = linear.blocks_of(spark.createDataFrame(rows, ["features", "target"]).repartition(4), 150, 5)
+    valued, passes = linear._valued, []
+    monkeypatch.setattr(linear, "CURVE_ROWS", 500)
+    monkeypatch.setattr(linear, "NEAR_ROWS", 2500)
+    monkeypatch.setattr(linear, "_valued", lambda *a: passes.append(1) or valued(*a))
+    fit = linear.solve(blocks, [Problem(HINGE, 10.0)])[0]
+    assert len(passes) <= 10
+    gradient = valued(blocks, [Problem(HINGE, 10.0)], linear._stacked([fit]))[0, :, :151] + linear._stacked([fit])[0]
+    assert (np.linalg.norm(gradient, axis=1) <= 2 * linear.TOLERANCE * np.linalg.norm(linear._stacked([fit])[0], axis=1)).all()
+    blocks.release()
