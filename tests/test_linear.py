@@ -8,6 +8,7 @@ from docscreen.operators import linear, models
 from docscreen.operators.linear import HINGE, SOFTMAX, Fit, Problem
 
 D, K = 14, 3
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @pytest.fixture(scope="module")
@@ -205,3 +206,21 @@ def test_each_class_goes_on_over_its_own_near_rows(spark, monkeypatch):
     gradient = valued(blocks, [Problem(HINGE, 10.0)], linear._stacked([fit]))[0, :, :151] + linear._stacked([fit])[0]
     assert (np.linalg.norm(gradient, axis=1) <= 2 * linear.TOLERANCE * np.linalg.norm(linear._stacked([fit])[0], axis=1)).all()
     blocks.release()
+
+
+def test_slow_softmax_steps_go_on_with_more_rows(spark, monkeypatch):
+    """A sample too small for its features makes steps slow; then more rows shape them."""
+    draw = np.random.default_rng(9)
+    x = draw.exponential(size=(1500, 200)) * (draw.random((1500, 200)) < 0.1)
+    y = (x @ draw.normal(size=(200, 3)) + 0.2 * draw.normal(size=(1500, 3))).argmax(axis=1).astype(float)
+    rows = [(Vectors.dense(v / max(np.linalg.norm(v), 1e-9)), t) for v, t in zip(x.tolist(), y.tolist(), strict=True)]
+    table = spark.createDataFrame(rows, ["features", "target"]).repartition(4)
+    spark.conf.set(BATCH, "30")  # and so the rows of a block
+    blocks = linear.blocks_of(table, 200, 3)
+    spark.conf.unset(BATCH)
+    valued, passes = linear._valued, []
+    monkeypatch.setattr(linear, "CURVE_ROWS", 8)
+    monkeypatch.setattr(linear, "_valued", lambda *a: passes.append(1) or valued(*a))
+    linear.solve(blocks, [Problem(SOFTMAX, 50.0)])
+    assert len(passes) <= 30
+    blocks.release()
