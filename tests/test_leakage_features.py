@@ -287,3 +287,27 @@ def test_select_best(spark):
 
 def test_key_hash_is_short(evaluate):
     assert len(evaluate(X.key_hash(F.col("text")), text="x" * 1000)) == 16
+
+
+def test_blocks_of_near_duplicates_are_held_a_few_at_a_time(spark, monkeypatch):
+    """Rows of megabytes: files are written in parts of few blocks and read block by block, and settings are restored."""
+    import pyarrow.parquet as pq
+
+    seen = {}
+
+    def compared(blocks, *rest):
+        files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")) for f in blocks.inputFiles()]
+        seen["groups"], seen["blocks"] = sum(f.num_row_groups for f in files), blocks.count()
+        return near_pairs(blocks, *rest)
+
+    near_pairs = neardup._near_pairs
+    monkeypatch.setattr(neardup, "_near_pairs", compared)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setitem(neardup.LARGE_ROWS, "parquet.block.size", "500")
+    size = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    words = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([(i, f"{words} own{i} other{i % 7}") for i in range(80)], "doc_id bigint, text string").coalesce(1)
+    assert neardup.near_duplicates(df, "text", threshold=0.3)[1].count() > 0
+    assert seen["blocks"] >= 20 and seen["groups"] >= 20
+    assert neardup.LARGE_ROWS["spark.sql.parquet.columnarReaderBatchSize"] == "1"
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == size
